@@ -1 +1 @@
-"""Part of the library; see the README."""
+"""Operators on DataFrames: ranking, merging, passages, budgets, reranking and the research corpus."""

@@ -1 +1 @@
-"""Part of the library; see the README."""
+"""The verbs, the registered queries, and the SQL that gives the same rows."""

@@ -2,5 +2,544 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spindrift.functions import dates, html, scores, text, urls
+from spindrift.functions import json as js
+from spindrift.operators import budget, corpus, merge, passages, ranking, rerank
+from spindrift.sources import stores
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: SQL of the token rule for text that is NFKC already.
+TOKENS = r"list_distinct(list_concat(regexp_extract_all(lower({0}), '[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*'), regexp_extract_all(lower({0}), '[㐀-鿿぀-ヿㇰ-ㇿ々ーｦ-ﾝ]{{2,}}')))"
+CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+TITLE = CLEAN.format(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)")
+
+SEARCH = f"""
+WITH d AS (SELECT doc_id, {TOKENS.format("text")} AS tokens FROM documents),
+t AS (SELECT count(*) AS n, avg(len(tokens)) AS mean_length FROM d),
+q AS (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark),
+p AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM d),
+h AS (SELECT * FROM p WHERE term IN (SELECT term FROM q)),
+f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+i AS (SELECT a.term, n, mean_length, greatest(0.25, ln((n + 1.0) / (coalesce(df, 0) + 0.5))) AS bm, ln((1.0 + n) / (1 + coalesce(df, 0))) + 1 AS tf
+    FROM (SELECT DISTINCT term FROM q) a LEFT JOIN f ON f.term = a.term CROSS JOIN t),
+w AS (SELECT query_id, sum(tf * tf) AS norm FROM q JOIN i USING (term) GROUP BY query_id),
+s AS (SELECT query_id, doc_id, round(sum(bm * 2.5 / (1 + 1.5 * (0.25 + 0.75 * length / mean_length))), 9) AS bm25, sum(tf * tf) AS shared, any_value(n) AS n
+    FROM h JOIN i USING (term) JOIN q USING (term) GROUP BY query_id, doc_id),
+r AS (SELECT query_id, doc_id, bm25, least(1.0, sqrt(shared / norm)) AS tfidf,
+    1 - (rank() OVER (PARTITION BY query_id ORDER BY bm25 DESC) - 1 + (count(*) OVER (PARTITION BY query_id, bm25) - 1) / 2) / (n - 1) AS percentile
+    FROM s JOIN w USING (query_id)),
+b AS (SELECT *, round(0.5 * tfidf + 0.5 * percentile * max(tfidf) OVER (PARTITION BY query_id), 9) AS score FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b)
+SELECT query_id, rank::INTEGER AS rank, doc_id, round(bm25, 6) AS bm25, round(tfidf, 6) AS tfidf, round(percentile, 6) AS percentile, round(score, 6) AS score FROM o WHERE rank <= 10
+"""
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(SEARCH)
+def search_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark text."""
+    queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = ranking.search_corpus(load(spark, sf_dir, "documents"), queries, 10)
+    return rounded(found, "bm25", "tfidf", "percentile", "score")
+
+
+@query(f"""
+WITH q AS (SELECT 'src' || item_id AS source, {TOKENS.format("text")} AS terms FROM benchmark WHERE item_id < 20),
+d AS (SELECT source, doc_id, {TOKENS.format("text")} AS tokens FROM documents),
+x AS (SELECT d.source, doc_id, tokens, coalesce(terms, []) AS terms, list_intersect(coalesce(terms, []), tokens) AS shared FROM d LEFT JOIN q USING (source)),
+t AS (SELECT source, count(*) AS n, avg(len(tokens)) AS mean_length FROM x GROUP BY source),
+f AS (SELECT source, term, count(*) AS df FROM (SELECT source, unnest(shared) AS term FROM x) GROUP BY ALL),
+m AS (SELECT source, doc_id, sum(greatest(0.25, ln((n + 1.0) / (df + 0.5))) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(tokens) / mean_length))) AS bm25, sum(power(ln((1.0 + n) / (1 + df)) + 1, 2)) AS own
+    FROM (SELECT source, doc_id, tokens, unnest(shared) AS term FROM x) JOIN t USING (source) JOIN f USING (source, term) GROUP BY ALL),
+w AS (SELECT source, sum(power(ln((1.0 + n) / (1 + coalesce(df, 0))) + 1, 2)) AS whole FROM (SELECT source, unnest(terms) AS term FROM q) a JOIN t USING (source) LEFT JOIN f USING (source, term) GROUP BY source),
+s AS (SELECT x.source, x.doc_id, coalesce(bm25, 0.0) AS bm25, CASE WHEN own > 0 THEN least(1.0, sqrt(own / whole)) ELSE 0.0 END AS tfidf FROM x LEFT JOIN m ON m.source = x.source AND m.doc_id = x.doc_id LEFT JOIN w ON w.source = x.source)
+SELECT source, doc_id, round(bm25, 6) AS bm25, round(tfidf, 6) AS tfidf FROM s
+""")
+def rank_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each source as one batch against the source's query."""
+    queries = load(spark, sf_dir, "benchmark").where("item_id < 20").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("source"), F.col("text").alias("query"))
+    ranked = ranking.rank_batches(load(spark, sf_dir, "documents").select("source", "doc_id", "text"), queries, ["source"], "doc_id")
+    return rounded(ranked.select("source", "doc_id", "bm25", "tfidf"), "bm25", "tfidf")
+
+
+@query("""
+WITH s AS (SELECT o_orderpriority AS batch, o_orderkey AS item, floor(o_totalprice / 10000) AS score FROM orders),
+w AS (SELECT *, count(*) OVER b AS n, max(score) OVER b AS most, min(score) OVER b AS least, rank() OVER (PARTITION BY batch ORDER BY score DESC) - 1 AS first,
+    count(*) OVER (PARTITION BY batch, score) AS alike, row_number() OVER (PARTITION BY batch ORDER BY item) - 1 AS place FROM s WINDOW b AS (PARTITION BY batch))
+SELECT batch, item, round(CASE WHEN n = 1 THEN CASE WHEN score > 0 THEN 0.75 ELSE 0 END WHEN most <= 0 THEN 0 WHEN most - least < 1e-9 THEN 1 - place / (n - 1)
+    ELSE 1 - (first + (alike - 1) / 2) / (n - 1) END, 6)::DOUBLE AS percentile FROM w
+""")
+def percentile_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tie-averaged percentile of order values within each priority."""
+    s = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("batch"), F.col("o_orderkey").alias("item"), F.floor(F.col("o_totalprice") / 10000).alias("score"))
+    return s.select("batch", "item", F.round(scores.percentile("score", ["batch"], ["item"]), 6).alias("percentile"))
+
+
+@query(f"SELECT doc_id, len({TOKENS.format('text')})::INTEGER AS n_tokens, array_to_string(list_sort({TOKENS.format('text')})[1:5], ' ') AS least_tokens FROM documents")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tokens of every document."""
+    return load(spark, sf_dir, "documents").select("doc_id", text.tokenize("text").alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.array_join(F.slice(F.array_sort("t"), 1, 5), " ").alias("least_tokens"))
+
+
+CANONICAL = r"""
+u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS host,
+    regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND NOT regexp_matches(lower(p), '^(gclid|fbclid|msclkid)=|^utm_'))), '&') AS rest FROM pages),
+c AS (SELECT page_id, url, host, path, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN rest = '' THEN '' ELSE '?' || rest END AS canonical_url FROM u)
+"""
+
+
+@query(f"WITH {CANONICAL} SELECT page_id, canonical_url, regexp_replace(host, '^www\\.', '') AS domain FROM c")
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1, F2: canonical address and domain of every page."""
+    return load(spark, sf_dir, "pages").select("page_id", urls.canonical_url("url").alias("canonical_url"), urls.domain("url").alias("domain"))
+
+
+@query(f"WITH {CANONICAL} SELECT page_id, canonical_url, regexp_replace(host, '^www\\.', '') AS domain FROM c")
+def canonical_urls_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 by the standard library's URL rules, in Arrow batches."""
+    return load(spark, sf_dir, "pages").select("page_id", urls.canonical_url_exact("url").alias("canonical_url"), urls.domain("url").alias("domain"))
+
+
+@query(r"""
+SELECT page_id, regexp_replace(url, '#.*$', '') AS no_fragment, regexp_replace(url, '[?#].*$', '') AS no_query,
+    lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || substr(regexp_replace(url, '#.*$', ''), length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) + 1) AS url_key,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) || '/' || array_to_string(list_transform(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1:4],
+        lambda s: CASE WHEN regexp_full_match(s, '\d+') THEN ':int' WHEN regexp_full_match(lower(s), '[0-9a-f]{8,}(-[0-9a-f]{4,})+[0-9a-f]{4,}') THEN ':uuid' WHEN regexp_full_match(lower(s), '[0-9a-f]{12,}') THEN ':hash' WHEN length(s) > 40 THEN ':long' ELSE lower(s) END), '/') AS route_key
+FROM pages
+""")
+def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragment and query stripped, the answer's key, the crawler's route template."""
+    return load(spark, sf_dir, "pages").select("page_id", urls.strip_fragment("url").alias("no_fragment"), urls.without_query("url").alias("no_query"), urls.url_key("url").alias("url_key"), urls.route_key("url").alias("route_key"))
+
+
+@query(f"""
+WITH {CANONICAL}, d AS (SELECT page_id, regexp_replace(host, '^www\\.', '') AS domain FROM c)
+SELECT page_id, domain, regexp_matches(domain, '(^|\\.)example\\.(com|org)$') AS included, NOT regexp_matches(domain, '(^|\\.)example\\.net$') AS not_excluded FROM d
+""")
+def domain_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """include and exclude lists over domains, equal or under."""
+    d = load(spark, sf_dir, "pages").select("page_id", urls.domain("url").alias("domain"))
+    return d.select("page_id", "domain", urls.domain_allowed(F.col("domain"), ["example.com", "www.example.org"]).alias("included"), urls.domain_allowed(F.col("domain"), None, ["example.net"]).alias("not_excluded"))
+
+
+def page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as hits of four jobs: titles and first paragraphs from the markup, a date on most."""
+    pages = load(spark, sf_dir, "pages")
+    date = F.when(F.col("page_id") % 5 == 0, "").when(F.col("page_id") % 3 == 0, F.concat(F.lit("2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-15T12:00:00Z"))).otherwise(F.concat(F.lit("2024-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("-15")))
+    snippet = F.when(F.col("page_id") % 7 == 0, "").otherwise(F.regexp_extract("html", "(?s)<p[^>]*>(.*?)</p>", 1))
+    return pages.select((F.col("page_id") % 4).alias("job_index"), F.when(F.col("page_id") % 4 == 0, "primary").when(F.col("page_id") % 4 == 1, "manual").otherwise("llm").alias("source"), F.col("page_id").alias("position"), urls.canonical_url("url").alias("canonical_url"), "url", html.title_native("html").alias("title"), text.clean_whitespace(text.strip_html(snippet)).alias("snippet"), date.alias("published_date"))
+
+
+HITS = rf"""{CANONICAL}, h AS (SELECT p.page_id % 4 AS job_index, CASE p.page_id % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'manual' ELSE 'llm' END AS source, p.page_id AS position, canonical_url, p.url,
+    {TITLE} AS title,
+    CASE WHEN p.page_id % 7 = 0 THEN '' ELSE {CLEAN.format("regexp_replace(regexp_extract(html, '(?s)<p[^>]*>(.*?)</p>', 1), '<[^>]+>', '', 'g')")} END AS snippet,
+    CASE WHEN p.page_id % 5 = 0 THEN '' WHEN p.page_id % 3 = 0 THEN '2024-0' || (p.page_id % 9 + 1) || '-15T12:00:00+00:00' ELSE '2024-0' || (p.page_id % 9 + 1) || '-15' END AS published_date
+    FROM pages p JOIN c ON c.page_id = p.page_id)"""
+
+
+@query(f"""
+WITH {HITS},
+k AS (SELECT *, CASE WHEN snippet <> '' THEN snippet ELSE title END AS said, row_number() OVER (PARTITION BY canonical_url ORDER BY job_index, position) AS nth FROM h),
+s AS (SELECT canonical_url, source, arg_min(said, [job_index, position]) AS snippet, min([job_index, position]) AS ord FROM k WHERE said <> '' GROUP BY ALL)
+SELECT k.canonical_url, min(CASE WHEN nth = 1 THEN url END) AS url, count(DISTINCT job_index) AS n_jobs,
+    coalesce(arg_min(published_date, [left(published_date, 10), CASE WHEN length(published_date) > 10 THEN '1' ELSE '0' END]) FILTER (published_date <> ''), '') AS published_date,
+    (SELECT string_agg(source || '=' || snippet, ';' ORDER BY ord) FROM s WHERE s.canonical_url = k.canonical_url) AS snippets
+FROM k GROUP BY k.canonical_url
+""")
+def canonical_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each address of all jobs' hits."""
+    made = merge.canonical_buckets(page_hits(spark, sf_dir))
+    said = F.array_join(F.transform("snippets", lambda s: F.concat_ws("=", s["source"], s["snippet"])), ";")
+    return made.select("canonical_url", "url", "n_jobs", "published_date", said.alias("snippets"))
+
+
+@query(f"""
+WITH {HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY job_index, position) AS n FROM h)
+SELECT canonical_url, url, job_index, position FROM r WHERE n = 1
+""")
+def union_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC14, SRC15, U1, W7: four routes one after the other, the first hit of an address wins."""
+    hits = page_hits(spark, sf_dir)
+    routes = {f"r{i}": hits.where(F.col("job_index") == i) for i in range(4)}
+    return merge.first_of(merge.union_routes(routes), ["canonical_url"], ["route_order", "position"]).select("canonical_url", "url", "job_index", "position")
+
+
+@query()
+def blend_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC14, W2, W3, M8, T2: hits of every job by lexical score and reciprocal rank."""
+    hits = page_hits(spark, sf_dir).withColumnsRenamed({"job_index": "query_id"}).withColumn("route_order", F.col("query_id") * 0)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
+    queries = load(spark, sf_dir, "benchmark").where("item_id < 4").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = merge.blend_hits(hits.withColumn("position", place), queries, 10)
+    return rounded(found.select("query_id", "rank", "url", "score"), "score")
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
+    o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1997-06-16' AS by_day,
+    o_orderdate <= TIMESTAMP '1996-01-01 12:00:00' AS by_time FROM orders
+""")
+def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Date-only and timestamp bounds."""
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return load(spark, sf_dir, "orders").select("o_orderkey", dates.start_floor(stamp).alias("day"), dates.in_range(stamp, "1995-03-01", "1997-06-15").alias("by_day"), dates.in_range(stamp, "", "1996-01-01T12:00:00Z").alias("by_time"))
+
+
+@query("""
+SELECT o_custkey, min(strftime(o_orderdate, '%Y-%m-%d')) AS earliest, count(*) AS n FROM orders GROUP BY o_custkey
+""")
+def earliest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earliest of several dates."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(day).alias("d"), F.count("*").alias("n")).select("o_custkey", dates.earliest(F.col("d")).alias("earliest"), "n")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS said FROM documents),
+k AS (SELECT *, sum(length(said) + 1) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS used_chars FROM l)
+SELECT doc_id, count(*) AS n_lines, max(used_chars)::BIGINT AS used_chars FROM k WHERE used_chars <= 2000 GROUP BY doc_id
+""")
+def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document that fit 2,000 characters."""
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    kept = passages.within_budget(lines, ["doc_id"], [F.col("line")], "said", 2000)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("used_chars").alias("used_chars"))
+
+
+@query("""
+WITH c AS (SELECT s_nationkey AS theme, s_suppkey AS question_id, s_suppkey % 5 AS priority, s_suppkey AS ord FROM supplier),
+a AS (SELECT *, count(*) OVER w AS n, sum(priority) OVER w AS total FROM c WINDOW w AS (PARTITION BY theme)),
+b AS (SELECT *, least(2, 97 // n)::INTEGER AS floor FROM a),
+d AS (SELECT *, 97 - floor * n AS rest, (97 - floor * n) * priority / CASE WHEN total > 0 THEN total ELSE n END AS share FROM b),
+e AS (SELECT *, floor(share)::INTEGER AS extra, round(share - floor(share), 9) AS fraction FROM d),
+f AS (SELECT *, rest - sum(extra) OVER (PARTITION BY theme) AS left_over, row_number() OVER (PARTITION BY theme ORDER BY fraction DESC, priority DESC, ord) AS place FROM e)
+SELECT theme, question_id, floor, (floor + extra + CASE WHEN place <= left_over THEN 1 ELSE 0 END)::BIGINT AS allocation FROM f
+""")
+def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares by largest remainder, suppliers as cards of a nation's theme."""
+    cards = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("theme"), F.col("s_suppkey").alias("question_id"), (F.col("s_suppkey") % 5).alias("priority"), F.col("s_suppkey").alias("order"))
+    return budget.allocate(cards, 97, 2, by=["theme"]).select("theme", "question_id", "floor", F.col("allocation").cast("long").alias("allocation"))
+
+
+@query("""
+WITH p AS (SELECT l_suppkey AS batch, l_orderkey AS candidate, l_linenumber - 1 AS sub FROM lineitem WHERE l_suppkey <= 20),
+q AS (SELECT DISTINCT * FROM p), m AS (SELECT *, dense_rank() OVER (PARTITION BY batch ORDER BY candidate) <= 15 AS main_in FROM q),
+t AS (SELECT *, sum(main_in::INTEGER) OVER (PARTITION BY batch ORDER BY sub, candidate ROWS UNBOUNDED PRECEDING) AS turn FROM m)
+SELECT batch, candidate, sub, main_in AND turn <= 15 AS selected FROM t
+""")
+def page_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main pages, then subpages in turn, within a budget."""
+    pages = load(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("batch"), F.col("l_orderkey").alias("candidate"), (F.col("l_linenumber") - 1).alias("sub")).distinct()
+    return budget.page_slots(pages, 15, ["batch"])
+
+
+@query()
+def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abstracts of each question's sources within a budget of characters."""
+    docs = load(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("question"), F.col("doc_id").alias("source"), F.split("text", "\n").alias("abstracts"))
+    return budget.prompt_texts(docs, 4000, ["question"]).select("question", "used_chars", "at", "source", F.length("text").alias("n_chars"))
+
+
+@query("""
+WITH e AS (SELECT user_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, (event_type <> 'error')::INTEGER AS ok, greatest(1, value) AS ms
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, count(*) AS samples, round(0.6 * power(0.78, any_value(n)) + sum(ok * 0.22 * power(0.78, n - i)), 6) AS success, round(700 * power(0.78, any_value(n)) + sum(ms * 0.22 * power(0.78, n - i)), 6) AS latency
+FROM e GROUP BY user_id
+""")
+def route_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11, ST5: moving averages of success and latency by user, in the order of time."""
+    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") != "error").cast("double").alias("ok"), F.greatest(F.lit(1.0), F.col("value")).alias("ms")))).alias("x"))
+    return e.select("user_id", F.size("x").cast("long").alias("samples"), F.round(scores.ema(F.col("x.ok"), 0.60), 6).alias("success"), F.round(scores.ema(F.col("x.ms"), 700.0), 6).alias("latency"))
+
+
+@query(rf"""
+SELECT page_id, {TITLE} AS title, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["'']', 1))::INTEGER AS n_links,
+    coalesce(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref=["'']([^"'']*)["'']', 1)[1], '') AS first_link FROM pages
+""")
+def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5, H6: title and links of every page."""
+    hrefs = html.hrefs_native("html")
+    return load(spark, sf_dir, "pages").select("page_id", html.title_native("html").alias("title"), F.size(hrefs).alias("n_links"), F.coalesce(F.get(hrefs, F.lit(0)), F.lit("")).alias("first_link"))
+
+
+@query()
+def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC24, H1-H9, T6, U9: metadata, markdown, links and images of every page."""
+    found = load(spark, sf_dir, "pages").select("page_id", html.page("html", "url").alias("p"))
+    return found.select("page_id", "p.title", "p.description", "p.lang", F.length("p.markdown").alias("markdown_chars"), F.size("p.links").alias("n_links"), F.size("p.images").alias("n_images"))
+
+
+@query()
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content kind, signals, quality scores and blocking rules."""
+    s = load(spark, sf_dir, "pages").select("page_id", "url", "html", html.signals("html").alias("s"))
+    kind = scores.content_kind(F.lit(None).cast("string"), F.col("url"), F.col("html"))
+    base = s.select("page_id", kind.alias("kind"), "s.*", F.octet_length("html").alias("size"), F.col("html").rlike(scores.SPA).alias("spa"), F.col("html").rlike(scores.NEXTJS).alias("nextjs"))
+    score = scores.content_score(F.col("kind"), F.col("text_chars"), F.col("size"), F.col("link_density"), F.col("punctuation_density"), F.col("script_ratio"))
+    blocked = scores.marker_hit(F.col("visible_text"), F.col("title_text"), F.col("heading_text"))
+    rated = base.withColumns({"content_score": score, "blocked": blocked})
+    quality = scores.crawl_quality(F.lit(200), F.col("blocked"), F.col("kind"), F.col("size"), F.col("text_chars"), F.col("content_score"), F.col("script_ratio"))
+    return rounded(rated.select("page_id", "kind", "text_chars", "spa", "nextjs", "blocked", "content_score", quality.alias("quality")), "content_score", "quality")
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN left(text, 20) ELSE left(text, 20) || CASE WHEN doc_id % 3 = doc_id % 5 THEN '[citation:' || doc_id % 3 || ']' ELSE '[citation:' || doc_id % 3 || '][citation:' || doc_id % 5 || ']' END || '.' END AS expanded,
+    CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = doc_id % 5 THEN (doc_id % 3)::VARCHAR ELSE (doc_id % 3) || ',' || (doc_id % 5) END AS indexes,
+    CASE WHEN doc_id % 7 = 0 THEN left(text, 20) ELSE left(text, 20) || '.' END AS stripped FROM documents
+""")
+def citation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compound citations expanded, listed and stripped."""
+    mark = F.format_string("[ Citation : %d, %d ].", F.col("doc_id") % 3, F.col("doc_id") % 5)
+    said = F.when(F.col("doc_id") % 7 == 0, F.left("text", F.lit(20))).otherwise(F.concat(F.left("text", F.lit(20)), mark))
+    d = load(spark, sf_dir, "documents").select("doc_id", said.alias("said"))
+    return d.select("doc_id", text.citation_expand("said").alias("expanded"), F.array_join(text.citation_indexes("said").cast("array<string>"), ",").alias("indexes"), text.citation_strip("said").alias("stripped"))
+
+
+@query("""
+WITH s AS (SELECT item_id AS source_index, (item_id % 6) AS key, text FROM benchmark WHERE item_id < 20),
+a AS (SELECT conv_id AS answer_id, unnest([conv_id % 20, conv_id % 7, conv_id % 20, conv_id % 31]) AS source_index, unnest([0, 1, 2, 3]) AS at_ FROM (SELECT DISTINCT conv_id FROM conversations)),
+j AS (SELECT answer_id, at_, source_index, key, row_number() OVER (PARTITION BY answer_id, key ORDER BY at_) AS n FROM a JOIN s USING (source_index))
+SELECT answer_id, at_::INTEGER AS "at", source_index, key FROM j WHERE n = 1
+""")
+def citation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited sources by index, unknown ones dropped, each key once."""
+    sources = load(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("source_index"), (F.col("item_id") % 6).alias("key"))
+    c = F.col("conv_id")
+    answers = load(spark, sf_dir, "conversations").select("conv_id").distinct().select(c.alias("answer_id"), F.array(c % 20, c % 7, c % 20, c % 31).alias("indexes"))
+    keyed = sources.select(F.lit(1).alias("one"), "*").drop("one")
+    every = answers.select("answer_id", F.posexplode("indexes").alias("at", "source_index")).join(F.broadcast(keyed), "source_index")
+    return merge.first_of(every, ["answer_id", "key"], ["at"]).select("answer_id", "at", "source_index", "key")
+
+
+@query("""
+WITH t AS (SELECT l_partkey AS canonical_url, min(l_orderkey * 10 + l_linenumber) AS corpus_id FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1),
+f AS (SELECT l_orderkey * 10 + l_linenumber AS source_id, l_partkey AS canonical_url FROM lineitem WHERE l_orderkey % 2 = 1),
+n AS (SELECT canonical_url, min(source_id) AS source_id FROM f WHERE canonical_url NOT IN (SELECT canonical_url FROM t) GROUP BY 1),
+m AS (SELECT canonical_url, row_number() OVER (ORDER BY source_id) - 1 + 1000000 AS corpus_id FROM n)
+SELECT source_id, corpus_id FROM f JOIN (SELECT * FROM t UNION ALL SELECT * FROM m) USING (canonical_url)
+""")
+def corpus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found sources mapped to the corpus, new addresses appended once."""
+    items = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_id"), F.col("l_partkey").alias("canonical_url"), "l_orderkey")
+    _, remap = corpus.merge_corpus(items.where("l_orderkey % 2 = 0"), items.where("l_orderkey % 2 = 1"), 1_000_000)
+    return remap.select("source_id", F.col("corpus_id").cast("long").alias("corpus_id"))
+
+
+@query("""
+WITH l AS (SELECT o_custkey AS url, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey % 3 <> 0),
+r AS (SELECT o_custkey AS url, o_orderkey AS candidate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey % 3 = 0)
+SELECT l.url, id, coalesce(candidate, -1) AS candidate FROM l LEFT JOIN r ON l.url = r.url AND l.nth = r.nth
+""")
+def pair_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k-th result of an address beside its k-th candidate."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("id"))
+    return corpus.pair_in_order(o.where("id % 3 <> 0"), o.where("id % 3 = 0").withColumnRenamed("id", "candidate"), "url", ["id"], ["candidate"]).withColumn("candidate", F.coalesce("candidate", F.lit(-1)))
+
+
+@query("""
+WITH r AS (SELECT source AS url_key, doc_id AS ord, 'u' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(text, 10) END AS content, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS abstract FROM documents),
+d AS (SELECT url_key, abstract, min(ord) AS ord FROM r WHERE abstract <> '' GROUP BY ALL)
+SELECT url_key, min(ord) AS first_order, arg_min(url, ord) AS url, coalesce(arg_min(title, ord) FILTER (title <> ''), '') AS title, coalesce(arg_min(content, ord) FILTER (content <> ''), '') AS content,
+    coalesce((SELECT string_agg(abstract, ',' ORDER BY ord) FROM d WHERE d.url_key = r.url_key), '') AS abstracts FROM r GROUP BY url_key
+""")
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First non-empty fields and distinct abstracts for each address."""
+    d = load(spark, sf_dir, "documents")
+    blank = lambda n, c: F.when(F.col("doc_id") % n == 0, "").otherwise(c)
+    rows = d.select(F.col("source").alias("url_key"), F.col("doc_id").alias("order"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), blank(3, F.col("lang")).alias("title"), blank(4, F.left("text", F.lit(10))).alias("content"), blank(5, F.col("lang")).alias("abstract"))
+    return corpus.page_sources(rows).withColumn("abstracts", F.array_join("abstracts", ","))
+
+
+@query("""
+SELECT user_id, event_type AS model, sum(greatest(0, (props::JSON->>'$.k')::INTEGER))::BIGINT AS prompt_tokens, sum(greatest(0, floor(value)))::BIGINT AS completion_tokens, count(*) AS n FROM events GROUP BY ALL
+""")
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts by request and model."""
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("model"), F.struct(F.get_json_object("props", "$.k").try_cast("long").alias("prompt_tokens"), F.floor("value").cast("long").alias("completion_tokens"), F.lit(1).cast("long").alias("total_tokens")).alias("tokens"))
+    return stores.token_usage(e).select(F.col("request_id").alias("user_id"), "model", "prompt_tokens", "completion_tokens", F.col("total_tokens").alias("n"))
+
+
+@query("""
+SELECT user_id, event_type, arg_min(event_id, [epoch_ms(ts), event_id]) AS id, count(*) AS n FROM events GROUP BY ALL
+""")
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5, SNK6, ST2: the first record of each key."""
+    e = load(spark, sf_dir, "events").withColumns({"key": F.concat_ws(":", "user_id", "event_type"), "id": F.col("event_id"), "ts_ms": F.unix_millis(F.col("ts").cast("timestamp"))})
+    n = e.groupBy("key").agg(F.count("*").alias("n"))
+    return stores.ledger(e.withColumn("id", F.col("id").cast("string")).withColumn("ord", F.col("event_id"))).join(n, "key").select("user_id", "event_type", F.col("event_id").alias("id"), "n")
+
+
+@query("""
+SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')
+""")
+def level_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16, ST1: events of a level and above."""
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "warning").when(F.col("event_type") == "view", "DEBUG").otherwise("INFO")
+    return stores.at_least(load(spark, sf_dir, "events").withColumn("level", level), "warning").select("event_id", "event_type")
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL
+""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by tumbling window: the batch form of streaming.telemetry.counts_by_window."""
+    e = load(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100")
+def task_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK3: one page of the newest tasks (the limit is the feature)."""
+    return stores.task_page(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")), 80, 100)
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS final_score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 16")
+def final_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best scores first, ties by order (the limit is the feature)."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("final_score"), F.col("o_orderkey").alias("order"))
+    return rerank.finalize(o, 16).select("o_orderkey", F.round("final_score", 2).alias("final_score"))
+
+
+@query("""
+WITH e AS (SELECT l_partkey AS key, l_orderkey AS version, (l_orderkey % 100) AS ttl FROM lineitem),
+l AS (SELECT key, max(version) AS version FROM e GROUP BY key)
+SELECT key, version, any_value(ttl) AS ttl FROM l JOIN e USING (key, version) WHERE ttl > 30 GROUP BY ALL
+""")
+def cache_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK7, SNK8, ST4: the latest entry of each key, if it is still live."""
+    e = load(spark, sf_dir, "lineitem").select(F.lit("fetch").alias("namespace"), F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("version"), (F.col("l_orderkey") % 100).alias("expires_at_ms"))
+    latest = merge.first_of(e.withColumn("age", -F.col("version")), ["namespace", "key"], ["age"])
+    return stores.live(latest, 30).select("key", "version", F.col("expires_at_ms").alias("ttl"))
+
+
+@query("""SELECT page_id, sha256('{"backend":"curl","url":"' || url || '"}') AS key FROM pages""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1, SNK10: key of a fetch cache entry."""
+    return load(spark, sf_dir, "pages").select("page_id", js.cache_key(F.lit("curl"), F.col("url")).alias("key"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS i, o_custkey % 3 = 0 AS has_result, o_orderstatus AS s FROM orders)
+SELECT CASE WHEN NOT has_result THEN 'error' WHEN s = 'F' THEN 'error' ELSE 'success' END AS status, CASE WHEN NOT has_result THEN 'not processed' WHEN s = 'F' THEN 'crawl_failed' ELSE '' END AS error_tag, count(*) AS n FROM r GROUP BY ALL
+""")
+def url_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One status for every requested address."""
+    o = load(spark, sf_dir, "orders")
+    results = o.where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("url_index"), F.when(F.col("o_orderstatus") == "F", "error").otherwise("success").alias("status"), F.when(F.col("o_orderstatus") == "F", "crawl_failed").otherwise("").alias("error_tag"))
+    return corpus.statuses(o.select(F.col("o_orderkey").alias("url_index")), results).groupBy("status", "error_tag").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH j AS (SELECT item_id AS job_index, left(text, 30) AS said, {TOKENS.format("left(text, 30)")} AS t FROM benchmark)
+SELECT min(job_index) AS job_index, array_to_string(list_sort(t), ' ') AS signature FROM j GROUP BY 2
+""")
+def query_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries without repeats by text and by token set."""
+    jobs = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("job_index"), F.left("text", F.lit(30)).alias("query"), F.lit("llm").alias("source"))
+    kept = merge.dedupe_queries(jobs, 1_000_000)
+    return kept.select("job_index", F.array_join(F.array_sort(text.tokenize("query")), " ").alias("signature"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT trim(regexp_replace(line, '\s+', ' ', 'g')) AS line, count(DISTINCT doc_id) AS n_docs FROM l GROUP BY 1)
+SELECT line, n_docs FROM n WHERE n_docs >= 5 AND length(line) BETWEEN 1 AND 139 AND line NOT LIKE '#%'
+""")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines that many documents repeat."""
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    n = lines.groupBy(text.clean_whitespace("line").alias("line")).agg(F.count_distinct("doc_id").alias("n_docs"))
+    return n.where((F.col("n_docs") >= 5) & F.length("line").between(1, 139) & ~F.startswith("line", F.lit("#")))
+
+
+@query("""
+WITH s AS (SELECT c_custkey, (c_custkey % 97) / 97.0 AS a, (c_custkey % 89) / 89.0 AS t FROM customer),
+k AS (SELECT c_custkey, least(0.999999, greatest(0.000001, a)) AS a, least(0.999999, greatest(0.000001, t)) AS t FROM s)
+SELECT c_custkey, round(least(1.0, greatest(a, 1 / (1 + exp(-(ln(a / (1 - a)) + 0.35 * greatest(0, ln(t / (1 - t)))))))), 6) AS boosted FROM k
+""")
+def title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: a passage's score lifted by its heading's."""
+    c = F.col("c_custkey")
+    return load(spark, sf_dir, "customer").select("c_custkey", F.round(scores.title_boost((c % 97) / 97.0, (c % 89) / 89.0), 6).alias("boosted"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS candidate, l_linenumber, CASE WHEN l_quantity > 40 THEN 0 ELSE (l_discount + l_tax) / 2 END AS page_score FROM lineitem)
+SELECT candidate, round(max(page_score), 6) AS page_score, round((max(page_score) + (candidate % 10) / 10.0) / 2, 6) AS final_score FROM p GROUP BY candidate
+""")
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of signals, the best page of a candidate, and the mean with its context."""
+    items = load(spark, sf_dir, "lineitem")
+    page = scores.page_score((F.col("l_quantity") <= 40, F.col("l_discount")), (F.lit(True), F.col("l_tax")))
+    pages = items.select(F.col("l_orderkey").alias("candidate"), page.alias("page_score"))
+    candidates = pages.select("candidate").distinct()
+    contexts = candidates.select("candidate", ((F.col("candidate") % 10) / 10.0).alias("context_score"))
+    return rounded(rerank.final_scores(candidates, pages, contexts).select("candidate", "page_score", "final_score"), "page_score", "final_score")
+
+
+@query(r"""
+SELECT doc_id, contains(lower(regexp_replace(text, '\s+', ' ', 'g')), 'the ') AND NOT contains(lower(regexp_replace(text, '\s+', ' ', 'g')), 'password') AS passes FROM documents
+""")
+def text_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """all needles that must be there, none that must not."""
+    inc = rerank.passes_text("text", None, ["password"]) & F.contains(text.dedupe_key("text"), F.lit("the "))
+    return load(spark, sf_dir, "documents").select("doc_id", inc.alias("passes"))
+
+
+@query()
+def document_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document."""
+    return passages.passages(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query()
+def ranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that answer its own first line, within the budget."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.select("doc_id", F.substring_index("text", "\n", 1).alias("query"))
+    found = passages.rank_passages(passages.passages(docs, "doc_id", "text"), queries, "doc_id")
+    return found.select("doc_id", "passage_id", "rank", "order", F.round("score", 6).alias("score"))
+
+
+@query()
+def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets and abstracts of a candidate without repeats."""
+    lines = F.split("text", "\n")
+    c = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate"), F.slice(lines, 1, 1).alias("snippets"), F.slice(lines, 2, 30).alias("abstracts"))
+    return rerank.context_documents(c).select("candidate", "at", F.length("text").alias("n_chars"))
+
+
+@query("""
+SELECT c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN 'cache' WHEN c_custkey % 3 = 0 THEN 'crawl' WHEN c_custkey % 5 = 0 THEN 'prefetched' ELSE '' END AS origin,
+    c_custkey % 2 <> 0 AND (c_custkey % 3 = 0 OR c_custkey % 5 = 0) AS write_back FROM customer
+""")
+def fetch_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC21, J1: cache, crawl and prefetched content by the order of a mode."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"), F.col("c_name").alias("content"))
+    return corpus.load_by_mode(c.select("url"), c.where("url % 2 = 0"), c.where("url % 3 = 0"), c.where("url % 5 = 0"), "fallback").select("url", "origin", "write_back")

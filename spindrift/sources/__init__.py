@@ -1 +1 @@
-"""Part of the library; see the README."""
+"""Where rows come from and go to: providers, crawled pages, caches, ledgers."""

@@ -1 +1 @@
-"""Part of the library; see the README."""
+"""Telemetry and metering as streams."""
