@@ -35,6 +35,8 @@ MARK = "▁"
 SEGMENTS, PAIRS = 500_000, 600_000
 END_ID = 2
 NEVER = 1 << 30
+#: Fixed value: how the unknown id reads.
+UNKNOWN = " ⁇ "
 
 
 class PrefixTable:
@@ -44,10 +46,11 @@ class PrefixTable:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
-        self.special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
+        self.special = {i for i in range(n) if model.is_control(i) or model.is_unused(i)}
+        unknown = {i for i in range(n) if model.is_unknown(i)}
         self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
-        normal = [i for i in range(n) if i not in self.special and i not in self.byte_of]
+        normal = [i for i in range(n) if i not in self.special and i not in unknown and i not in self.byte_of]
         self.id_of = {self.pieces[i]: i for i in normal}
         order = sorted(normal, key=lambda i: (-model.get_score(i), i))
         self.rank = {self.pieces[i]: r for r, i in enumerate(order)}
@@ -66,7 +69,7 @@ class PrefixTable:
         self.edges: dict[int, dict[int, list[tuple[int, str]]]] = {0: {}, -1: {}}
         self.known: dict[str, tuple[int, ...]] = {}
         self.alone = {i: self.merged(self.pieces[i]) == [i] for i in normal if len(self.pieces[i]) > 1}
-        self.shown = ["" if i in self.special else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        self.shown = ["" if i in self.special else UNKNOWN if i in unknown else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
         raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.shown)]
         self.raw, self.raw_length = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
         self.raw_start = np.cumsum(self.raw_length) - self.raw_length

@@ -85,7 +85,7 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def cutoffs_of(queries: list[dict]) -> np.ndarray:
     """A little lower where a double cannot hold the score."""
     found = np.array([-np.inf if q["cutoff"] is None else q["cutoff"] for q in queries])
-    return np.where(np.abs(found) < 2**53, found, found - np.abs(found) * 1e-15)
+    return np.where(np.abs(found) < 2**53, found, np.where(found > -(2.0**63), found - np.abs(found) * 1e-15, -np.inf))
 
 
 def runs(dim: int) -> list[slice]:
@@ -93,6 +93,11 @@ def runs(dim: int) -> list[slice]:
     return [slice(dim * g // m, dim * (g + 1) // m) for g in range(m)]
 
 
+def within(score: int) -> int:
+    """The score, or the nearest one that 64 bits hold."""
+    return max(min(score, 2**63 - 1), -(2**63))
+
+
 class Best:
     """The k best candidates of each query of a block so far: (-score, id, own place)."""
 
@@ -101,7 +106,7 @@ class Best:
 
     def add(self, query: int, scores: list, ids: list) -> None:
         kept = self.rows.get(query, [])
-        kept = sorted([*kept, *((-int(s), int(i)) for s, i in zip(scores, ids, strict=True))])[: self.k]
+        kept = sorted([*kept, *((-within(int(s)), int(i)) for s, i in zip(scores, ids, strict=True))])[: self.k]
         self.rows[query] = kept
 
 
@@ -206,7 +211,7 @@ def top_k(vectors: DataFrame, query_filter, k: int = 5, scale: float = 256.0, id
                     vs = np.frombuffer(x["vectors"].as_py()).reshape(len(ids), key[0])
                     (resolve(qv, own, cutoffs, ids, vs, x["block"].as_py(), best[key][0]) if last else gather(qv, own, ids, vs, x["block"].as_py(), best[key][0], k))
             for (dim, qb), (found, own) in best.items():
-                rows = [(dim, qb, own[q][0], own[q][1], own[q][2], max(min(-s, 2**63 - 1), -(2**63)), i) for q, kept in found.rows.items() for s, i in kept]
+                rows = [(dim, qb, own[q][0], own[q][1], own[q][2], -s, i) for q, kept in found.rows.items() for s, i in kept]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j < 2 else pa.int64()) for j, c in enumerate(zip(*rows, strict=True))], names=["dim", "qb", "block", "place", "query_id", "score", "vec_id"])
 

@@ -89,6 +89,6 @@ def top_k(vectors: list[tuple], k: int = 5) -> list[tuple]:
     out = []
     for n, (q, a) in enumerate(rows):
         if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for m, (i, b) in enumerate(rows) if m != n and len(a) == len(b))[:k]
+            best = sorted((-max(min(sum(x * y for x, y in zip(a, b, strict=True)), 2**63 - 1), -(2**63)), i) for m, (i, b) in enumerate(rows) if m != n and len(a) == len(b))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return out
