@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions import dates, html, scores, text, urls
+from spindrift.functions import dates, documents, html, markdown, scores, text, urls
 from spindrift.functions import json as js
 from spindrift.operators import budget, corpus, merge, passages, ranking, rerank
 from spindrift.sources import stores
@@ -543,3 +543,78 @@ def fetch_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC21, J1: cache, crawl and prefetched content by the order of a mode."""
     c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("url"), F.col("c_name").alias("content"))
     return corpus.load_by_mode(c.select("url"), c.where("url % 2 = 0"), c.where("url % 3 = 0"), c.where("url % 5 = 0"), "fallback").select("url", "origin", "write_back")
+
+
+@query(r"""
+SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\r\n?|\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS body FROM documents
+""")
+def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC23: clean lines of every document."""
+    return load(spark, sf_dir, "documents").select("doc_id", documents.plain_text("text").alias("body"))
+
+
+@query("""
+WITH l AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://arxiv.org/abs/' || page_id WHEN 1 THEN 'https://www.mdpi.com/' || page_id ELSE url END AS url FROM pages),
+c AS (SELECT *, CASE WHEN contains(url, 'arxiv.org') THEN 0 WHEN contains(url, 'mdpi.com') THEN 2 ELSE 1 END AS class FROM l)
+SELECT page_id, url, class::INTEGER AS class, row_number() OVER (ORDER BY class, page_id)::INTEGER AS place FROM c
+""")
+def link_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable sites first, refusing ones last, each in order."""
+    n, page_id = F.col("page_id") % 5, F.col("page_id").cast("string")
+    url = F.when(n == 0, F.concat(F.lit("https://arxiv.org/abs/"), page_id)).when(n == 1, F.concat(F.lit("https://www.mdpi.com/"), page_id)).otherwise(F.col("url"))
+    classed = load(spark, sf_dir, "pages").select("page_id", url.alias("url"), documents.link_class(url).alias("class"))
+    sizes = classed.groupBy("class").agg(F.count("*").alias("n"))
+    before = sizes.select("class", F.coalesce(F.sum("n").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("class").orderBy("page_id"))
+    return classed.withColumn("within", within).join(F.broadcast(before), "class").select("page_id", "url", "class", (F.col("within") + F.col("before")).cast("int").alias("place"))
+
+
+@query(r"""
+SELECT item_id, trim(regexp_replace(left(text, 20), '\s+', ' ', 'g')) AS title, 'A B; C' AS authors, CASE item_id % 3 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '2020-05-01' ELSE '2020-05-07' END AS published_date FROM benchmark
+""")
+def doi_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC29, D7: title, authors and date of registry records."""
+    parts = F.when(F.col("item_id") % 3 == 0, F.array(F.lit(2020))).when(F.col("item_id") % 3 == 1, F.array(F.lit(2020), F.lit(5))).otherwise(F.array(F.lit(2020), F.lit(5), F.lit(7)))
+    people = F.array(F.struct(F.lit("A").alias("given"), F.lit("B").alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.lit("C").alias("family")))
+    record = F.to_json(F.struct(F.array(F.regexp_replace(F.left("text", F.lit(20)), r"\s+", " ")).alias("title"), people.alias("author"), F.struct(F.array(parts).alias("date-parts")).alias("issued")))
+    rows = load(spark, sf_dir, "benchmark").select("item_id", record.alias("record")).select("item_id", documents.doi_record("record").alias("r"))
+    return rows.select("item_id", "r.title", "r.authors", "r.published_date")
+
+
+@query()
+def final_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished markdown and plain texts of every page."""
+    read = load(spark, sf_dir, "pages").select("page_id", html.page("html", "url")["markdown"].alias("m"))
+    return read.select("page_id", F.length(markdown.finalize("m")).alias("markdown_chars"), F.length(markdown.markdown_text("m")).alias("text_chars"), F.length(markdown.abstract_text("m")).alias("abstract_chars"))
+
+
+@query("""
+SELECT conv_id, list_sort(list(DISTINCT role)) AS roles, count(*) FILTER (turn > 2) AS late, bool_and(length(text) > 0) AS complete FROM conversations GROUP BY conv_id
+""")
+def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rounds of a conversation hold."""
+    c = load(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count_if(F.col("turn") > 2).alias("late"), F.bool_and(F.length("text") > 0).alias("complete"))
+
+
+@query("""
+WITH s AS (SELECT l_partkey AS canonical_url, l_orderkey * 10 + l_linenumber AS source_id, round(l_discount, 2) AS score, l_linenumber AS round_index FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY score DESC, round_index DESC, source_id DESC) AS n FROM s)
+SELECT canonical_url, source_id, score, round_index FROM r WHERE n = 1
+""")
+def canonical_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best source of each address."""
+    s = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("canonical_url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_id"), F.round("l_discount", 2).alias("score"), F.col("l_linenumber").alias("round_index"))
+    return corpus.canonical_first(s)
+
+
+@query("""
+WITH e AS (SELECT event_type AS batch, user_id AS key, 1.0 / (1 + row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) % 7) AS s FROM events)
+SELECT batch, key, round(max(s) / max(max(s)) OVER (PARTITION BY batch), 6) AS scaled FROM e GROUP BY batch, key
+""")
+def max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal ranks over the largest of their batch."""
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("user_id", "event_id")) % 7
+    e = load(spark, sf_dir, "events").select(F.col("event_type").alias("batch"), F.col("user_id").alias("key"), scores.reciprocal_rank(place + 1).alias("s"))
+    best = e.groupBy("batch", "key").agg(F.max("s").alias("s"))
+    return best.select("batch", "key", F.round(scores.over_max(F.col("s"), ["batch"]), 6).alias("scaled"))
