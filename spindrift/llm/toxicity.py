@@ -60,6 +60,7 @@ class Index:
         order = np.lexsort([self.ids, self.vectors[:, :-1].argmax(1) if self.vectors.size else self.ids, self.toxic])
         self.vectors, self.ids, self.toxic = self.vectors[order], self.ids[order], self.toxic[order]
         self.place = {t: i for i, t in enumerate(self.terms)}
+        self.heads = {t.removeprefix("=")[:4] for t in self.terms}
         self.starts = np.arange(0, len(self.ids), BLOCK)
         self.block_max = np.array([self.vectors[a : a + BLOCK].max(0) for a in self.starts]).T if len(self.ids) else np.zeros((len(self.terms) + 1, 0))
         self.seen: dict[bytes, tuple] = {}
@@ -74,7 +75,8 @@ class Index:
 
     def vector(self, text: str) -> np.ndarray:
         words = _words(text.lower())
-        hits = Counter(t for found in filter(None, map(self.terms_in, words)) for t in found)
+        heads = self.heads  # most words begin like no term, and end here
+        hits = Counter(t for w in words if w[:4] in heads for t in self.terms_in(w))
         x = np.zeros(len(self.terms) + 1)
         for t, n in hits.items():
             x[t] = n * self.idf[t]
