@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -113,31 +114,61 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def bit_row(tokens: np.ndarray) -> bytes:
+    """Size of the set, and the columns of the token-group matrix that it has: tokens by hash, two to four columns a token."""
+    bits = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    row = np.zeros(bits, bool)
+    row[tokens & (bits - 1)] = True
+    return len(tokens).to_bytes(4, "little") + np.packbits(row, bitorder="little").tobytes()
+
+
+def read_row(data: bytes) -> tuple[int, np.ndarray]:
+    return int.from_bytes(data[:4], "little"), np.frombuffer(data, np.uint8, offset=4)
+
+
+def folded(row: np.ndarray, width: int) -> np.ndarray:
+    """The row with so many bytes: columns that fall together are or-ed."""
+    while len(row) > width:
+        row = row[: len(row) // 2] | row[len(row) // 2 :]
+    return row
+
+
+def surely_missing(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the tokens of a that b lacks."""
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, width) & ~folded(b, width)).sum())
+
+
 def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (0, doc_id, size, signature) of documents and (1, token, copies, 0) of tokens that are frequent in this part."""
+    """Rows (0, doc_id, size, signature, bit row) of documents and (1, token, copies, 0, null) of tokens that are frequent in this part.
+
+    The bit row is given once for a set that several documents of the part have.
+    """
     held, size, seen = [], 0, set()
 
     def frequent() -> Iterator[pa.RecordBatch]:
         if held:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             some = n >= LOCAL
-            yield rows(1, tokens[some], n[some], np.zeros(some.sum(), np.int64))
+            yield rows(1, tokens[some], n[some], np.zeros(some.sum(), np.int64), [None] * int(some.sum()))
 
-    def rows(kind: int, a, b, c) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["kind", "a", "b", "c"])
+    def rows(kind: int, a, b, c, bits) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.binary())], names=["kind", "a", "b", "c", "bits"])
 
     for batch in text_slices(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         signs = [signature(s) for s in sets]
-        yield rows(0, batch.column(0), [len(s) for s in sets], signs)
-        for s, sign in zip(sets, signs, strict=True):
+        bits: list[bytes | None] = [None] * len(sets)
+        for i, (s, sign) in enumerate(zip(sets, signs, strict=True)):
             if len(s) and sign not in seen:
                 seen.add(sign)
+                bits[i] = bit_row(s)
                 held.append(s)
                 size += len(s)
-                if size >= COUNTED:
-                    yield from frequent()
-                    held, size, seen = [], 0, set()
+        yield rows(0, batch.column(0), [len(s) for s in sets], signs, bits)
+        if size >= COUNTED:
+            yield from frequent()
+            held, size, seen = [], 0, set()
     yield from frequent()
 
 
@@ -273,8 +304,29 @@ def bloom_places(values: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
 
 
+def bloom_hits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = bloom_places(values, len(bits) * 8)
+    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(0)
+
+
+def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (distinct doc_id): exact, and only rows that a bounded filter of the ids lets through are shuffled."""
+    gone = durable(gone)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(gone, gone.count()))
+
+    def hit(ids: pd.Series) -> pd.Series:
+        there = ids.notna().to_numpy()
+        out = np.zeros(len(ids), bool)
+        out[there] = bloom_hits(ids[there].to_numpy(np.int64), shared.value)
+        return pd.Series(out)
+
+    is_hit = F.pandas_udf(hit, "boolean")(F.col("doc_id"))
+    doubtful = docs.where(is_hit).join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.where(~is_hit).unionByName(doubtful)
+
+
 def token_sets(docs: DataFrame, summary: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its tokens, for the nodes named: only texts that a bounded filter of their ids lets through are cut into shingles again."""
+    """node and its tokens (payload), for the nodes named: only texts that a bounded filter of their ids lets through are cut into shingles again."""
     chosen = durable(summary.join(nodes, summary["node"] == nodes["node"], "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     shared = docs.sparkSession.sparkContext.broadcast(bloom_of(chosen.select("doc_id"), chosen.count()))
 
@@ -282,48 +334,92 @@ def token_sets(docs: DataFrame, summary: DataFrame, nodes: DataFrame) -> DataFra
         bits = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            at = bloom_places(ids, len(bits) * 8)
-            in_ = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(0)
-            for part in text_slices([batch.filter(pa.array(in_))]):
+            for part in text_slices([batch.filter(pa.array(bloom_hits(ids, bits)))]):
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "payload"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, node long, tokens binary").select("node", "tokens")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, node long, payload binary").select("node", "payload")
 
 
-def verified(targets: DataFrame, queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) of queries (part, node) with the members of their part: targets (part, node); sets: node, tokens.
+def beside(targets: DataFrame, queries: DataFrame, data: DataFrame, judge, schema: str) -> DataFrame:
+    """What judge finds for every query (part, node) beside the members of its part: targets (part, node); data: node, payload.
 
     A part's members come first in its task, then its queries one after the other; a part with many queries is
-    dealt to several tasks. Its union of tokens bounds every query before any member is compared.
+    dealt to several tasks. judge takes the members [(node, payload)] and gives a function of a query.
     """
     many = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
     copies = targets.join(many, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     dealt = queries.join(many, "part").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     wanted = copies.select("part", "salt", F.lit(0).alias("kind"), "node").unionByName(dealt.select("part", "salt", F.lit(1).alias("kind"), "node"))
-    rows = wanted.join(sets, "node").select("part", "salt", "kind", "node", "tokens")
+    rows = wanted.join(data, "node").select("part", "salt", "kind", "node", "payload")
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, members, union = None, [], None
+        at, members, judged = None, [], None
         for batch in batches:
-            found = []
-            for p, s, kind, node, tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                tokens = np.frombuffer(tokens, np.int64)
-                if (p, s) != part:
-                    part, members, union = (p, s), [], None
+            found: list[tuple[int, int]] = []
+            for p, s, kind, node, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (p, s) != at:
+                    at, members, judged = (p, s), [], None
                 if not kind:
-                    members.append((node, tokens))
+                    members.append((node, payload))
                     continue
-                if union is None and members:
-                    union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([t for _, t in members]))
-                if members and MOST * common(tokens, union) >= LEAST * len(tokens):
-                    found += [(m, node) for m, t in members if m != node and linked(t, tokens)]
+                if judged is None:
+                    judged = judge(p, members)
+                found += judged(node, payload)
             if found:
                 a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+
+    return rows.repartition(n, "part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(run, schema)
+
+
+def bound_judge(part: int, members: list[tuple[int, bytes]]):
+    """Whether a query may link with a member: by the matrix's row of the part, the union of its members."""
+    read = [read_row(x) for _, x in members]
+    width = min((len(r) for _, r in read), default=8)
+    union = np.zeros(width, np.uint8)
+    for _, r in read:
+        union |= folded(r, width)
+    least = min((n for n, _ in read), default=0)
+    alone = read[0][1] if len(read) == 1 else None
+    one = members[0][0] if len(members) == 1 else None
+
+    def may(node: int, payload: bytes) -> list[tuple[int, int]]:
+        if not read or node == one:
+            return []
+        n, row = read_row(payload)
+        need = -(-LEAST * (n + max(least, -(-LEAST * n // MOST))) // (LEAST + MOST))
+        if n - surely_missing(row, union if alone is None else alone) < need:
+            return []
+        return [] if alone is not None and least - surely_missing(alone, row) < need else [(part, node)]
+
+    return may
+
+
+def link_judge(part: int, members: list[tuple[int, bytes]]):
+    """The members that a query links with, once it qualifies by the union of their tokens."""
+    sets = [(m, np.frombuffer(x, np.int64)) for m, x in members]
+    union = sets[0][1] if len(sets) == 1 else np.unique(np.concatenate([t for _, t in sets])) if sets else np.empty(0, np.int64)
+
+    def links(node: int, payload: bytes) -> list[tuple[int, int]]:
+        tokens = np.frombuffer(payload, np.int64)
+        if MOST * common(tokens, union) < LEAST * len(tokens):
+            return []
+        return [(m, node) for m, t in sets if m != node and linked(t, tokens)]
+
+    return links
+
 
-    return rows.repartition(n, "part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(run, "a long, b long")
+def verified(docs: DataFrame, summary: DataFrame, targets: DataFrame, queries: DataFrame) -> DataFrame:
+    """Links (a, b) of the queries (part, node) with members of their parts: the bound first, then only groups that qualify are opened."""
+    nodes = targets.select("node").unionByName(queries.select("node")).distinct()
+    rows = summary.where("bits is not null").join(nodes, "node", "left_semi").select("node", F.col("bits").alias("payload"))
+    open_ = durable(beside(targets, queries, rows, bound_judge, "part long, node long").distinct())
+    members = targets.join(open_.select("part").distinct(), "part", "left_semi")
+    needed = members.select("node").unionByName(open_.select("node")).distinct()
+    return durable(beside(members, open_, token_sets(docs, summary, needed), link_judge, "a long, b long"))
 
 
 def group_queries(shared: DataFrame, sizes: DataFrame, buckets: int) -> DataFrame:
@@ -364,8 +460,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = durable(docs.mapInArrow(summarise, "kind int, a long, b long, c long"))
-    summary = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
+    rows = durable(docs.mapInArrow(summarise, "kind int, a long, b long, c long, bits binary"))
+    summary = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"), "bits")
     counted = rows.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = counted.orderBy(F.desc("n"), "a").limit(MOST_FREQUENT).toPandas().sort_values("a")
     tokens, copies = frequent["a"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
@@ -376,9 +472,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made = durable(docs.select("text").mapInArrow(post(shared, buckets), POSTINGS).groupBy("bucket").applyInArrow(candidates(shared), CANDIDATES))
     pairs = durable(made.where("kind = 0").select(F.col("a").alias("part"), F.col("b").alias("node")).distinct())
     wide = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "place")
-    leaders = pairs.select("part", F.col("part").alias("node")).distinct()
-    sets = durable(token_sets(docs, summary, leaders.select("node").unionByName(pairs.select("node")).distinct()))
-    links = durable(verified(leaders, pairs, sets))
+    links = verified(docs, summary, pairs.select("part", F.col("part").alias("node")).distinct(), pairs)
     groups = connected_components(links)
 
     n = groups.groupBy("component").agg(F.count("*").alias("n"))
@@ -388,11 +482,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not queries.isEmpty():
         members = sizes.select("node", "part").unionByName(queries.select(F.col("part").alias("node"), "part").distinct().join(sizes.select("node"), "node", "left_anti"))
         members = members.join(queries.select("part").distinct(), "part", "left_semi")
-        needed = members.select("node").unionByName(queries.select("node")).distinct()
-        sets = durable(token_sets(docs, summary, needed))
-        more = durable(verified(members, queries, sets))
+        more = verified(docs, summary, members, queries)
         if not more.isEmpty():
             groups = connected_components(links.unionByName(more))
+    summary = summary.drop("bits")
     labelled = summary.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = labelled.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(firsts, "component", "left")

@@ -56,20 +56,16 @@ def pairs(df) -> list[tuple]:
 
 
 def test_near_duplicates(docs, empty):
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
-    assert found == brute.near_duplicates(pairs(docs))
-    assert ngram_join.near_duplicates(empty).count() == 0
-
-
-def test_near_duplicates_repeated_rows(docs):
+    """Every odd text, some rows twice; and no rows at all."""
     twice = docs.unionByName(docs.where("doc_id < 20"))
     rows = ngram_join.near_duplicates(twice).collect()
     assert len(rows) == twice.count()
     expected = brute.near_duplicates(pairs(docs))
     assert all((r.n_shingles, r.component_id) == expected[r.doc_id] for r in rows)
+    assert ngram_join.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_wide_lists(spark, monkeypatch):
+def test_near_duplicates_wide_lists(spark):
     """Families whose members link in chains, with lists that must be split and parts that must be opened."""
     texts = []
     for family in range(4):
@@ -82,7 +78,7 @@ def test_near_duplicates_wide_lists(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()} == expected
 
 
-def test_pieces_of_one_list(monkeypatch):
+def test_pieces_of_one_list():
     """A piece of a split list keeps all its postings, however few they are."""
     import numpy as np
     import pyarrow as pa
@@ -322,3 +318,34 @@ def test_chat_layouts(spark):
     assert got[1][1] == [("user", "q\n\nmore"), ("assistant", "a")]
     assert all(got[i][1] == plain for i in (0, 2, 3, 4, 5, 6))
     assert all(got[i][1] == [] for i in (7, 8, 9))
+
+
+def test_bound_is_safe():
+    """The matrix's rows never rule out a link."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (1, 3, 40, 700):
+        for share in (0.0, 0.5, 0.8, 0.89, 0.95, 1.0):
+            a = np.unique(r.integers(-(2**62), 2**62, n))
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], r.integers(-(2**62), 2**62, n - int(n * share))]))
+            may = ngram_join.bound_judge(1, [(1, ngram_join.bit_row(a))])(2, ngram_join.bit_row(b))
+            assert may or not ngram_join.linked(a, b)
+            wide = ngram_join.bound_judge(1, [(1, ngram_join.bit_row(a)), (3, ngram_join.bit_row(np.arange(5)))])(2, ngram_join.bit_row(b))
+            assert wide or not ngram_join.linked(a, b)
+
+
+def test_components(spark):
+    from spindrift.llm.components import connected_components
+
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (50, 75), (7, 7)] + [(200 + i, 260 - i) for i in range(20)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and got[100] == got[75] == 50
+    assert all(got[200 + i] == got[260 - i] == 200 + i for i in range(20))
+
+
+def test_rows_without(spark):
+    docs = spark.createDataFrame([(i if i != 7 else None, str(i)) for i in range(2000)], "doc_id long, text string")
+    gone = spark.range(0, 2000, 3).select(F.col("id").alias("doc_id"))
+    left = [r.text for r in ngram_join.rows_without(docs, gone).collect()]
+    assert sorted(left, key=int) == [str(i) for i in range(2000) if i == 7 or i % 3]
