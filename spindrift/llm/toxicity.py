@@ -37,6 +37,8 @@ from spindrift.llm.common import durable, map_texts, remainder, text_slices
 PER_CLASS, MAX_TERMS, NEIGHBOURS, BLOCK, BACKGROUND = 2000, 300, 10, 64, 0.05
 _words = re.compile(r"\w+").findall
 MEMORY = 400_000
+#: Chi-square from which a term tells: beyond what chance, or a group of some copies among the examples, reaches (less for few examples).
+CERTAIN = 100.0
 
 
 def terms_of(word: str) -> list[str]:
@@ -135,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep, per_class: int = PER_CLASS, ma
     sums = texts.mapInArrow(stats, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p, q, df = F.col("n1") / width(n1), F.col("n0") / width(n0), (F.col("n0") + F.col("n1")) / width(n0 + n1)
     least = max(1, min(5, n1 // 10))
-    told = sums.where((F.col("n1") >= least) & (p > q)).withColumn("tells", F.round((p - q) * (p - q) / (df * (1 - df) + 1e-9), 9))
-    chosen = told.orderBy(F.desc("tells"), "term").limit(max_terms).collect()
+    told = sums.where((F.col("n1") >= least) & (p > q)).withColumn("tells", F.round((p - q) * (p - q) / (df * (1 - df) + 1e-9) / (1 / width(n0) + 1 / width(n1)), 9))
+    chosen = told.where(F.col("tells") >= min(CERTAIN, n1 / 4)).orderBy(F.desc("tells"), "term").limit(max_terms).collect()
     terms = [r.term for r in chosen]
     idf = np.log((n0 + n1 + 1) / (np.array([r.n0 + r.n1 for r in chosen]) + 1)) if chosen else np.empty(0)
     blank = Index(terms, idf, np.empty((0, len(terms) + 1)), np.empty(0, np.int64), np.empty(0, np.int64), (1.0, 1.0), prior)
