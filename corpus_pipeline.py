@@ -29,7 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each component of near-duplicates the document with the smallest id; documents without words all stay."""
     found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    return ngram_join.rows_without(docs.select(*COLUMNS), copies)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
