@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import map_texts, remainder
 
-DIMENSIONS, PER_LANGUAGE, MEMORY = 4096, 400, 300_000
+DIMENSIONS, PER_LANGUAGE, MEMORY = 4096, 400, 200_000
 #: Letters, in runs of at most 40 (longer ones are taken in parts).
 _words = re.compile(r"[^\W\d_]{1,40}").findall
 #: Families of languages; a language that is not here is a family of its own.

@@ -32,7 +32,7 @@ from spindrift.llm.common import map_texts
 
 MARK = "▁"
 #: Remembered segments and pairs a worker; beyond that the memory starts anew.
-SEGMENTS, PAIRS = 500_000, 600_000
+SEGMENTS, PAIRS = 250_000, 300_000
 END_ID = 2
 NEVER = 1 << 30
 #: Fixed value: how the unknown id reads.
