@@ -67,29 +67,22 @@ LAYOUTS = (
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted distinct paths of the fields of a variant, two arrays or objects deep within each other at most three times."""
-    paths: Column = F.array().cast("array<string>")
-    keys = lambda json: F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    text = F.to_json(record)
-    top = keys(text)
-    paths = F.concat(paths, top)
-
-    def inner(prefix: Column, json: Column) -> Column:
+    """Sorted distinct paths of the fields of a variant, two arrays or objects deep within each other at most three times; texts are values, also where they hold JSON."""
+    pairs = "array<struct<key:string,value:variant>>"
+    entries = lambda value: F.coalesce(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), F.array().cast(pairs))
+    keys = lambda value: F.transform(entries(value), lambda e: e["key"])
+
+    def inner(prefix: Column, value: Column) -> Column:
         """Paths right under one value, which is an object or an array of objects."""
-        elements = F.from_json(json, "array<string>")
-        of_array = F.flatten(F.transform(F.coalesce(elements, F.array().cast("array<string>")), lambda e: F.transform(keys(e), lambda k: F.concat(prefix, F.lit("[]."), k))))
-        of_object = F.transform(keys(json), lambda k: F.concat(prefix, F.lit("."), k))
-        return F.when(F.startswith(json, F.lit("[")), of_array).otherwise(of_object)
-
-    level = F.from_json(text, "map<string,string>")
-    second = F.flatten(F.transform(F.coalesce(F.map_entries(level), F.array().cast("array<struct<key:string,value:string>>")), lambda e: inner(e["key"], F.coalesce(e["value"], F.lit("")))))
-    third = F.flatten(
-        F.transform(
-            F.coalesce(F.map_entries(level), F.array().cast("array<struct<key:string,value:string>>")),
-            lambda e: F.flatten(F.transform(F.coalesce(F.map_entries(F.from_json(F.when(F.startswith(e["value"], F.lit("{")), e["value"]), "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>")), lambda x: inner(F.concat(e["key"], F.lit("."), x["key"]), F.coalesce(x["value"], F.lit(""))))),
-        )
-    )
-    return F.array_sort(F.array_distinct(F.concat(paths, second, third)))
+        elements = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        of_array = F.flatten(F.transform(elements, lambda e: F.transform(keys(e), lambda k: F.concat(prefix, F.lit("[]."), k))))
+        of_object = F.transform(keys(value), lambda k: F.concat(prefix, F.lit("."), k))
+        return F.concat(of_array, of_object)
+
+    level = entries(record)
+    second = F.flatten(F.transform(level, lambda e: inner(e["key"], e["value"])))
+    third = F.flatten(F.transform(level, lambda e: F.flatten(F.transform(entries(e["value"]), lambda x: inner(F.concat(e["key"], F.lit("."), x["key"]), x["value"])))))
+    return F.array_sort(F.array_distinct(F.concat(keys(record), second, third)))
 
 
 def fingerprint(paths: Column) -> Column:

@@ -297,6 +297,22 @@ def test_chat(spark):
     assert chat.digests(chat.format_chat(chat.row_records(table.where("false")), "conv_id", ["turn"])).count() == 0
 
 
+def test_chat_json_texts(spark):
+    """Texts that hold JSON, whole or at their start, are texts."""
+    import json
+
+    said = ['{"a": 1}', '{"a": 1} and then words', '[{"b": 2}]', '{"a": {"b": [{"c": 1}]}}', '["x"]', '"x"', "1", "null", "{"]
+    rows = [(1, turn, ["user", "assistant"][turn % 2], text) for turn, text in enumerate(said)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.format_chat(chat.row_records(table), "conv_id", ["turn"])).first()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == brute.chat_digest([(r, x) for _, _, r, x in rows])
+    records = [{"prompt": '{"a": 1}', "completion": '[{"b": 2}]'}, {"messages": [{"role": "user", "content": '{"a": 1}'}]}, {"data": {"messages": [{"role": "user", "content": '[{"b": 2}]'}]}}, {"messages": ['{"role": "user", "content": "q"}']}]
+    name, turns = chat.canonical_turns(F.col("record"))
+    found = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, record string").select("id", name.alias("name"), turns.alias("turns")).orderBy("id").collect()
+    assert [r.name for r in found] == ["prompt_completion", "messages", "nested_messages", None]
+    assert [[t.text for t in r.turns] for r in found[:3]] == [['{"a": 1}', '[{"b": 2}]'], ['{"a": 1}'], ['[{"b": 2}]']]
+
+
 def test_chat_layouts(spark):
     import json
 
