@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping; nothing is collected."""
+"""Connected components by hooking of roots with pointer jumping; nothing is collected."""
 
 from __future__ import annotations
 
@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import durable
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """node and component (smallest node reachable) of every node of edges (a, b); durable.
 
-    Each round takes the least label of the neighbours and then the label of the label, so the
-    number of rounds grows with the logarithm of the longest path for paths in label order.
+    Each round a node, and also the node of its label, takes the least label of a label among
+    the node's neighbours, and labels jump to the label of the label. Whole trees hook at once, so
+    rounds grow with the logarithm of the longest path in any order of labels (about 11 for a chain
+    of 1,000, 20 for 1,000,000). Ends when no label changes; raises after most_rounds.
     """
     both = durable(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        new = durable(lower.join(up, "low", "left").select("node", "was", F.least("low", F.coalesce("jump", "low")).alias("component")))
+    for _ in range(most_rounds):
+        up = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
+        jumped = durable(labels.join(up, "component").select("node", "component", "jump"))
+        near = both.join(jumped.select(F.col("node").alias("b"), "jump"), "b").groupBy(F.col("a").alias("node")).agg(F.min("jump").alias("near"))
+        low = jumped.join(near, "node").select("node", "component", F.least("jump", "near").alias("low"), "near")
+        taken = low.select(F.explode(F.array(F.struct("node", "low", F.col("component").alias("was")), F.struct(F.col("component").alias("node"), F.col("near").alias("low"), F.lit(None).alias("was")))).alias("t")).select("t.*")
+        new = durable(taken.groupBy("node").agg(F.min("low").alias("component"), F.min("was").alias("was")))
         labels = new.select("node", "component")
         if new.where("component <> was").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components still change after {most_rounds} rounds")

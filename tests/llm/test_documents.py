@@ -360,6 +360,18 @@ def test_components(spark):
     assert all(got[200 + i] == got[260 - i] == 200 + i for i in range(20))
 
 
+def test_components_of_long_chains(spark):
+    """A chain of 1,000 nodes in random order of labels is one component; a guard that is met raises."""
+    from spindrift.llm.components import connected_components
+
+    labels = random.Random(6).sample(range(10**6), 1000)
+    edges = spark.createDataFrame(list(zip(labels, labels[1:], strict=False)), "a long, b long")
+    got = connected_components(edges).collect()
+    assert len(got) == 1000 and {r.component for r in got} == {min(labels)}
+    with pytest.raises(RuntimeError):
+        connected_components(edges, 3)
+
+
 def test_rows_without(spark):
     docs = spark.createDataFrame([(i if i != 7 else None, str(i)) for i in range(2000)], "doc_id long, text string")
     gone = spark.range(0, 2000, 3).select(F.col("id").alias("doc_id"))
