@@ -3,9 +3,10 @@
 The whole text is searched as it is (the base spans). Then layers are unwrapped: URL
 escapes and Unicode escapes of a layer as a whole, base64 runs one by one, and
 compressed bytes that base64 held. Every new layer is searched and goes back on the
-worklist; a layer that was seen before in this text is not taken again, so the work
-ends. Each character of a layer knows the part of the source text it comes from, so
-what a layer shows is reported as a span of the source.
+worklist; a layer that was seen before at the same place of this text is not taken
+again, so the work ends, and each copy of a layer is reported. Each character of a
+layer knows the part of the source text it comes from, so what a layer shows is
+reported as a span of the source.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are
 searched whole; a compressed layer that opens to more than MOST_BYTES is left closed;
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -124,28 +126,45 @@ def unescaped(text: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray,
     return "".join([*parts, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
 
 
+#: Where the characters of a layer come from: the source itself, one part of it for all, or a start and an end for each.
+Place = None | tuple[int, int] | tuple[np.ndarray, np.ndarray]
+
+
+def source_span(place: Place, start: int, end: int) -> tuple[int, int]:
+    if place is None:
+        return start, end
+    a, b = place
+    return (a, b) if isinstance(a, int) else (int(a[start]), int(b[end - 1]))
+
+
+def layer_key(text: str, place: Place) -> bytes:
+    """Digest of a layer and of where it comes from."""
+    digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=32)
+    for x in place or ():
+        digest.update(b"\xff" + (str(x).encode() if isinstance(x, int) else x.tobytes()))
+    return digest.digest()
+
+
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and all spans, each by start and kind."""
     by = lambda x: (x[0], KINDS.index(x[2]), x[1])
     base = sorted(base_spans(text), key=by)
-    spans, seen = set(base), {text}
-    work: deque = deque([(text, None, None)])
+    spans, seen = set(base), set()
+    work: deque[tuple[str, Place]] = deque([(text, None)])
     while work:
-        layer, starts, ends = work.popleft()
-        inner = []
+        layer, place = work.popleft()
+        inner: list[tuple[str, Place]] = []
         for pattern, decode, mark in ((URL_ESCAPES, unescape_url, "%"), (UNICODE_ESCAPES, unescape_unicode, "\\")):
             if mark in layer and (got := unescaped(layer, pattern, decode)):
                 new, a, b = got
-                inner.append((new, a if starts is None else starts[a], b if ends is None else ends[b - 1]))
+                inner.append((new, (a, b) if place is None else place if isinstance(place[0], int) else (place[0][a], place[1][b - 1])))
         for m in BASE64.finditer(layer):
-            for new in open_base64(m[0]):
-                a, b = (m.start(), m.end()) if starts is None else (int(starts[m.start()]), int(ends[m.end() - 1]))
-                inner.append((new, np.full(len(new), a), np.full(len(new), b)))
-        for new, a, b in inner:
-            if new not in seen:
-                seen.add(new)
-                spans.update((int(a[s]), int(b[e - 1]), kind) for s, e, kind in base_spans(new))
-                work.append((new, a, b))
+            inner += [(new, source_span(place, m.start(), m.end())) for new in open_base64(m[0])]
+        for new, at in inner:
+            if (key := layer_key(new, at)) not in seen:
+                seen.add(key)
+                spans.update((*source_span(at, s, e), kind) for s, e, kind in base_spans(new))
+                work.append((new, at))
     return base, sorted(spans, key=by)
 
 

@@ -124,6 +124,16 @@ def test_secret_layers_end():
     assert secrets.open_base64("A" * 16 + "=") == []
 
 
+def test_secret_layers_at_every_place():
+    """A payload that stands twice, in escapes as well, or in two encodings is found at each place."""
+    once = base64.b64encode(b"token=abcdef123456").decode()
+    packed = base64.b64encode(gzip.compress(b"token=abcdef123456")).decode()
+    escaped = "".join(f"%{ord(c):02X}" for c in once)
+    text = f"a {once} b {once} c {packed} d {escaped} e {packed} f"
+    assert [text[a:b] for a, b, _ in secrets.all_spans(text)[1]] == [once, once, packed, escaped, packed]
+    assert secrets.redact(text) == "a [secret] b [secret] c [secret] d [secret] e [secret] f"
+
+
 def test_redact_keeps_rows(docs):
     clean = secrets.redact_texts(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
