@@ -9,8 +9,8 @@ layer knows the part of the source text it comes from, so what a layer shows is
 reported as a span of the source.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are
-searched whole; a compressed layer that opens to more than MOST_BYTES is left closed;
-repeated rows give repeated results; an empty table gives an empty table; columns other
+searched whole, and so are compressed layers of any size and with any number of members,
+in parts that end at line ends, up to where a stream is broken; repeated rows give repeated results; an empty table gives an empty table; columns other
 than the id and the text are dropped, so clashing names cannot matter.
 """
 
@@ -18,15 +18,18 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
+from collections.abc import Callable, Iterator
+from functools import partial
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from spindrift.llm.common import map_texts
@@ -39,7 +42,11 @@ KEYWORDS = re.compile(r"passw|secret|token|api_?key")
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
-MOST_BYTES = 16 << 20
+CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: Line ends that no match, escape or base64 run crosses.
+SAFE_END = re.compile(r"[^A-Za-z0-9+/_=\r\n-]\r?\n")
+#: Bytes of a compressed layer that are opened at once, and characters that are searched at once.
+PIECE, PART = 1 << 20, 4 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -63,51 +70,118 @@ def unescape_unicode(run: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def open_bytes(data: bytes) -> bytes | None:
-    """What compressed bytes hold; None if they are not compressed, broken or too large."""
+def decompressor(head: bytes) -> tuple[Callable, bytes] | None:
+    """What makes a decompressor, and how each member starts, of bytes that start so; None if they are not compressed."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2]) % 31 == 0:
+        return lambda: zlib.decompressobj(47), head[:2]
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor, head[:3]
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor, head[:6]
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor, head[:4]
+    return None
+
+
+class Chunks:
+    """Chunks as a file that is read forward."""
+
+    def __init__(self, chunks: Iterator[bytes]) -> None:
+        self.chunks = chunks
+
+    def read(self, size: int = -1) -> bytes:
+        return next(self.chunks, b"")
+
+
+def open_members(chunks: Iterator[bytes], new: Callable, magic: bytes) -> Iterator[bytes]:
+    """What all members of a compressed stream hold, in pieces of at most PIECE bytes."""
+    if new is zstandard.ZstdDecompressor:
+        with new(max_window_size=1 << 31).stream_reader(Chunks(chunks), read_across_frames=True) as reader:
+            while out := reader.read(PIECE):
+                yield out
+        return
+    d, data = new(), b""
+    for chunk in chunks:
+        data += chunk
+        while data:
+            if d.eof:
+                data = data.lstrip(b"\0")  # padding
+                if len(data) < len(magic):
+                    break
+                if not data.startswith(magic):
+                    return
+                d = new()
+            while True:
+                out = d.decompress(data, PIECE)
+                if out:
+                    yield out
+                data = d.unused_data if d.eof else getattr(d, "unconsumed_tail", b"")
+                if d.eof or not data and len(out) < PIECE:
+                    break
+
+
+def opened(chunks: Iterator[bytes], new: Callable, magic: bytes) -> Iterator[bytes]:
+    """open_members as far as the stream is whole."""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0:
-            d = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=64 << 20)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor(max_window_size=1 << 24).stream_reader(data) as reader:
-                out = reader.read(MOST_BYTES + 1)
-            return out if len(out) <= MOST_BYTES else None
-        else:
-            return None
-        out = d.decompress(data, MOST_BYTES + 1)
-        return out if len(out) <= MOST_BYTES else None
-    except Exception:  # noqa: BLE001 - any broken stream is no layer
-        return None
+        yield from open_members(chunks, new, magic)
+    except (zlib.error, lzma.LZMAError, zstandard.ZstdError, OSError, EOFError, ValueError):
+        return
 
 
-def readable(data: bytes) -> str | None:
-    """Text of bytes that are text: UTF-8 without control characters other than white space."""
+def readable(chunks: Iterator[bytes]) -> bool:
+    """Whether bytes are text: UTF-8 without control characters other than white space."""
+    decoder, some = codecs.getincrementaldecoder("utf-8")(), False
     try:
-        text = data.decode()
+        for chunk in chunks:
+            text = decoder.decode(chunk)
+            if CONTROL.search(text):
+                return False
+            some = some or bool(text)
+        decoder.decode(b"", True)
     except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+        return False
+    return some
+
+
+def text_parts(chunks: Iterator[bytes]) -> Iterator[str]:
+    """Text in parts of about PART characters, cut only at line ends that nothing we look for can cross; a part grows until there is one."""
+    decoder, held, size, least = codecs.getincrementaldecoder("utf-8")(), [], 0, PART
+    for chunk in chunks:
+        held.append(decoder.decode(chunk))
+        size += len(held[-1])
+        if size >= least:
+            text = "".join(held)
+            at = max((m.end() for m in SAFE_END.finditer(text)), default=0)
+            if at:
+                yield text[:at]
+            held, size = [text[at:]], len(text) - at
+            least = max(PART, 2 * size)
+    if text := "".join(held):
+        yield text
+
+
+def base64_parts(run: str) -> Iterator[str]:
+    """Text that a base64 run holds, through compressed layers, in parts."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return
+    data = base64.b64decode(body + "=" * (-len(body) % 4))
+    source, seen = (lambda: iter((data,))), set()
+    while not readable(source()):
+        if not (kind := decompressor(next(source(), b"")[:6])):
+            return
+        digest = hashlib.blake2b()
+        for chunk in source():
+            digest.update(chunk)
+        if digest.digest() in seen:
+            return
+        seen.add(digest.digest())
+        source = partial(lambda inner, kind: opened(inner(), *kind), source, kind)
+    yield from text_parts(source())
 
 
 def open_base64(run: str) -> list[str]:
-    """Texts that a base64 run holds, through compressed layers."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return []
-    data: bytes | None = base64.b64decode(body + "=" * (-len(body) % 4))
-    seen = set()
-    while data is not None and data not in seen:
-        if (text := readable(data)) is not None:
-            return [text]
-        seen.add(data)
-        data = open_bytes(data)
-    return []
+    return list(base64_parts(run))
 
 
 def unescaped(text: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -145,26 +219,32 @@ def layer_key(text: str, place: Place) -> bytes:
     return digest.digest()
 
 
+def inner_layers(layer: str, place: Place) -> Iterator[tuple[str, Place]]:
+    """Layers right under one, and where they come from; one lives at a time."""
+    for pattern, decode, mark in ((URL_ESCAPES, unescape_url, "%"), (UNICODE_ESCAPES, unescape_unicode, "\\")):
+        if mark in layer and (got := unescaped(layer, pattern, decode)):
+            new, a, b = got
+            yield new, (a, b) if place is None else place if isinstance(place[0], int) else (place[0][a], place[1][b - 1])
+    for m in BASE64.finditer(layer):
+        for new in base64_parts(m[0]):
+            yield new, source_span(place, m.start(), m.end())
+
+
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and all spans, each by start and kind."""
     by = lambda x: (x[0], KINDS.index(x[2]), x[1])
     base = sorted(base_spans(text), key=by)
     spans, seen = set(base), set()
-    work: deque[tuple[str, Place]] = deque([(text, None)])
+    work = [inner_layers(text, None)]
     while work:
-        layer, place = work.popleft()
-        inner: list[tuple[str, Place]] = []
-        for pattern, decode, mark in ((URL_ESCAPES, unescape_url, "%"), (UNICODE_ESCAPES, unescape_unicode, "\\")):
-            if mark in layer and (got := unescaped(layer, pattern, decode)):
-                new, a, b = got
-                inner.append((new, (a, b) if place is None else place if isinstance(place[0], int) else (place[0][a], place[1][b - 1])))
-        for m in BASE64.finditer(layer):
-            inner += [(new, source_span(place, m.start(), m.end())) for new in open_base64(m[0])]
-        for new, at in inner:
-            if (key := layer_key(new, at)) not in seen:
-                seen.add(key)
-                spans.update((*source_span(at, s, e), kind) for s, e, kind in base_spans(new))
-                work.append((new, at))
+        if (found := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        new, at = found
+        if (key := layer_key(new, at)) not in seen:
+            seen.add(key)
+            spans.update((*source_span(at, s, e), kind) for s, e, kind in base_spans(new))
+            work.append(inner_layers(new, at))
     return base, sorted(spans, key=by)
 
 

@@ -134,6 +134,31 @@ def test_secret_layers_at_every_place():
     assert secrets.redact(text) == "a [secret] b [secret] c [secret] d [secret] e [secret] f"
 
 
+def test_secret_layers_of_any_size():
+    """Large dictionaries and windows, long layers, several members and a broken end are no reason to leave a layer closed."""
+    import bz2
+    import lzma
+
+    import zstandard
+
+    secret = b"password=hunter2hunter2\n"
+    long = b"all is well here.\n" * (1 << 20)
+    window = zstandard.ZstdCompressionParameters(window_log=27, write_content_size=False)
+    writer = zstandard.ZstdCompressor(compression_params=window).compressobj()
+    packed = [
+        lzma.compress(secret, preset=9),
+        writer.compress(long + secret) + writer.flush(),
+        gzip.compress(secret + long),
+        gzip.compress(long + secret),
+        *(pack(b"plain words.\n") + pack(secret) for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress)),
+        gzip.compress(gzip.compress(b"plain words.\n") + gzip.compress(secret)),
+        bz2.compress(secret) + b"BZh9 and no more",
+    ]
+    for data in packed:
+        run = base64.b64encode(data).decode()
+        assert secrets.all_spans(f"see {run} end")[1] == [(4, 4 + len(run), "assign")]
+
+
 def test_redact_keeps_rows(docs):
     clean = secrets.redact_texts(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
