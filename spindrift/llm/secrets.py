@@ -1,8 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 The whole text is searched as it is (the base spans). Then layers are unwrapped: URL
-escapes and Unicode escapes of a layer as a whole, base64 runs one by one, and
-compressed bytes that base64 held. Every new layer is searched and goes back on the
+escapes and Unicode escapes of a layer as a whole, base64 runs one by one and joined
+over the lines they are wrapped at, and compressed bytes that base64 held. Every new layer is searched and goes back on the
 worklist; a layer that was seen before at the same place of this text is not taken
 again, so the work ends, and each copy of a layer is reported. Each character of a
 layer knows the part of the source text it comes from, so what a layer shows is
@@ -43,6 +43,7 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])", re.ASCII)
 #: Line ends that no match, escape or base64 run crosses.
 SAFE_END = re.compile(r"[^A-Za-z0-9+/_=\r\n-]\r?\n")
 #: Bytes of a compressed layer that are opened at once, and characters that are searched at once.
@@ -219,15 +220,34 @@ def layer_key(text: str, place: Place) -> bytes:
     return digest.digest()
 
 
+def base64_runs(layer: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of base64 runs as they are, and of those that lines of equal length make together, without and with a shorter line at their end."""
+    wrapped = 0
+    for m in BASE64.finditer(layer):
+        yield m.start(), m.end(), m[0]
+        if m.start() < wrapped or m[0][-1] == "=":
+            continue
+        lines, end = [m[0]], m.end()
+        while (n := NEXT_LINE.match(layer, end)) and len(n[1]) == len(m[0]):
+            lines.append(n[1])
+            end = wrapped = n.end()
+            if n[1][-1] == "=":
+                break
+        if len(lines) > 1:
+            yield m.start(), end, "".join(lines)
+        if n and len(n[1]) < len(m[0]):
+            yield m.start(), n.end(), "".join([*lines, n[1]])
+
+
 def inner_layers(layer: str, place: Place) -> Iterator[tuple[str, Place]]:
     """Layers right under one, and where they come from; one lives at a time."""
     for pattern, decode, mark in ((URL_ESCAPES, unescape_url, "%"), (UNICODE_ESCAPES, unescape_unicode, "\\")):
         if mark in layer and (got := unescaped(layer, pattern, decode)):
             new, a, b = got
             yield new, (a, b) if place is None else place if isinstance(place[0], int) else (place[0][a], place[1][b - 1])
-    for m in BASE64.finditer(layer):
-        for new in base64_parts(m[0]):
-            yield new, source_span(place, m.start(), m.end())
+    for start, end, run in base64_runs(layer):
+        for new in base64_parts(run):
+            yield new, source_span(place, start, end)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

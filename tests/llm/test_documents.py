@@ -159,6 +159,25 @@ def test_secret_layers_of_any_size():
         assert secrets.all_spans(f"see {run} end")[1] == [(4, 4 + len(run), "assign")]
 
 
+def test_secret_layers_over_lines():
+    """Base64 wrapped at 64 or 76 columns is one run, whatever stands before and after it."""
+    import textwrap
+
+    r = random.Random(8)
+    filler = " ".join(str(r.random()) for _ in range(30))
+    for data in (b"x" * 44 + b" token=abcdef123456 " + b"y" * 70, gzip.compress(f"{filler} password: hunter2hunter2 {filler}".encode()), b"z" * 80 + b" secret=abcdefgh"):
+        for width, end in ((64, "\n"), (76, "\r\n")):
+            run = end.join(textwrap.wrap(base64.b64encode(data).decode(), width))
+            for text in (run, f"-----BEGIN-----{end}{run}{end}-----END-----", f"see: {run}{end}The end", f"{run}{end}{end}{run}"):
+                found = {text[a:b] for a, b, _ in secrets.all_spans(text)[1]}
+                assert run in found
+                assert secrets.redact(text) == text.replace(run, "[secret]")
+    whole = base64.b64encode(b"x" * 44 + b" token=abcdef123456 " + b"y" * 80).decode()
+    assert len(whole) == 192
+    text = "\n".join(textwrap.wrap(whole, 64)) + "\nThe end"
+    assert (0, 194, "assign") in secrets.all_spans(text)[1]
+
+
 def test_redact_keeps_rows(docs):
     clean = secrets.redact_texts(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
