@@ -9,8 +9,8 @@ of edits between the item and any part of the text around that place.
 Both sides are compared in lower case, with every run of characters that are neither
 letters nor digits taken as one space; whole texts are searched.
 
-Defined results: null and empty texts match nothing, nor do null, empty or very short
-items (under least_chars); one row for every document and item that match, with the
+Defined results: null and empty texts match nothing, nor do null or empty items; items
+under least_chars match without edits and as whole words only; one row for every document and item that match, with the
 fewest edits and the first place that has them; repeated items match each on their
 own; an empty table on either side gives an empty result; only the columns named are
 read. The benchmark is held by the workers in parts of at most part_chars characters,
@@ -71,7 +71,8 @@ class Matcher:
     """The pieces of some items, and the search for them."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float, least_chars: int) -> None:
-        self.items = [(i, p, int(len(p) * error_rate)) for i, t in items if len(p := plain(t or "")) >= least_chars]
+        self.least_chars = least_chars
+        self.items = [(i, p, int(len(p) * error_rate) if len(p) >= least_chars else 0) for i, t in items if (p := plain(t or ""))]
         held: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text, errors) in enumerate(self.items):
             for at, piece in pieces(text, errors):
@@ -93,6 +94,11 @@ class Matcher:
         found = []
         for n, starts in places.items():
             item_id, item, errors = self.items[n]
+            if len(item) < self.least_chars:
+                starts = {s for s in starts if text[s - 1 : s] in ("", " ") and text[s + len(item) : s + len(item) + 1] in ("", " ")}
+                if starts:
+                    found.append((item_id, 0, 0, min(starts), min(starts) + len(item), len(item)))
+                continue
             best = None
             for a, b in windows(sorted(starts), errors, len(item), len(text)):
                 at = text.find(item, a, b)

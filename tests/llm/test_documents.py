@@ -259,6 +259,14 @@ def test_contamination(spark, docs, empty):
     assert decontam.contamination(table, bench, part_chars=40).count() == 3
 
 
+def test_contamination_by_short_items():
+    """Items under least_chars are found exactly, as whole words, at the first place."""
+    matcher = decontam.Matcher([(1, "Who, me?"), (2, "42"), (3, "?!"), (4, None)], decontam.ERROR_RATE, decontam.LEAST_CHARS)
+    assert sorted(matcher.search("Who me: is it 42?")) == [(1, 0, 0, 0, 6, 6), (2, 0, 0, 13, 15, 2)]
+    assert matcher.search("142, 42 and 42") == [(2, 0, 0, 4, 6, 2)]
+    assert matcher.search("who men, 421, whom me, who mx") == []
+
+
 def test_myers_is_exact():
     def least(item: str, text: str) -> int:
         row = [0] * (len(text) + 1)
