@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -18,19 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
+    """The folder that all machines share, as spark.checkpoint.dir names it; a temporary one only on a single machine that has none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="spindrift-checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
+        spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: later stages never recompute it and lost executors don't matter."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, **options: str) -> DataFrame:
+    """df, written once to the shared folder and read from there.
+
+    Lost executors don't matter, nothing is computed again, and neither the plan nor its size
+    estimate is carried on, as checkpoints do, whose estimates multiply in loops of joins.
+    """
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:

@@ -1,178 +1,337 @@
 """Toxicity by the nearest labelled examples.
 
-Examples and texts are TF-IDF vectors over terms that tell toxic examples apart (words
-and their first 4 to 6 letters), with one background term for all words, so that the
-share of telling words counts and not only their kind. The examples lie in blocks of an
-inverted index; each block knows the largest weight of every term in it. For a text the
-blocks are opened in the order of the bound that these maxima give, until the bound is
-under the k-th best cosine: the k nearest examples are exact. Their votes, weighted by
-1 / distance and by how often their class really occurs, give the score; the examples
-that voted are the evidence.
+Examples and texts are TF-IDF vectors over every term of the labelled sample (words, and
+their first 4 to 6 letters): 1 + ln(tf), times idf, times the term's relevance
+z / (z + 2 ln V), where z is the chi-square of the term and the label in the sample and V the number of
+terms, so a term counts by how sure its link with the label is, and none is left out.
+The inverted index keeps, for each term, the examples that hold it in blocks of similar
+examples, and the largest weight in each block. For a text these maxima bound every
+block's best cosine; blocks are opened from the highest bound down, until no closed
+block can reach the k-th best cosine. So the k nearest examples, with all that tie with
+the last of them, are exact. Examples of one text are one example that holds all their
+labels. Votes are weighted by 1 / distance and by how often their class occurs among all
+labels; their share of toxic votes is calibrated by isotonic regression on the votes
+that the examples themselves get when they are left out. The examples that voted are
+the evidence.
 
 Learning is bounded: at most per_class labelled rows of each class (those with the
-smallest hash of their id, so the choice does not depend on the layout of the data),
-and max_terms terms. Everything else covers every row.
-
-Defined results: null and empty texts, and texts without a telling word, are scored as
-the background alone; repeated rows score alike; without labelled rows of both classes
-the score is the share of toxic labels (0 without any); an empty table gives an empty
-table; labels with a null id, a null class or of documents that are not there teach
-nothing; columns other than the id and the text are dropped.
+smallest hash of their id, so the choice does not depend on the layout of the data), and
+of these as many as sample_chars characters hold. Everything else covers every row.
+
+Defined results: null and empty texts, and texts without a known term, have no nearest
+example and score as the share of toxic labels; repeated rows score alike, and teach
+once; without labelled rows of both classes every score is the share of toxic labels (0
+without any); an empty table gives an empty table; labels with a null id, a class other
+than 0 and 1 or of documents that are not there teach nothing; an id with both labels
+teaches both; columns other than the id and the text are dropped.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import durable, map_texts, remainder, text_slices
-
-PER_CLASS, MAX_TERMS, NEIGHBOURS, BLOCK, BACKGROUND = 2000, 300, 10, 64, 0.05
-_words = re.compile(r"\w+").findall
-MEMORY = 400_000
-#: Chi-square from which a term tells: beyond what chance, or a group of some copies among the examples, reaches (less for few examples).
-CERTAIN = 100.0
-
-
-def terms_of(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
+from spindrift.llm import codes
+from spindrift.llm.common import durable, map_texts, remainder
+
+PER_CLASS, SAMPLE_CHARS, NEIGHBOURS, BLOCK, FIRST_OPEN, WIDE, BATCH = 2000, 32_000_000, 10, 64, 8, 24, 64
+HEADS = (4, 5, 6)
+
+
+def term_hashes(begins: list[tuple[int, int]], text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk: for each term that occurs, its text's place and its hash."""
+    points = codes.code_points(text)
+    starts, ends = codes.runs(codes.is_word()[points])
+    total = codes.sums(points)
+    places, at = np.array([p for p, _ in begins]), np.array([a for _, a in begins])
+    owner = places[np.searchsorted(at, starts, side="right") - 1]
+    found = [(owner, codes.part_hash(total, starts, ends))]
+    for n in HEADS:
+        long = ends - starts >= n
+        found.append((owner[long], codes.part_hash(total, starts[long], starts[long] + n, n)))
+    return np.concatenate([o for o, _ in found]), np.concatenate([h for _, h in found])
+
+
+def term_counts(texts: list[str | None], vocabulary: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct terms and how often they occur; with a vocabulary (sorted hashes) only its terms, as their places in it."""
+    owners, terms = [], []
+    for begins, part in codes.chunks([(t or "").lower() for t in texts]):
+        owner, term = term_hashes(begins, part)
+        if vocabulary is not None:
+            at = np.searchsorted(vocabulary, term)
+            at[at == len(vocabulary)] = 0
+            known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
+            owner, term = owner[known], at[known].astype(np.uint64)
+        owners.append(owner)
+        terms.append(term)
+    owner, term = np.concatenate([np.empty(0, np.int64), *owners]), np.concatenate([np.empty(0, np.uint64), *terms])
+    order = np.lexsort([term, owner])
+    owner, term = owner[order], term[order]
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])])) if len(owner) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(owner)))
+    cuts = np.searchsorted(owner[first], np.arange(len(texts) + 1))
+    kept = term[first]
+    return [(kept[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @dataclass
 class Index:
-    """Labelled examples as unit vectors in blocks, with each block's largest weight of every term."""
-
-    terms: list[str]
-    idf: np.ndarray
-    vectors: np.ndarray
+    """Examples in blocks; cells (term, block) with the largest weight; postings (example, weight) of each cell.
+
+    Terms that stand in a WIDE-th part of the examples are wide: their lists have a weight for every example.
+    """
+
+    vocabulary: np.ndarray
+    weight: np.ndarray
+    wide_row: np.ndarray
+    wide: np.ndarray
+    cell_at: np.ndarray
+    cell_block: np.ndarray
+    cell_most: np.ndarray
+    posting_at: np.ndarray
+    posting_example: np.ndarray
+    posting_weight: np.ndarray
     ids: np.ndarray
-    toxic: np.ndarray
-    weight: tuple[float, float]
+    labels: np.ndarray
+    rates: np.ndarray
     prior: float
-    memory: dict = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        order = np.lexsort([self.ids, self.vectors[:, :-1].argmax(1) if self.vectors.size else self.ids, self.toxic])
-        self.vectors, self.ids, self.toxic = self.vectors[order], self.ids[order], self.toxic[order]
-        self.place = {t: i for i, t in enumerate(self.terms)}
-        self.heads = {t.removeprefix("=")[:4] for t in self.terms}
-        self.starts = np.arange(0, len(self.ids), BLOCK)
-        self.block_max = np.array([self.vectors[a : a + BLOCK].max(0) for a in self.starts]).T if len(self.ids) else np.zeros((len(self.terms) + 1, 0))
-        self.seen: dict[bytes, tuple] = {}
-
-    def terms_in(self, word: str) -> tuple[int, ...]:
-        found = self.memory.get(word)
-        if found is None:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            found = self.memory[word] = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-        return found
-
-    def vector(self, text: str) -> np.ndarray:
-        words = _words(text.lower())
-        heads = self.heads  # most words begin like no term, and end here
-        hits = Counter(t for w in words if w[:4] in heads for t in self.terms_in(w))
-        x = np.zeros(len(self.terms) + 1)
-        for t, n in hits.items():
-            x[t] = n * self.idf[t]
-        x[-1] = BACKGROUND * max(len(words), 1)
-        return x / np.linalg.norm(x)
-
-    def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples; ties go to the one that lies first."""
-        some = np.flatnonzero(x)
-        bound = x[some] @ self.block_max[some]
-        places, scores = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if len(scores) >= k and bound[b] < scores[k - 1] - 1e-12:
-                break
-            own = np.arange(self.starts[b], min(self.starts[b] + BLOCK, len(self.ids)))
-            places = np.concatenate([places, own])
-            scores = np.concatenate([scores, np.round(self.vectors[own][:, some] @ x[some], 12)])
-            best = np.lexsort([places, -scores])[: max(k, 1)]
-            places, scores = places[best], scores[best]
-        return places, scores
-
-    def score(self, text: str, k: int) -> tuple[float, list[int]]:
-        """Score and the ids of the examples that voted, nearest first."""
+    calibration: tuple[np.ndarray, np.ndarray] | None = None
+
+    @property
+    def parts(self) -> tuple:
+        return (self.vocabulary, self.weight, self.wide_row, self.wide, self.cell_at, self.cell_block, self.cell_most, self.posting_at, self.posting_example, self.posting_weight, self.ids, self.labels, self.rates, self.prior, self.calibration)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (terms, counts) places and cosines of the k nearest examples and of all that tie with the last of them, nearest first; those with cosine 0 are none."""
+        for a in range(0, len(vectors), BATCH):
+            units = []
+            wide = np.zeros((len(vectors[a : a + BATCH]), len(self.wide)))
+            for row, (terms, counts) in enumerate(vectors[a : a + BATCH]):
+                terms = terms.astype(np.int64)
+                q = (1 + np.log(counts)) * self.weight[terms]
+                q = q / (np.sqrt((q * q).sum()) or 1.0)
+                at = self.wide_row[terms]
+                wide[row, at[at >= 0]] = q[at >= 0]
+                units.append((terms[at < 0], q[at < 0]))
+            for (terms, q), known in zip(units, wide @ self.wide, strict=True):
+                yield self.best(terms, q, known, k)
+
+    def best(self, terms: np.ndarray, q: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of one vector: terms that are not wide, their weights, and what the wide ones give every example."""
+        lengths = self.cell_at[terms + 1] - self.cell_at[terms]
+        cells, q = codes.ranges(self.cell_at[terms], lengths), np.repeat(q, lengths)
+        block = self.cell_block[cells]
+        starts = np.arange(0, len(cosines), BLOCK)
+        bound = np.bincount(block, q * self.cell_most[cells], minlength=len(starts)) + np.maximum.reduceat(cosines, starts)
+        order = np.argsort(-bound, kind="stable")
+        done, step = 0, FIRST_OPEN
+        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        while done < len(order) and bound[order[done]] >= max(least - 1e-9, 1e-12):
+            now = order[done : done + step]
+            mask = np.zeros(len(bound), bool)
+            mask[now[bound[now] >= least - 1e-9]] = True
+            some = mask[block]
+            chosen = cells[some]
+            n = self.posting_at[chosen + 1] - self.posting_at[chosen]
+            at = codes.ranges(self.posting_at[chosen], n)
+            cosines = cosines + np.bincount(self.posting_example[at], np.repeat(q[some], n) * self.posting_weight[at], minlength=len(cosines))
+            done, step = done + step, step * 2
+            if len(cosines) >= k:
+                least = np.partition(cosines, -k)[-k]
+        cosines = np.round(cosines, 9)
+        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        places = np.flatnonzero((cosines >= least) & (cosines > 0))
+        places = places[np.lexsort([self.ids[places], -cosines[places]])]
+        return places, cosines[places]
+
+    def votes(self, places: np.ndarray, cosines: np.ndarray, left_out: int | None = None, label: int = 0) -> float | None:
+        """Share of toxic votes of the nearest examples; left_out: an example whose one label does not vote."""
+        held = self.labels[places]
+        if left_out is not None:
+            held = held.copy()
+            held[places == left_out, label] -= 1
+        weights = held * self.rates / (1e-3 + 1 - np.minimum(cosines, 1))[:, None]
+        total = weights.sum()
+        return float(weights[:, 1].sum() / total) if total else None
+
+    def calibrated(self, share: float | None) -> float:
+        if share is None:
+            return self.prior
+        return share if self.calibration is None else float(np.interp(share, *self.calibration))
+
+    def scores(self, texts: list[str | None], k: int) -> list[tuple[float, list[int]]]:
+        """Score and evidence of every text."""
         if not len(self.ids):
-            return self.prior, []
-        x = self.vector(text)
-        key = x.tobytes()
-        if key not in self.seen:
-            places, cosines = self.nearest(x, k)
-            votes = np.array(self.weight)[self.toxic[places]] / (1e-3 + 1 - np.minimum(cosines, 1))
-            if len(self.seen) >= 2000:
-                self.seen.clear()
-            self.seen[key] = float((votes * self.toxic[places]).sum() / votes.sum()), self.ids[places].tolist()
-        return self.seen[key]
-
-
-def fit(docs: DataFrame, labels: DataFrame, keep, per_class: int = PER_CLASS, max_terms: int = MAX_TERMS) -> Index:
+            return [(self.prior, [])] * len(texts)
+        vectors = term_counts(texts, self.vocabulary)
+        keys = [(t.tobytes(), c.tobytes()) for t, c in vectors]
+        unlike = dict(zip(keys, vectors, strict=True))
+        found = {}
+        for key, (places, cosines) in zip(unlike, self.nearest(list(unlike.values()), k), strict=True):
+            found[key] = self.calibrated(self.votes(places, cosines)), self.ids[places].tolist()
+        return [found[key] for key in keys]
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The non-decreasing steps nearest to y: both edges of each step, and its height twice; between steps it rises evenly."""
+    steps: list[list[float]] = []  # weight, weighted sum, least x, largest x
+    order = np.argsort(x, kind="stable")
+    xs, first = np.unique(x[order], return_index=True)
+    total, high = np.add.reduceat(w[order], first), np.add.reduceat((w * y)[order], first)
+    for at, n, s in zip(xs.tolist(), total.tolist(), high.tolist(), strict=True):
+        steps.append([n, s, at, at])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][0] >= steps[-1][1] * steps[-2][0]:
+            n, s, _, to = steps.pop()
+            steps[-1] = [steps[-1][0] + n, steps[-1][1] + s, steps[-1][2], to]
+    return np.array([e for _, _, a, b in steps for e in (a, b)]), np.array([s / n for n, s, _, _ in steps for _ in (0, 1)])
+
+
+def blocks_of(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """An order of the examples in which similar ones are neighbours: halves by their cosines with two unlike examples, again and again."""
+    at = np.searchsorted(example, np.arange(n + 1))
+    order, todo = np.arange(n), [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= BLOCK:
+            continue
+        own = order[a:b]
+        entries = codes.ranges(at[own], at[own + 1] - at[own])
+        row = np.repeat(np.arange(b - a), at[own + 1] - at[own])
+
+        def cosines(i: int, own=own, entries=entries, row=row) -> np.ndarray:
+            dense = np.zeros(int(term.max()) + 1)
+            dense[term[at[own[i]] : at[own[i] + 1]]] = value[at[own[i]] : at[own[i] + 1]]
+            return np.bincount(row, dense[term[entries]] * value[entries], minlength=len(own))
+
+        one = cosines(0)
+        other = cosines(int(np.argmin(one)))
+        order[a:b] = own[np.lexsort([own, other - one])]
+        middle = a + -(-(b - a) // (2 * BLOCK)) * BLOCK
+        todo += [(a, middle), (middle, b)]
+    return order
+
+
+def build(rows: pd.DataFrame, class_counts: dict[int, int]) -> Index:
+    """The index of examples: rows of doc_id, toxic, text (a hash), terms and counts (arrays)."""
+    n_all = sum(class_counts.values())
+    prior = class_counts.get(1, 0) / max(1, n_all)
+    blank = Index(*(np.empty(0, np.uint64), np.empty(0)), np.empty(0, np.int32), np.empty((0, 0)), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0), np.empty(0, np.int64), np.empty((0, 2), np.int64), np.ones(2), prior)
+    toxic = rows["toxic"].to_numpy(np.int64)
+    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
+    if not n.all():
+        return blank
+    _, first, group = np.unique(rows["text"].to_numpy(np.int64), return_index=True, return_inverse=True)
+    labels = np.stack([np.bincount(group, toxic == c, minlength=len(first)) for c in (0, 1)], 1).astype(np.int64)
+    ids = pd.Series(rows["doc_id"].to_numpy(np.int64)).groupby(group).min().to_numpy()
+    terms, counts = [rows["terms"].iloc[i] for i in first], [rows["counts"].iloc[i] for i in first]
+    example = np.repeat(np.arange(len(first)), [len(t) for t in terms])
+    vocabulary, term = np.unique(np.concatenate(terms), return_inverse=True)
+    if not len(vocabulary):
+        return blank
+    held = np.stack([np.bincount(term, labels[example, c], minlength=len(vocabulary)) for c in (0, 1)])
+    p, q = (held[1] + 0.5) / (n[1] + 1), (held[0] + 0.5) / (n[0] + 1)
+    mean = (held.sum(0) + 1) / (n.sum() + 2)
+    z = (p - q) ** 2 / (mean * (1 - mean) * (1 / n[0] + 1 / n[1]))
+    weight = (np.log((n.sum() + 1) / (held.sum(0) + 1)) + 1) * z / (z + 2 * np.log(max(len(vocabulary), 2)))
+    value = (1 + np.log(np.concatenate(counts))) * weight[term]
+    norm = np.sqrt(np.bincount(example, value * value, minlength=len(first)))
+    value = value / np.where(norm, norm, 1)[example]
+    order = blocks_of(example, term, value, len(first))
+    new_place = np.empty(len(first), np.int64)
+    new_place[order] = np.arange(len(first))
+    ids, labels, example = ids[order], labels[order], new_place[example]
+    many = np.bincount(term, minlength=len(vocabulary)) * WIDE >= len(first)
+    wide_row = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
+    wide = np.zeros((int(many.sum()), len(first)))
+    in_wide = many[term]
+    wide[wide_row[term[in_wide]], example[in_wide]] = value[in_wide]
+    term, example, value = term[~in_wide], example[~in_wide], value[~in_wide]
+    by = np.lexsort([example, term])
+    term, example, value = term[by], example[by], value[by]
+    cell = term * (len(first) // BLOCK + 1) + example // BLOCK
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+    most = np.maximum.reduceat(value, starts) if len(cell) else np.empty(0)
+    rates = np.array([class_counts[c] / n_all for c in (0, 1)]) / (n / n.sum())
+    return Index(vocabulary, weight, wide_row, wide, np.searchsorted(term[starts], np.arange(len(vocabulary) + 1)), (example[starts] // BLOCK).astype(np.int32), most, np.append(starts, len(term)), example.astype(np.int32), value, ids, labels, rates, prior)
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep, per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS, k: int = NEIGHBOURS) -> Index:
     """An index from at most per_class labelled documents of each class; keep: condition on doc_id of the rows that may teach."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(keep)
-    counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    picks = [marked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    class_counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    picks = [marked.where(F.col("toxic") == c).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     picked = F.broadcast(picks[0].unionByName(picks[1]))
-    texts = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").select("doc_id", "text", "toxic"))
-
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter(), Counter()
-        for batch in text_slices(batches):
-            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                seen[toxic].update({t for w in set(_words(text.lower())) for t in terms_of(w)})
-        if terms := list(seen[0] | seen[1]):
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([seen[0][t] for t in terms]), pa.array([seen[1][t] for t in terms])], names=["term", "n0", "n1"])
-
-    n0, n1 = (texts.where(F.col("toxic") == c).count() for c in (0, 1))
-    width = lambda n: max(1, n)
-    sums = texts.mapInArrow(stats, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p, q, df = F.col("n1") / width(n1), F.col("n0") / width(n0), (F.col("n0") + F.col("n1")) / width(n0 + n1)
-    least = max(1, min(5, n1 // 10))
-    told = sums.where((F.col("n1") >= least) & (p > q)).withColumn("tells", F.round((p - q) * (p - q) / (df * (1 - df) + 1e-9) / (1 / width(n0) + 1 / width(n1)), 9))
-    chosen = told.where(F.col("tells") >= min(CERTAIN, n1 / 4)).orderBy(F.desc("tells"), "term").limit(max_terms).collect()
-    terms = [r.term for r in chosen]
-    idf = np.log((n0 + n1 + 1) / (np.array([r.n0 + r.n1 for r in chosen]) + 1)) if chosen else np.empty(0)
-    blank = Index(terms, idf, np.empty((0, len(terms) + 1)), np.empty(0, np.int64), np.empty(0, np.int64), (1.0, 1.0), prior)
+    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = durable(said.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    sizes = texts.select("doc_id", "toxic", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id", "toxic"])
+    sizes = sizes[sizes["n"].cumsum() <= sample_chars]
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [blank.vector(t).tolist() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "toxic", "vector"])
+        made = term_counts(batch.column(3).to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t.tobytes() for t, _ in made], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in made], pa.binary())], names=["doc_id", "toxic", "said", "terms", "counts"])
 
-    rows = map_texts(texts, vectors, "doc_id long, toxic int, vector array<double>").toPandas() if n0 and n1 else None
-    if rows is None:
-        return blank
-    weight = tuple((counts[c] / max(1, sum(counts.values()))) / ((n0, n1)[c] / (n0 + n1)) for c in (0, 1))
-    return Index(terms, idf, np.array(rows["vector"].tolist()), rows["doc_id"].to_numpy(np.int64), rows["toxic"].to_numpy(np.int64), weight, prior)
+    taught = texts.select("doc_id", "toxic", F.xxhash64("text").alias("said"), "text")
+    rows = map_texts(taught, vectors, "doc_id long, toxic int, said long, terms binary, counts binary").toPandas().rename(columns={"said": "text"})
+    rows = rows.merge(sizes[["doc_id", "toxic"]]).sort_values(["doc_id", "toxic"], ignore_index=True)
+    rows["terms"], rows["counts"] = [np.frombuffer(x, np.uint64) for x in rows["terms"]], [np.frombuffer(x, np.int32) for x in rows["counts"]]
+    index = build(rows, class_counts)
+    if len(index.ids):
+        index.calibration = calibrate(taught, rows, index, k)
+    return index
 
 
-def scorer(docs: DataFrame, index: Index, k: int):
-    """A function of a text on a worker, with the index shared among them."""
-    shared = docs.sparkSession.sparkContext.broadcast((index.terms, index.idf, index.vectors, index.ids, index.toxic, index.weight, index.prior))
-    held: list[Index] = []
+def calibrate(taught: DataFrame, rows: pd.DataFrame, index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of the labels on the votes that each example gets without its own label."""
+    first = rows.groupby("text")["doc_id"].min().to_dict()
+    place_of_id = {int(d): i for i, d in enumerate(index.ids)}
+    place = {t: place_of_id[int(d)] for t, d in first.items()}
+    shared = taught.sparkSession.sparkContext.broadcast((index.parts, place))
 
-    def score(text: str | None) -> tuple[float, list[int]]:
-        if not held:
-            held.append(Index(*shared.value))
-        return held[0].score(text or "", k)
+    def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts, places = shared.value
+        own = held_index(parts)
+        some = [i for i, t in enumerate(batch.column(2).to_pylist()) if t in places]
+        batch = batch.take(pa.array(some, pa.int64()))
+        near = own.nearest(term_counts(batch.column(3).to_pylist(), own.vocabulary), k + 1)
+        shares = [own.votes(*at, places[s], x) for at, s, x in zip(near, batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(shares, pa.float64())], names=["toxic", "share"])
 
-    return score
+    got = map_texts(taught, vote, "toxic int, share double").toPandas().dropna()
+    shared.unpersist()
+    if not len(got):
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    toxic = got["toxic"].to_numpy(np.int64)
+    return isotonic(np.round(got["share"].to_numpy(), 9), toxic.astype(float), index.rates[toxic])
+
+
+_held: list[tuple[int, Index]] = []
+
+
+def held_index(parts: tuple) -> Index:
+    """The index of these parts, made once a worker."""
+    if not _held or _held[0][0] != id(parts):
+        _held[:] = [(id(parts), Index(*parts))]
+    return _held[0][1]
+
+
+def scorer(docs: DataFrame, index: Index, k: int):
+    """A function of texts on a worker, with the index shared among them."""
+    shared = docs.sparkSession.sparkContext.broadcast(index.parts)
+    return lambda texts: held_index(shared.value).scores(texts, k)
 
 
 def score_toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, score and evidence (ids of the labelled examples that voted) of every whole text."""
+    """doc_id, score and evidence (ids of the labelled examples that voted, nearest first) of every whole text."""
     score = scorer(docs, index, k)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [score(t) for t in batch.column(1).to_pylist()]
+        rows = score(batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -185,7 +344,7 @@ def with_scores(docs: DataFrame, index: Index, k: int = NEIGHBOURS, text_col: st
     score, at = scorer(docs, index, k), docs.columns.index(text_col)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = [score(t)[0] for t in batch.column(at).to_pylist()]
+        scores = [s for s, _ in score(batch.column(at).to_pylist())]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

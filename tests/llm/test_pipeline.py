@@ -14,7 +14,7 @@ def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     index = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), toxicity.training_rows())
-    kept = {d: t for d, t in rows.items() if index.score(t or "", toxicity.NEIGHBOURS)[0] < 0.5}
+    kept = {d: t for d, t in rows.items() if index.scores([t], toxicity.NEIGHBOURS)[0][0] < 0.5}
     groups = brute.near_duplicates(list(kept.items()))
     kept = {d: t for d, t in kept.items() if groups[d][1] == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
