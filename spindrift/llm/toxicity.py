@@ -163,7 +163,7 @@ class Index:
     def calibrated(self, share: float | None) -> float:
         if share is None:
             return self.prior
-        return share if self.calibration is None else float(np.interp(share, *self.calibration))
+        return min(max(share if self.calibration is None else float(np.interp(share, *self.calibration)), 0.0), 1.0)
 
     def scores(self, texts: list[str | None], k: int) -> list[tuple[float, list[int]]]:
         """Score and evidence of every text."""
