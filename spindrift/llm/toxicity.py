@@ -310,13 +310,13 @@ def calibrate(taught: DataFrame, rows: pd.DataFrame, index: Index, k: int) -> tu
     return isotonic(np.round(got["share"].to_numpy(), 9), toxic.astype(float), index.rates[toxic])
 
 
-_held: list[tuple[int, Index]] = []
+_held: list[tuple[tuple, Index]] = []
 
 
 def held_index(parts: tuple) -> Index:
     """The index of these parts, made once a worker."""
-    if not _held or _held[0][0] != id(parts):
-        _held[:] = [(id(parts), Index(*parts))]
+    if not _held or _held[0][0] is not parts:
+        _held[:] = [(parts, Index(*parts))]
     return _held[0][1]
 
 
