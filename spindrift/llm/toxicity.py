@@ -28,12 +28,14 @@ teaches both; columns other than the id and the text are dropped.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,32 +82,70 @@ def term_counts(texts: list[str | None], vocabulary: np.ndarray | None = None) -
     return [(kept[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def relevance(term: np.ndarray, example: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """For each term idf times the certainty of its link with the label."""
+    n = labels.sum(0)
+    held = np.stack([np.bincount(term, labels[example, c], minlength=size) for c in (0, 1)])
+    p, q = (held[1] + 0.5) / (n[1] + 1), (held[0] + 0.5) / (n[0] + 1)
+    mean = (held.sum(0) + 1) / (n.sum() + 2)
+    z = (p - q) ** 2 / (mean * (1 - mean) * (1 / n[0] + 1 / n[1]))
+    return (np.log((n.sum() + 1) / (held.sum(0) + 1)) + 1) * z / (z + 2 * np.log(max(size, 2)))
+
+
+def unit_values(term: np.ndarray, example: np.ndarray, counts: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The weight of every (term, example) in the example's unit vector."""
+    value = (1 + np.log(counts)) * weight[term]
+    norm = np.sqrt(np.bincount(example, value * value, minlength=n))
+    return value / np.where(norm, norm, 1)[example]
+
+
 @dataclass
 class Index:
     """Examples in blocks; cells (term, block) with the largest weight; postings (example, weight) of each cell.
 
     Terms that stand in a WIDE-th part of the examples are wide: their lists have a weight for every example.
+    All follows from what is sent to the workers: the terms' hashes and numbers of postings, the postings'
+    examples (in the order of terms) and counts, the ids and labels of the examples, and the numbers of labels.
     """
 
     vocabulary: np.ndarray
-    weight: np.ndarray
-    wide_row: np.ndarray
-    wide: np.ndarray
-    cell_at: np.ndarray
-    cell_block: np.ndarray
-    cell_most: np.ndarray
-    posting_at: np.ndarray
-    posting_example: np.ndarray
-    posting_weight: np.ndarray
+    lengths: np.ndarray
+    examples: np.ndarray
+    counts: bytes
     ids: np.ndarray
     labels: np.ndarray
-    rates: np.ndarray
-    prior: float
+    class_counts: dict[int, int]
     calibration: tuple[np.ndarray, np.ndarray] | None = None
+    shared: Broadcast | None = None
+
+    def __post_init__(self) -> None:
+        n_all, n = sum(self.class_counts.values()), self.labels.sum(0)
+        self.prior = self.class_counts.get(1, 0) / max(1, n_all)
+        if not len(self.ids):
+            return
+        self.rates = np.array([self.class_counts[c] / n_all for c in (0, 1)]) / (n / n.sum())
+        size, example = len(self.vocabulary), self.examples.astype(np.int32)
+        term, counts = np.repeat(np.arange(size), self.lengths), np.frombuffer(zlib.decompress(self.counts), np.int32)
+        self.weight = relevance(term, example, self.labels, size)
+        value = unit_values(term, example, counts, self.weight, len(self.ids))
+        many = self.lengths.astype(np.int64) * WIDE >= len(self.ids)
+        self.wide_row = np.where(many, np.cumsum(many) - 1, -1)
+        self.wide = np.zeros((int(many.sum()), len(self.ids)))
+        in_wide = many[term]
+        self.wide[self.wide_row[term[in_wide]], example[in_wide]] = value[in_wide]
+        term, self.posting_example, self.posting_weight = term[~in_wide], example[~in_wide], value[~in_wide]
+        block = self.posting_example // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        starts = np.flatnonzero(new)
+        self.cell_at = np.searchsorted(term[starts], np.arange(size + 1))
+        self.cell_block = block[starts]
+        self.cell_most = np.maximum.reduceat(self.posting_weight, starts) if len(starts) else np.empty(0)
+        self.posting_at = np.append(starts, len(term))
 
     @property
     def parts(self) -> tuple:
-        return (self.vocabulary, self.weight, self.wide_row, self.wide, self.cell_at, self.cell_block, self.cell_most, self.posting_at, self.posting_example, self.posting_weight, self.ids, self.labels, self.rates, self.prior, self.calibration)
+        return self.vocabulary, self.lengths, self.examples, self.counts, self.ids, self.labels, self.class_counts
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each vector (terms, counts) places and cosines of the k nearest examples and of all that tie with the last of them, nearest first; those with cosine 0 are none."""
@@ -219,46 +259,25 @@ def blocks_of(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int)
 
 def build(rows: pd.DataFrame, class_counts: dict[int, int]) -> Index:
     """The index of examples: rows of doc_id, toxic, text (a hash), terms and counts (arrays)."""
-    n_all = sum(class_counts.values())
-    prior = class_counts.get(1, 0) / max(1, n_all)
-    blank = Index(*(np.empty(0, np.uint64), np.empty(0)), np.empty(0, np.int32), np.empty((0, 0)), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0), np.empty(0, np.int64), np.empty((0, 2), np.int64), np.ones(2), prior)
+    blank = Index(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), b"", np.empty(0, np.int64), np.empty((0, 2), np.int64), class_counts)
     toxic = rows["toxic"].to_numpy(np.int64)
-    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
-    if not n.all():
-        return blank
     _, first, group = np.unique(rows["text"].to_numpy(np.int64), return_index=True, return_inverse=True)
     labels = np.stack([np.bincount(group, toxic == c, minlength=len(first)) for c in (0, 1)], 1).astype(np.int64)
+    terms = [rows["terms"].iloc[i] for i in first]
+    if not labels.sum(0).all() or not any(map(len, terms)):
+        return blank
     ids = pd.Series(rows["doc_id"].to_numpy(np.int64)).groupby(group).min().to_numpy()
-    terms, counts = [rows["terms"].iloc[i] for i in first], [rows["counts"].iloc[i] for i in first]
-    example = np.repeat(np.arange(len(first)), [len(t) for t in terms])
+    example, counts = np.repeat(np.arange(len(first)), [len(t) for t in terms]), np.concatenate([rows["counts"].iloc[i] for i in first])
     vocabulary, term = np.unique(np.concatenate(terms), return_inverse=True)
-    if not len(vocabulary):
-        return blank
-    held = np.stack([np.bincount(term, labels[example, c], minlength=len(vocabulary)) for c in (0, 1)])
-    p, q = (held[1] + 0.5) / (n[1] + 1), (held[0] + 0.5) / (n[0] + 1)
-    mean = (held.sum(0) + 1) / (n.sum() + 2)
-    z = (p - q) ** 2 / (mean * (1 - mean) * (1 / n[0] + 1 / n[1]))
-    weight = (np.log((n.sum() + 1) / (held.sum(0) + 1)) + 1) * z / (z + 2 * np.log(max(len(vocabulary), 2)))
-    value = (1 + np.log(np.concatenate(counts))) * weight[term]
-    norm = np.sqrt(np.bincount(example, value * value, minlength=len(first)))
-    value = value / np.where(norm, norm, 1)[example]
+    value = unit_values(term, example, counts, relevance(term, example, labels, len(vocabulary)), len(first))
     order = blocks_of(example, term, value, len(first))
-    new_place = np.empty(len(first), np.int64)
-    new_place[order] = np.arange(len(first))
-    ids, labels, example = ids[order], labels[order], new_place[example]
-    many = np.bincount(term, minlength=len(vocabulary)) * WIDE >= len(first)
-    wide_row = np.where(many, np.cumsum(many) - 1, -1).astype(np.int32)
-    wide = np.zeros((int(many.sum()), len(first)))
-    in_wide = many[term]
-    wide[wide_row[term[in_wide]], example[in_wide]] = value[in_wide]
-    term, example, value = term[~in_wide], example[~in_wide], value[~in_wide]
+    place = np.empty(len(first), np.int64)
+    place[order] = np.arange(len(first))
+    example = place[example]
     by = np.lexsort([example, term])
-    term, example, value = term[by], example[by], value[by]
-    cell = term * (len(first) // BLOCK + 1) + example // BLOCK
-    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
-    most = np.maximum.reduceat(value, starts) if len(cell) else np.empty(0)
-    rates = np.array([class_counts[c] / n_all for c in (0, 1)]) / (n / n.sum())
-    return Index(vocabulary, weight, wide_row, wide, np.searchsorted(term[starts], np.arange(len(vocabulary) + 1)), (example[starts] // BLOCK).astype(np.int32), most, np.append(starts, len(term)), example.astype(np.int32), value, ids, labels, rates, prior)
+    lengths = np.bincount(term, minlength=len(vocabulary))
+    small = np.min_scalar_type(len(first))
+    return Index(vocabulary, lengths.astype(small), example[by].astype(small), zlib.compress(counts[by].astype(np.int32).tobytes(), 1), ids[order], labels[order], class_counts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS, k: int = NEIGHBOURS) -> Index:
@@ -282,20 +301,19 @@ def fit(docs: DataFrame, labels: DataFrame, keep, per_class: int = PER_CLASS, sa
     rows["terms"], rows["counts"] = [np.frombuffer(x, np.uint64) for x in rows["terms"]], [np.frombuffer(x, np.int32) for x in rows["counts"]]
     index = build(rows, class_counts)
     if len(index.ids):
+        index.shared = docs.sparkSession.sparkContext.broadcast(index.parts)
         index.calibration = calibrate(taught, rows, index, k)
     return index
 
 
 def calibrate(taught: DataFrame, rows: pd.DataFrame, index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic regression of the labels on the votes that each example gets without its own label."""
-    first = rows.groupby("text")["doc_id"].min().to_dict()
     place_of_id = {int(d): i for i, d in enumerate(index.ids)}
-    place = {t: place_of_id[int(d)] for t, d in first.items()}
-    shared = taught.sparkSession.sparkContext.broadcast((index.parts, place))
+    places = {t: place_of_id[int(d)] for t, d in rows.groupby("text")["doc_id"].min().to_dict().items()}
+    shared = index.shared
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts, places = shared.value
-        own = held_index(parts)
+        own = held_index(shared.value)
         some = [i for i, t in enumerate(batch.column(2).to_pylist()) if t in places]
         batch = batch.take(pa.array(some, pa.int64()))
         near = own.nearest(term_counts(batch.column(3).to_pylist(), own.vocabulary), k + 1)
@@ -303,7 +321,6 @@ def calibrate(taught: DataFrame, rows: pd.DataFrame, index: Index, k: int) -> tu
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(shares, pa.float64())], names=["toxic", "share"])
 
     got = map_texts(taught, vote, "toxic int, share double").toPandas().dropna()
-    shared.unpersist()
     if not len(got):
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
     toxic = got["toxic"].to_numpy(np.int64)
@@ -322,8 +339,14 @@ def held_index(parts: tuple) -> Index:
 
 def scorer(docs: DataFrame, index: Index, k: int):
     """A function of texts on a worker, with the index shared among them."""
-    shared = docs.sparkSession.sparkContext.broadcast(index.parts)
-    return lambda texts: held_index(shared.value).scores(texts, k)
+    shared, calibration = index.shared or docs.sparkSession.sparkContext.broadcast(index.parts), index.calibration
+
+    def scores(texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        own = held_index(shared.value)
+        own.calibration = calibration
+        return own.scores(texts, k)
+
+    return scores
 
 
 def score_toxicity(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
