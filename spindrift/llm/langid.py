@@ -2,35 +2,35 @@
 
 First linear support vector machines, one for each two families, choose the family;
 then one for each two languages of that family choose the language. Features are the
-character 1- to 3-grams of the words (with word ends), hashed; a text's features are
-their shares, so a word adds the same to every machine wherever it stands, and the
-machines' sums are looked up word by word.
+character 1- to 3-grams of the words (runs of letters, with word ends), hashed; a text's
+features are their shares. They are counted over whole texts in chunks that end between
+words, however long a word is.
 
-Learning is bounded: at most per_language labelled documents of a language (those with
-the smallest hash of their id). Prediction covers every row and whole texts.
+Learning is bounded: per_language documents of a language, or sample_rows over the number of
+languages where that is less, those with the smallest hash of their id. Prediction covers
+every row and whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is
 everything when there is nothing to learn from; with one learned language that one is
-predicted with score 1; repeated rows are predicted alike; an empty table gives an
-empty table; columns other than the id and the text are dropped.
+predicted with score 1; repeated rows are predicted alike, and teach once (an id with several
+texts by the least of them, an id with several languages each of them); an empty table gives
+an empty table; columns other than the id and the text are dropped.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import map_texts, remainder
+from spindrift.llm import codes
+from spindrift.llm.common import durable, map_texts, remainder
 
-DIMENSIONS, PER_LANGUAGE, MEMORY = 4096, 400, 200_000
-#: Letters, in runs of at most 40 (longer ones are taken in parts).
-_words = re.compile(r"[^\W\d_]{1,40}").findall
+DIMENSIONS, PER_LANGUAGE, SAMPLE_ROWS, BATCH = 4096, 400, 20_000, 256
 #: Families of languages; a language that is not here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -46,16 +46,47 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 
 
-def gram_places(word: str) -> list[int]:
-    w = f"^{word}$"
-    return [crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % DIMENSIONS for n in (1, 2, 3) for i in range(len(w) - n + 1)]
-
-
-def features(text: str) -> np.ndarray:
-    """Shares of the text's n-grams, scaled; the last one is constant."""
-    places = [p for w in _words(text.lower()) for p in gram_places(w)]
-    x = np.bincount(places, minlength=DIMENSIONS).astype(np.float64) if places else np.zeros(DIMENSIONS)
-    return np.append(x * (SCALE / max(1, len(places))), 1.0)
+def gram_counts(texts: list[str | None]) -> np.ndarray:
+    """For each text how often each hashed n-gram occurs, and after them the number of all n-grams."""
+    out = np.zeros((len(texts), DIMENSIONS + 1))
+    for begins, part in codes.chunks([(t or "").lower() for t in texts]):
+        points = codes.code_points(part)
+        letter = codes.is_letter()[points]
+        # one 0 stands for all that lies between two words; every chunk begins and ends with one
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        at = np.flatnonzero(kept)
+        if not len(at):
+            continue
+        line = np.concatenate([[0], np.where(letter[at], points[at], 0), [0]]).astype(np.uint32)
+        places = np.concatenate([at[:1], at, at[-1:]])
+        one = mixed32(line * np.uint32(0x9E3779B1) + np.uint32(1))
+        two = mixed32(one[:-1] * np.uint32(0x85EBCA77) + line[1:])
+        three = mixed32(two[:-1] * np.uint32(0xC2B2AE3D) + line[2:])
+        filled = line > 0
+        # an n-gram belongs to the text of a letter in it
+        grams = ((one, filled, places), (two, filled[:-1] | filled[1:], np.where(filled[:-1], places[:-1], places[1:])), (three, filled[1:-1], places[1:-1]))
+        for values, real, where in grams:
+            values, where = values[real] & np.uint32(DIMENSIONS - 1), where[real]
+            cuts = np.append(np.searchsorted(where, [begin for _, begin in begins]), len(where))
+            for (row, _), a, b in zip(begins, cuts, cuts[1:], strict=False):
+                if b > a:
+                    out[row, :-1] += np.bincount(values[a:b], minlength=DIMENSIONS)
+                    out[row, -1] += b - a
+    return out
+
+
+def mixed32(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled shares of the n-grams of each text, the last one constant; and whether the text has any."""
+    counts = gram_counts(texts)
+    shares = counts[:, :-1] * (SCALE / np.maximum(counts[:, -1:], 1))
+    return np.concatenate([shares, np.ones((len(texts), 1))], axis=1), counts[:, -1] > 0
 
 
 SCALE = 30.0
@@ -88,18 +119,6 @@ class Model:
         for level, pairs in duels.items():
             self.column[level] = slice(n, n + len(pairs))
             n += len(pairs)
-        self.places: dict[str, int] = {}
-        self.sums = np.zeros((MEMORY, n + 1))
-
-    def place(self, word: str) -> int:
-        found = self.places.get(word)
-        if found is None:
-            found = len(self.places)
-            grams = gram_places(word)
-            self.sums[found, :-1] = self.weights[:-1][grams].sum(0)
-            self.sums[found, -1] = len(grams)
-            self.places[word] = found
-        return found
 
     def winner(self, level: str, names: list[str], margins: np.ndarray) -> tuple[str, float]:
         """Name with most duels won, then with the largest sum of margins; its mean sigmoid is the score."""
@@ -115,64 +134,86 @@ class Model:
         best = max(sorted(names), key=lambda x: (votes[x][0], votes[x][1]))
         return best, votes[best][2] / (len(names) - 1)
 
-    def predict(self, text: str) -> tuple[str, float]:
-        words = _words(text.lower())
-        if not self.languages or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
-        total = np.zeros(self.sums.shape[1])
-        for at in range(0, len(words), MEMORY // 2):
-            part = words[at : at + MEMORY // 2]
-            if len(self.places) + len(part) > MEMORY:
-                self.places.clear()
-            known = self.places
-            for w in set(part).difference(known):
-                self.place(w)
-            total += self.sums[np.fromiter(map(known.__getitem__, part), np.int64, len(part))].sum(0)
-        margins = total[:-1] * (SCALE / total[-1]) + self.weights[-1]
-        family, p = self.winner("", sorted(self.languages), margins)
-        language, q = self.winner(family, self.languages[family], margins)
-        return language, float(p * q)
-
-
-def fit(docs: DataFrame, keep, per_language: int = PER_LANGUAGE) -> tuple:
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        for at in range(0, len(texts), BATCH):
+            x, some = features(texts[at : at + BATCH])
+            for margins, there in zip(x @ self.weights, some.tolist(), strict=True):
+                if not self.languages or not there:
+                    yield "und", 0.0
+                    continue
+                family, p = self.winner("", sorted(self.languages), margins)
+                language, q = self.winner(family, self.languages[family], margins)
+                yield language, float(p * q)
+
+
+def sample(docs: DataFrame, keep, per_language: int, sample_rows: int) -> tuple[DataFrame, int]:
+    """doc_id, lang, h and text of somewhat more than the wanted number of documents a language, those under a bound of the hash h of their id; and that number.
+
+    The bounds follow from the languages' counts, so no language's rows meet in one task and what is gathered is bounded.
+    """
+    teachers = docs.where(keep).where("lang is not null and text is not null and doc_id is not null")
+    counts = {r.lang: r["count"] for r in teachers.groupBy("lang").count().collect()}
+    each = max(1, min(per_language, sample_rows // max(1, len(counts))))
+    # the unsigned hash of a row of n is under this with probability (each + 6 of its root) / n
+    bound = {lang: min(1.0, (each + 6 * each**0.5) / n) for lang, n in counts.items()}
+    limits = docs.sparkSession.createDataFrame([(lang, int(p * 2.0**62)) for lang, p in bound.items()], "lang string, most long")
+    low = F.shiftrightunsigned(F.xxhash64("doc_id"), 2)
+    picked = teachers.join(F.broadcast(limits), "lang").where(low < F.col("most")).select("doc_id", "lang", low.alias("h"), "text")
+    return durable(picked.groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text"))), each
+
+
+def fit(docs: DataFrame, keep, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> tuple:
     """What Model takes, learned from at most per_language documents of each language; keep: condition on doc_id."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where(keep).where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
-    picked = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n").dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    taught, each = sample(docs, keep, per_language, sample_rows)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [features(t or "").astype(np.float32) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([m.tobytes() for m in made], pa.binary())], names=["doc_id", "lang", "x"])
+        x, _ = features(batch.column(2).to_pylist())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([m.tobytes() for m in x.astype(np.float32)], pa.binary())], names=["doc_id", "lang", "h", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_texts(texts.select("doc_id", "text", "lang"), work, f"doc_id {kind}, lang string, x binary").toPandas().sort_values("doc_id")
+    rows = map_texts(taught.select("doc_id", "lang", "text", "h"), work, f"doc_id {kind}, lang string, h long, x binary").toPandas()
+    rows = rows.sort_values(["lang", "h", "doc_id"]).groupby("lang").head(each).sort_values(["doc_id", "lang"])
     x = np.array([np.frombuffer(b, np.float32) for b in rows["x"]], np.float64).reshape(len(rows), DIMENSIONS + 1)
     lang = rows["lang"].to_numpy(object)
     languages: dict[str, list[str]] = {}
     for name in sorted(set(lang)):
         languages.setdefault(FAMILY_OF.get(name, f"of {name}"), []).append(name)
     family = np.array([FAMILY_OF.get(n, f"of {n}") for n in lang], object)
-    duels, weights = {"": list(combinations(sorted(languages), 2))}, []
+    duels = {"": list(combinations(sorted(languages), 2))}
     duels |= {f: list(combinations(names, 2)) for f, names in languages.items()}
-    for level, pairs in duels.items():
-        side = lang if level else family
-        for a, b in pairs:
-            some = (side == a) | (side == b)
-            weights.append(support_vectors(x[some], np.where(side[some] == a, 1.0, -1.0)))
+    todo = [(level, a, b) for level, pairs in duels.items() for a, b in pairs]
+    weights = trained(docs.sparkSession, todo, x, lang, family)
     return languages, duels, np.array(weights).T if weights else np.zeros((DIMENSIONS + 1, 0))
 
 
+def trained(spark, duels: list[tuple[str, str, str]], x: np.ndarray, lang: np.ndarray, family: np.ndarray) -> list[np.ndarray]:
+    """The machine of every duel, each trained in a task of its own on the bounded sample."""
+    if not duels:
+        return []
+    shared = spark.sparkContext.broadcast((x.astype(np.float32), lang, family))
+    numbered = spark.createDataFrame(list(enumerate(duels)), "n long, duel struct<level:string,a:string,b:string>").repartition(min(len(duels), 256))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, duel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, own_lang, own_family = shared.value
+                side = own_lang if duel["level"] else own_family
+                some = (side == duel["a"]) | (side == duel["b"])
+                w = support_vectors(rows[some].astype(np.float64), np.where(side[some] == duel["a"], 1.0, -1.0))
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
+
+    found = {r.n: np.frombuffer(r.w) for r in numbered.mapInArrow(train, "n long, w binary").collect()}
+    shared.unpersist()
+    return [found[n] for n in range(len(duels))]
+
+
 def predict_languages(docs: DataFrame, learned: tuple) -> DataFrame:
     """doc_id, lang_pred and score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(learned)
-    held: list[Model] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(Model(*shared.value))
-        rows = [held[0].predict(t or "") for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "lang_pred", "score"])
+        rows = list(Model(*shared.value).predict(batch.column(1).to_pylist()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_texts(docs.select("doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double")

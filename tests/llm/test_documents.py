@@ -368,6 +368,33 @@ def test_language(spark, docs, empty):
     assert langid.predict_languages(table, langid.fit(table.where("false"), langid.training_rows())).where("lang_pred = 'und'").count() == 400
 
 
+def test_grams_against_plain_ones(monkeypatch):
+    """Counted in chunks beside other texts, each text has its own n-grams, those of very long words included."""
+    r = random.Random(12)
+    texts = ["".join(r.choice("abcé日ก  .1\n_") for _ in range(r.randrange(60))) for _ in range(40)] + [None, "", "x", "ab" * 400, "²3 _"]
+    whole = langid.gram_counts(texts)
+    monkeypatch.setattr(langid.codes, "CHUNK", 29)
+    assert (langid.gram_counts(texts) == whole).all()
+    assert all((langid.gram_counts([t]) == w).all() for t, w in zip(texts, whole, strict=True))
+    for text, counts in zip(texts, whole, strict=True):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        grams = [f"^{w}$"[i : i + n] for w in words for n in (1, 2, 3) for i in range(len(w) + 3 - n)]
+        grams = [g for g in grams if g not in ("^", "$")]
+        assert counts[-1] == len(grams) == counts[:-1].sum() and (counts[:-1] > 0).sum() <= len(set(grams))
+
+
+def test_language_sample(spark):
+    """A language with most rows, repeated rows and an id in two languages: bounded, and the same whatever the layout."""
+    rows = [(i, "en", f"text {i}") for i in range(5000)] + [(7, "en", "text 7")] * 50 + [(i, "de", f"wort {i}") for i in range(5000, 5020)] + [(7, "de", "b"), (7, "de", "a"), (None, "de", "x"), (1, None, "x"), (2, "fr", None)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got, each = langid.sample(table, F.lit(True), 100, 20_000)
+    n = {r.lang: r["count"] for r in got.groupBy("lang").count().collect()}
+    assert each == 100 and 100 <= n["en"] <= 300 and n["de"] == 21 and set(n) == {"en", "de"}
+    assert got.where("doc_id = 7 and lang = 'de'").first().text == "a"
+    again, _ = langid.sample(table.repartition(7), F.lit(True), 100, 20_000)
+    assert sorted(got.collect()) == sorted(again.collect())
+
+
 def test_top_k(spark):
     r = random.Random(4)
     rows = [(i, [r.uniform(-0.4, 0.4) for _ in range(8)]) for i in range(300)]
