@@ -1,27 +1,28 @@
 """Chat formatting by schema fingerprints, with DataFrame and SQL functions only.
 
-A record is JSON text of any layout. Its fingerprint is the hash of the sorted paths of
-its nested fields (types left out, array elements as []). A registry maps fingerprints
-to declarative mappings: for each turn of the layout, the role (a constant or a path)
-and the paths of the text, read from the record or from each element of an array.
-Every record thus becomes canonical turns (role, text).
+A record is JSON text of any layout. Its fingerprint is the hash of its nested fields, to
+any depth, as schema_of_variant writes them (scalar types left out, elements of an array
+taken together); string values that hold JSON are strings. A registry maps fingerprints to
+declarative mappings: for each turn of the layout, the role (a constant or a path, with the
+names that the layout has for roles) and the paths of the text, read from the record or
+from each element of an array. Every record thus becomes canonical turns (role, text).
 
 Turns are written as `### role: text</turn>` and a newline. Within roles and texts the
 characters \\ # < and : (roles only) are written as \\b \\h \\l and \\c, so no marker can
 occur in them, and every text can be read back as it was.
 
 Defined results: a null text counts as empty, a null role as "user"; empty texts are
-turns as any other; records that are no JSON, or whose layout has no mapping, give no
-turns, and `layout` is null for them; ties of turn are ordered by role and text;
+turns as any other; roles that a layout has no other name for stay as they are; records
+that are no JSON, or whose layout has no mapping, give no turns, `layout` is null for them
+and n_unmapped counts them; ties of turn are ordered by what is written for them;
 repeated rows are turns of their own; an empty table gives an empty table; columns
-other than those named are dropped.
+other than those named are dropped. A formatted conversation is one value, so a
+conversation has to fit a row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +31,19 @@ OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 #: What is written for each character that could be part of a marker.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
-#: Names under which common layouts give the three roles.
-ROLE_NAMES = {"human": "user", "prompter": "user", "user": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "assistant": "assistant", "system": "system"}
+#: Names that the layout `conversations` has for the roles.
+SPEAKERS = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+#: Scalars in what schema_of_variant writes.
+SCALAR = r"(?<=: |ARRAY<|^)(?!OBJECT<|ARRAY<)[A-Z_]+(?:\([0-9, ]+\))?(?=[,>]|$)"
 
 
 @dataclass(frozen=True)
 class Turn:
-    """One turn of a layout. role: a constant, or a path after `$.`; texts: paths that are joined by blank lines where not empty."""
+    """One turn of a layout. role: a constant, or a path after `$.`, with the layout's names of roles; texts: paths that are joined by blank lines where not empty."""
 
     role: str
     texts: tuple[str, ...]
+    names: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -60,41 +64,47 @@ LAYOUTS = (
     Layout("question_answer", ("question", "answer"), (Turn("user", ("$.question",)), Turn("assistant", ("$.answer",)))),
     Layout("instruction", ("instruction", "output"), (Turn("user", ("$.instruction", "$.input")), Turn("assistant", ("$.output",))), optional=("input",)),
     Layout("messages", ("messages", "messages[].role", "messages[].content"), (Turn("$.role", ("$.content",)),), each="$.messages"),
-    Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), (Turn("$.from", ("$.value",)),), each="$.conversations"),
+    Layout("conversations", ("conversations", "conversations[].from", "conversations[].value"), (Turn("$.from", ("$.value",), SPEAKERS),), each="$.conversations"),
     Layout("nested_messages", ("data", "data.messages", "data.messages[].role", "data.messages[].content"), (Turn("$.role", ("$.content",)),), each="$.data.messages"),
     Layout("turn_pairs", ("turns", "turns[].user", "turns[].assistant"), (Turn("user", ("$.user",)), Turn("assistant", ("$.assistant",))), each="$.turns"),
 )
 
 
-def field_paths(record: Column) -> Column:
-    """Sorted distinct paths of the fields of a variant, two arrays or objects deep within each other at most three times; texts are values, also where they hold JSON."""
-    pairs = "array<struct<key:string,value:variant>>"
-    entries = lambda value: F.coalesce(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), F.array().cast(pairs))
-    keys = lambda value: F.transform(entries(value), lambda e: e["key"])
+def field_schema(value: Column) -> Column:
+    """The nested fields of a variant as text, to any depth: OBJECT<a: _, b: ARRAY<OBJECT<c: _>>>."""
+    return F.regexp_replace(F.schema_of_variant(value), SCALAR, "_")
 
-    def inner(prefix: Column, value: Column) -> Column:
-        """Paths right under one value, which is an object or an array of objects."""
-        elements = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
-        of_array = F.flatten(F.transform(elements, lambda e: F.transform(keys(e), lambda k: F.concat(prefix, F.lit("[]."), k))))
-        of_object = F.transform(keys(value), lambda k: F.concat(prefix, F.lit("."), k))
-        return F.concat(of_array, of_object)
 
-    level = entries(record)
-    second = F.flatten(F.transform(level, lambda e: inner(e["key"], e["value"])))
-    third = F.flatten(F.transform(level, lambda e: F.flatten(F.transform(entries(e["value"]), lambda x: inner(F.concat(e["key"], F.lit("."), x["key"]), x["value"])))))
-    return F.array_sort(F.array_distinct(F.concat(keys(record), second, third)))
+def schema_of(paths: tuple[str, ...]) -> str:
+    """What field_schema gives for an object with these paths (array elements as [])."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for step in path.split("."):
+            at = at.setdefault(step.removesuffix("[]"), {})
+            if step.endswith("[]"):
+                at = at.setdefault("[]", {})
 
+    def text(node: dict) -> str:
+        if not node:
+            return "_"
+        if "[]" in node:
+            return f"ARRAY<{text(node['[]'])}>"
+        return "OBJECT<" + ", ".join(f"{k}: {text(v)}" for k, v in sorted(node.items())) + ">"
 
-def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(F.array_join(paths, "\n"))
+    return text(tree)
 
 
-def fingerprints_of(layout: Layout) -> list[tuple[str, ...]]:
-    """Sorted paths of the layout, with and without each optional one."""
+def fingerprint(schema: Column) -> Column:
+    return F.xxhash64(schema)
+
+
+def fingerprints_of(layout: Layout) -> list[Column]:
+    """Hashes of the layout's fields, with and without each optional one."""
     found = [layout.paths]
     for path in layout.optional:
         found += [(*p, path) for p in found]
-    return [tuple(sorted(p)) for p in found]
+    return [fingerprint(F.lit(schema_of(p))) for p in found]
 
 
 def escaped(text: Column, escapes: tuple[tuple[str, str], ...]) -> Column:
@@ -109,20 +119,24 @@ def unescaped(text: Column, escapes: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
-def canonical_role(role: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
+def canonical_role(role: Column, names: tuple[tuple[str, str], ...]) -> Column:
     role = F.coalesce(role, F.lit("user"))
-    return F.coalesce(names[F.lower(role)], role)
+    for given, canonical in names:
+        role = F.when(role == given, canonical).otherwise(role)
+    return role
 
 
-def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
-    """(name of the layout, turns array<struct<role,text>>) of a JSON record, by its fingerprint."""
-    value = F.try_parse_json(record)
-    print_ = fingerprint(field_paths(value))
-    name, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
+def layout_of(print_: Column, layouts: tuple[Layout, ...]) -> Column:
+    """Name of the layout with this fingerprint; null if there is none."""
+    names = F.create_map(*[x for layout in layouts for p in fingerprints_of(layout) for x in (p, F.lit(layout.name))])
+    return names[print_]
+
+
+def turns_of(value: Column, name: Column, layouts: tuple[Layout, ...]) -> Column:
+    """turns array<struct<role,text>> of a variant with the layout of that name; none without a layout."""
 
     def read(turn: Turn, at: Column) -> Column:
-        role = canonical_role(F.try_variant_get(at, turn.role, "string")) if turn.role.startswith("$") else F.lit(turn.role)
+        role = canonical_role(F.try_variant_get(at, turn.role, "string"), turn.names) if turn.role.startswith("$") else F.lit(turn.role)
         parts = [F.coalesce(F.try_variant_get(at, p, "string"), F.lit("")) for p in turn.texts]
         text = parts[0]
         for more in parts[1:]:
@@ -137,20 +151,29 @@ def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tu
             return all_turns(layout, value)
         return F.flatten(F.transform(F.try_variant_get(value, layout.each, "array<variant>"), lambda e: all_turns(layout, e)))
 
+    turns = F.array().cast("array<struct<role:string,text:string>>")
     for layout in layouts:
-        is_it = reduce(or_, [print_ == F.xxhash64(F.lit("\n".join(p))) for p in fingerprints_of(layout)])
-        name, turns = F.when(is_it, F.lit(layout.name)).otherwise(name), F.when(is_it, made(layout)).otherwise(turns)
-    return name, turns
+        turns = F.when(name == layout.name, made(layout)).otherwise(turns)
+    return turns
+
+
+def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[Column, Column]:
+    """(name of the layout, turns array<struct<role,text>>) of a JSON record, by its fingerprint."""
+    value = F.try_parse_json(record)
+    name = layout_of(fingerprint(field_schema(value)), layouts)
+    return name, turns_of(value, name, layouts)
 
 
 def format_chat(records: DataFrame, key: str, order: list[str], record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """key, n_records and formatted: the turns of all records of a key, in order, as one text with escaped roles and texts."""
-    _, turns = canonical_turns(F.col(record), layouts)
-    canonical = records.select(key, *order, turns.alias("turns"))
+    """key, n_records, n_unmapped and formatted: the turns of all records of a key, in order, as one text with escaped roles and texts."""
+    at = F.struct(*order)
+    parsed = records.select(F.col(key).alias("key"), at.alias("at"), F.try_parse_json(record).alias("value"))
+    named = parsed.select("key", "at", "value", layout_of(fingerprint(field_schema(F.col("value"))), layouts).alias("layout"))
+    canonical = named.select("key", "at", "layout", turns_of(F.col("value"), F.col("layout"), layouts).alias("turns"))
     written = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(OPEN), escaped(t["role"], ROLE_ESCAPES), F.lit(MIDDLE), escaped(t["text"], ESCAPES), F.lit(CLOSE))), "")
-    parts = canonical.select(key, F.struct(*order, "turns").alias("at"), written.alias("written"))
-    gathered = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "written"))).alias("parts"))
-    return gathered.select(key, F.size("parts").cast("long").alias("n_records"), F.array_join(F.transform("parts", lambda p: p["written"]), "").alias("formatted"))
+    parts = canonical.select("key", "layout", F.struct("at", written.alias("written")).alias("part"))
+    gathered = parts.groupBy("key").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.count_if(F.col("layout").isNull()).alias("n_unmapped"))
+    return gathered.select(F.col("key").alias(key), F.size("parts").cast("long").alias("n_records"), "n_unmapped", F.array_join(F.transform("parts", lambda p: p["written"]), "").alias("formatted"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -172,8 +195,11 @@ def loss_texts(turns: Column) -> Column:
 
 
 def row_records(rows: DataFrame) -> DataFrame:
-    """conv_id, turn and record: each row (role, text) as JSON of the layout `message`."""
-    record = F.to_json(F.struct(F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    """conv_id, turn and record: each row (role, text) as JSON; by its conversation's id, of the layout `message`, `messages` or `nested_messages`."""
+    role, text = F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))
+    messages = F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages")
+    kind = F.pmod(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)), F.lit(3))
+    record = F.when(kind == 0, F.to_json(F.struct(role.alias("role"), text.alias("text")))).when(kind == 1, F.to_json(F.struct(messages))).otherwise(F.to_json(F.struct(F.struct(messages).alias("data"))))
     return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), record.alias("record"))
 
 

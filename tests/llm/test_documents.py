@@ -456,6 +456,26 @@ def test_chat_layouts(spark):
     assert all(got[i][1] == [] for i in (7, 8, 9))
 
 
+def test_chat_schemas_of_any_depth(spark):
+    """Fields are told apart at every depth; roles stay as they are given; records without a mapping are counted."""
+    import json
+
+    deep = chat.Layout("deep", ("a", "a.b", "a.b.c", "a.b.c.d", "a.b.c.d[].q", "a.b.c.d[].r"), (chat.Turn("user", ("$.q",)), chat.Turn("assistant", ("$.r",))), each="$.a.b.c.d")
+    records = [{"a": {"b": {"c": {"d": [{"q": "1", "r": "2"}]}}}}, {"a": {"b": {"c": {"d": [{"q": "1", "s": "2"}]}}}}, {"messages": [{"role": "Human", "content": "x"}]}, {"messages": [{"role": "user", "content": 5}, {"role": None, "content": None}]}, {"role": "GPT", "text": "y"}]
+    table = spark.createDataFrame([(i, 0, json.dumps(r)) for i, r in enumerate(records)], "id long, at long, record string")
+    got = {r.id: r for r in chat.format_chat(table, "id", ["at"], layouts=(*chat.LAYOUTS, deep)).collect()}
+    assert [got[i].n_unmapped for i in range(5)] == [0, 1, 0, 0, 0]
+    turns = {i: got[i].formatted for i in got}
+    assert turns == {0: "### user: 1</turn>\n### assistant: 2</turn>\n", 1: "", 2: "### Human: x</turn>\n", 3: "### user: 5</turn>\n### user: </turn>\n", 4: "### GPT: y</turn>\n"}
+
+
+def test_chat_clashing_columns(spark):
+    rows = [(1, 1, '{"role": "user", "text": "a"}', "k", 2), (1, 0, '{"role": "user", "text": "b"}', "k", 3), (1, 0, None, None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, record string, key string, value long").withColumnsRenamed({"key": "layout"})
+    got = chat.format_chat(table, "conv_id", ["turn"]).first()
+    assert (got.n_records, got.n_unmapped, got.formatted) == (3, 1, "### user: b</turn>\n### user: a</turn>\n")
+
+
 def test_bound_is_safe():
     """The matrix's rows never rule out a link."""
     import numpy as np
