@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import codes
 from spindrift.llm.common import durable, map_texts, remainder
 
-PER_CLASS, SAMPLE_CHARS, NEIGHBOURS, BLOCK, FIRST_OPEN, WIDE, BATCH = 2000, 32_000_000, 10, 64, 8, 24, 64
+PER_CLASS, SAMPLE_CHARS, NEIGHBOURS, BLOCK, FIRST_OPEN, WIDE, BATCH = 2000, 32_000_000, 10, 128, 64, 16, 64
 HEADS = (4, 5, 6)
 
 
@@ -60,21 +60,48 @@ def term_hashes(begins: list[tuple[int, int]], text: str) -> tuple[np.ndarray, n
     return np.concatenate([o for o, _ in found]), np.concatenate([h for _, h in found])
 
 
-def term_counts(texts: list[str | None], vocabulary: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the sorted distinct terms and how often they occur; with a vocabulary (sorted hashes) only its terms, as their places in it."""
+class Lookup:
+    """Places of hashes in a sorted vocabulary, by buckets of their upper bits."""
+
+    def __init__(self, vocabulary: np.ndarray) -> None:
+        self.vocabulary = vocabulary
+        bits = max(4, min(22, len(vocabulary).bit_length() + 2))
+        self.shift = np.uint64(64 - bits)
+        counts = np.bincount((vocabulary >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are known, their places), in no particular order."""
+        bucket = (hashes >> self.shift).astype(np.int64)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        rows = np.flatnonzero(at < end)
+        at, end, own, found = at[rows], end[rows], hashes[rows], []
+        while len(rows):
+            hit = self.vocabulary[at] == own
+            found.append((rows[hit], at[hit]))
+            at = at + 1
+            more = ~hit & (at < end)
+            rows, at, end, own = rows[more], at[more], end[more], own[more]
+        return np.concatenate([np.empty(0, np.int64), *(r for r, _ in found)]), np.concatenate([np.empty(0, np.int32), *(a for _, a in found)])
+
+
+def term_counts(texts: list[str | None], lookup: Lookup | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct terms and how often they occur; with a lookup only the terms of its vocabulary, as their places in it."""
     owners, terms = [], []
     for begins, part in codes.chunks([(t or "").lower() for t in texts]):
         owner, term = term_hashes(begins, part)
-        if vocabulary is not None:
-            at = np.searchsorted(vocabulary, term)
-            at[at == len(vocabulary)] = 0
-            known = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-            owner, term = owner[known], at[known].astype(np.uint64)
+        if lookup is not None:
+            known, at = lookup.places(term)
+            owner, term = owner[known], at
         owners.append(owner)
         terms.append(term)
-    owner, term = np.concatenate([np.empty(0, np.int64), *owners]), np.concatenate([np.empty(0, np.uint64), *terms])
-    order = np.lexsort([term, owner])
-    owner, term = owner[order], term[order]
+    owner, term = np.concatenate([np.empty(0, np.int64), *owners]), np.concatenate(terms or [np.empty(0, np.uint64)])
+    if lookup is None:
+        order = np.lexsort([term, owner])
+        owner, term = owner[order], term[order]
+    else:  # places are small: one number holds both
+        both = np.sort(owner * (len(lookup.vocabulary) + 1) + term)
+        owner, term = both // (len(lookup.vocabulary) + 1), both % (len(lookup.vocabulary) + 1)
     first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])])) if len(owner) else np.empty(0, np.int64)
     count = np.diff(np.append(first, len(owner)))
     cuts = np.searchsorted(owner[first], np.arange(len(texts) + 1))
@@ -124,7 +151,8 @@ class Index:
         if not len(self.ids):
             return
         self.rates = np.array([self.class_counts[c] / n_all for c in (0, 1)]) / (n / n.sum())
-        size, example = len(self.vocabulary), self.examples.astype(np.int32)
+        self.lookup = Lookup(self.vocabulary)
+        size, example = len(self.vocabulary), self.examples.astype(np.int64)
         term, counts = np.repeat(np.arange(size), self.lengths), np.frombuffer(zlib.decompress(self.counts), np.int32)
         self.weight = relevance(term, example, self.labels, size)
         value = unit_values(term, example, counts, self.weight, len(self.ids))
@@ -209,7 +237,7 @@ class Index:
         """Score and evidence of every text."""
         if not len(self.ids):
             return [(self.prior, [])] * len(texts)
-        vectors = term_counts(texts, self.vocabulary)
+        vectors = term_counts(texts, self.lookup)
         keys = [(t.tobytes(), c.tobytes()) for t, c in vectors]
         unlike = dict(zip(keys, vectors, strict=True))
         found = {}
@@ -316,7 +344,7 @@ def calibrate(taught: DataFrame, rows: pd.DataFrame, index: Index, k: int) -> tu
         own = held_index(shared.value)
         some = [i for i, t in enumerate(batch.column(2).to_pylist()) if t in places]
         batch = batch.take(pa.array(some, pa.int64()))
-        near = own.nearest(term_counts(batch.column(3).to_pylist(), own.vocabulary), k + 1)
+        near = own.nearest(term_counts(batch.column(3).to_pylist(), own.lookup), k + 1)
         shares = [own.votes(*at, places[s], x) for at, s, x in zip(near, batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(shares, pa.float64())], names=["toxic", "share"])
 

@@ -326,7 +326,7 @@ def test_nearest_is_exact():
         size = np.sqrt(sum(x * x for x in v.values()))
         plain[i] = {t: x / size for t, x in v.items()}
     queries = list(range(0, 700, 14))
-    for q, (places, cosines) in zip(queries, index.nearest([toxicity.term_counts([texts[q]], index.vocabulary)[0] for q in queries], 10), strict=True):
+    for q, (places, cosines) in zip(queries, index.nearest([toxicity.term_counts([texts[q]], index.lookup)[0] for q in queries], 10), strict=True):
         every = {int(d): round(float(sum(x * plain[int(d)].get(t, 0.0) for t, x in plain[q].items())), 9) for d in index.ids}
         least = sorted(every.values())[-10]
         assert {int(index.ids[p]): round(float(c), 7) for p, c in zip(places, cosines, strict=True)} == {d: round(c, 7) for d, c in every.items() if c >= least and c > 0}
