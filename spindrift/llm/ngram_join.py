@@ -1,7 +1,8 @@
 """N-gram Jaccard join with a token-group matrix: exact, as components of near-duplicates.
 
 A document is its set of distinct 5-word shingles, kept as 64-bit hashes; documents with
-one set are one node. Two nodes link when 100 * intersection >= 80 * union.
+one set are one node. Two nodes link when 100 * intersection >= 80 * union. The sets are
+made once, and written beside a bit row each.
 
 1. All shingles are counted to find the frequent ones (a bounded list); they come last
    in the order of shingles. A link has its first common shingle, in that order, among
@@ -9,21 +10,22 @@ one set are one node. Two nodes link when 100 * intersection >= 80 * union.
    form, to buckets of shingles.
 2. In a bucket, a shingle that up to SMALL nodes share gives all their pairs; one that
    more nodes share gives the pairs with one leader for each band of sizes. Verified
-   pairs make the groups: similar documents lie in one group.
-3. The token-group matrix: for every widely shared shingle, the groups (in parts of
-   bounded size) that hold it. A node that shares a shingle with a part of another
-   group queries it: the overlap with the union of the part's shingles bounds that with
-   any member, and only a part that qualifies is opened and its members are compared.
-   Nodes of one group need no comparison: their component is known.
+   pairs make the groups: similar documents lie in one group, in parts of bounded size.
+3. The token-group matrix: for every part the union of its members' tokens, as a stored
+   row of bits. A node that shares a widely shared shingle with parts of other groups
+   queries them: the overlap with a part's union bounds that with any member, and only a
+   part that qualifies is opened and its members are compared. Nodes of one group need no
+   comparison: their component is known.
 Every pair that could link is either verified, ruled out by a bound, or joins nodes of
 one component, so components are exact, and no group's pairs are written out.
 
 Defined results: null and empty texts (and those of white space) have no shingles and
 link with nothing; texts with fewer than five words have one shingle, all their words;
-repeated rows of a document are kept as rows and share its component; texts of any
-length count whole; an empty table gives an empty table; other columns are not read.
-Two shingles or sets with one 64-bit hash would be taken as one; n_shingles and links
-are exact but for that.
+repeated rows of a document are kept as rows and share its component; rows without an id
+link as any other, and their component_id is the least id of their component, null if it
+has none; texts of any length count whole; an empty table gives an empty table; other
+columns are not read. Two shingles or sets with one 64-bit hash would be taken as one;
+n_shingles and links are exact but for that.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.codes import mixed
 from spindrift.llm.common import durable, text_slices
 from spindrift.llm.components import connected_components
 
@@ -46,6 +49,8 @@ WORDS, LEAST, MOST = 5, 80, 100  # LEAST / MOST is the similarity
 LOCAL, COUNTED, FREQUENT, MOST_FREQUENT = 3, 2_000_000, 32, 500_000
 #: Nodes of a shingle that give all pairs; members of a part of a group; postings of a bucket; nodes of a list before it is split; queries of a part in one task.
 SMALL, PART, BUCKET, SPLIT, QUERIES = 6, 64, 1_000_000, 200_000, 2000
+#: Sets are hashes: nothing in them repeats. Small row groups keep few of them in a writer's memory.
+TABLE_OPTIONS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20)}
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -62,12 +67,6 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space alone
@@ -139,33 +138,38 @@ def surely_missing(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(folded(a, width) & ~folded(b, width)).sum())
 
 
+#: kind 0: a document, its size and node; place, bits and tokens where its set stands first in this part. kind 1: a token and its copies where it is frequent in this part.
+SUMMARY = "kind int, doc_id long, token long, n long, node long, place long, bits binary, tokens binary"
+
+
 def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (0, doc_id, size, signature, bit row) of documents and (1, token, copies, 0, null) of tokens that are frequent in this part.
+    """SUMMARY of a part of the documents; place is a number that no other row has."""
+    held, size, seen, made = [], 0, set(), TaskContext.get().partitionId() << 33
 
-    The bit row is given once for a set that several documents of the part have.
-    """
-    held, size, seen = [], 0, set()
+    def rows(kind: int, doc_id, token, n, node, place, bits, tokens) -> pa.RecordBatch:
+        long = lambda x: pa.array(x, pa.int64())
+        names = [f.split()[0] for f in SUMMARY.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), long(doc_id), long(token), long(n), long(node), long(place), pa.array(bits, pa.binary()), pa.array(tokens, pa.binary())], names=names)
 
     def frequent() -> Iterator[pa.RecordBatch]:
         if held:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             some = n >= LOCAL
-            yield rows(1, tokens[some], n[some], np.zeros(some.sum(), np.int64), [None] * int(some.sum()))
-
-    def rows(kind: int, a, b, c, bits) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.binary())], names=["kind", "a", "b", "c", "bits"])
+            none = [None] * int(some.sum())
+            yield rows(1, none, tokens[some], n[some], none, none, none, none)
 
     for batch in text_slices(batches):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         signs = [signature(s) for s in sets]
-        bits: list[bytes | None] = [None] * len(sets)
+        place, bits, tokens = ([None] * len(sets) for _ in range(3))
         for i, (s, sign) in enumerate(zip(sets, signs, strict=True)):
             if len(s) and sign not in seen:
                 seen.add(sign)
-                bits[i] = bit_row(s)
+                place[i], bits[i], tokens[i] = made, bit_row(s), s.tobytes()
+                made += 1
                 held.append(s)
                 size += len(s)
-        yield rows(0, batch.column(0), [len(s) for s in sets], signs, bits)
+        yield rows(0, batch.column(0), [None] * len(sets), [len(s) for s in sets], signs, place, bits, tokens)
         if size >= COUNTED:
             yield from frequent()
             held, size, seen = [], 0, set()
@@ -181,7 +185,7 @@ def post(shared, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, classes, copies = shared.value
         split = frequent[copies > SPLIT]
-        held, signs, sizes, total, seen = [], [], [], 0, set()
+        held, signs, sizes, total = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
@@ -206,20 +210,16 @@ def post(shared, buckets: int):
                 out.append({"bucket": int(b), "tokens": tokens[some].tobytes(), "nodes": at.astype(np.uint32).tobytes(), "places": places[some].astype(np.uint32).tobytes(), "signs": sign[own].tobytes(), "sizes": size[own].astype(np.uint32).tobytes()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("tokens", "nodes", "places", "signs", "sizes"))]))
 
-        for batch in text_slices(batches):
-            for text in batch.column(0).to_pylist():
-                tokens = shingles(text)
-                sign = signature(tokens)
-                if not len(tokens) or sign in seen:
-                    continue
-                seen.add(sign)
+        for batch in batches:
+            for sign, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(data.as_buffer(), np.int64)
                 held.append(prefix(tokens, frequent, classes))
                 signs.append(sign)
                 sizes.append(len(tokens))
                 total += len(held[-1])
                 if total >= BUCKET // 2:
                     yield from flush()
-                    held, signs, sizes, total, seen = [], [], [], 0, set()
+                    held, signs, sizes, total = [], [], [], 0
         yield from flush()
 
     return run
@@ -282,91 +282,60 @@ def bucket_candidates(table: pa.Table, split: np.ndarray) -> pa.Table:
     return pa.table({"kind": pa.array(np.concatenate([zero, np.ones(len(more), np.int64)]), pa.int32()), "a": pa.array(np.concatenate([both[0], tokens[more]])), "b": pa.array(np.concatenate([both[1], signs[more]])), "size": pa.array(np.concatenate([zero, sizes[more]]), pa.int32()), "place": pa.array(np.concatenate([zero, places[more]]), pa.int32())})
 
 
-def bloom_of(ids: DataFrame, n: int) -> np.ndarray:
-    """Bits of the ids (a long column), at most 2^26 of them whatever n is; members are never missed."""
-    bits = 1 << min(26, max(16, (16 * n).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
-        for batch in batches:
-            own[bloom_places(batch.column(0).to_numpy(), bits)] = True
-        if own.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
-
-    found = np.zeros(bits // 8, np.uint8)
-    for row in ids.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        found |= np.frombuffer(row.bits, np.uint8)
-    return found
+class Sets:
+    """The stored sets: rows (place, bits, tokens), and the place of one of them for each node."""
 
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows.where("place is not null")
+        self.places = durable(self.rows.groupBy("node").agg(F.min("place").alias("place")))
 
-def bloom_places(values: np.ndarray, bits: int) -> np.ndarray:
-    x = mixed(values.astype(np.int64).view(np.uint64))
-    return np.stack([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
-
-
-def bloom_hits(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = bloom_places(values, len(bits) * 8)
-    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(0)
+    def beside(self, asked: DataFrame, column: str) -> DataFrame:
+        """asked (with node), and that column of its set; what is not asked for is not dealt out where few are."""
+        return asked.join(self.places, "node").join(self.rows.select("place", column), "place").drop("place")
 
 
 def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone (distinct doc_id): exact, and only rows that a bounded filter of the ids lets through are shuffled."""
-    gone = durable(gone)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(gone, gone.count()))
-
-    def hit(ids: pd.Series) -> pd.Series:
-        there = ids.notna().to_numpy()
-        out = np.zeros(len(ids), bool)
-        out[there] = bloom_hits(ids[there].to_numpy(np.int64), shared.value)
-        return pd.Series(out)
-
-    is_hit = F.pandas_udf(hit, "boolean")(F.col("doc_id"))
-    doubtful = docs.where(is_hit).join(gone, "doc_id", "left_anti").select(docs.columns)
-    return docs.where(~is_hit).unionByName(doubtful)
+    """docs without the rows whose doc_id is in gone; rows without an id stay."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
-def token_sets(docs: DataFrame, summary: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its tokens (payload), for the nodes named: only texts that a bounded filter of their ids lets through are cut into shingles again."""
-    chosen = durable(summary.join(nodes, summary["node"] == nodes["node"], "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(chosen.select("doc_id"), chosen.count()))
+def numbers(*names: str) -> Column:
+    """64-bit numbers as text, which judges read again."""
+    return F.concat_ws(",", *[F.col(n).cast("string") for n in names]).cast("binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for part in text_slices([batch.filter(pa.array(bloom_hits(ids, bits)))]):
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([signature(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "node", "payload"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, node long, payload binary").select("node", "payload")
+def beside(targets: DataFrame, queries: DataFrame, sets: Sets, judge, schema: str) -> DataFrame:
+    """dealt, with the tokens of the targets and queries (part, node)."""
+    both = targets.select("part", "node", F.lit(0).alias("kind")).unionByName(queries.select("part", "node", F.lit(1).alias("kind")))
+    rows = sets.beside(both, "tokens").withColumnRenamed("tokens", "payload")
+    return dealt(rows.where("kind = 0"), rows.where("kind = 1"), judge, schema)
 
 
-def beside(targets: DataFrame, queries: DataFrame, data: DataFrame, judge, schema: str) -> DataFrame:
-    """What judge finds for every query (part, node) beside the members of its part: targets (part, node); data: node, payload.
+def dealt(targets: DataFrame, queries: DataFrame, judge, schema: str) -> DataFrame:
+    """What judge finds for every query beside the targets of its part, both (part, node, payload).
 
-    A part's members come first in its task, then its queries one after the other; a part with many queries is
-    dealt to several tasks. judge takes the members [(node, payload)] and gives a function of a query.
+    A part's targets come first in its task, then its queries one after the other; a part with many queries is
+    dealt to several tasks. judge takes the targets [(node, payload)] and gives a function of a query.
     """
-    many = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
+    many = durable(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")))
     copies = targets.join(many, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = queries.join(many, "part").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    wanted = copies.select("part", "salt", F.lit(0).alias("kind"), "node").unionByName(dealt.select("part", "salt", F.lit(1).alias("kind"), "node"))
-    rows = wanted.join(data, "node").select("part", "salt", "kind", "node", "payload")
+    spread = queries.join(many, "part").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    rows = copies.select("part", "salt", F.lit(0).alias("kind"), "node", "payload").unionByName(spread.select("part", "salt", F.lit(1).alias("kind"), "node", "payload"))
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, judged = None, [], None
+        at, held, judged = None, [], None
         for batch in batches:
             found: list[tuple[int, int]] = []
             for p, s, kind, node, payload in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (p, s) != at:
-                    at, members, judged = (p, s), [], None
+                    at, held, judged = (p, s), [], None
                 if not kind:
-                    members.append((node, payload))
+                    held.append((node, payload))
                     continue
                 if judged is None:
-                    judged = judge(p, members)
+                    judged = judge(p, held)
                 found += judged(node, payload)
             if found:
                 a, b = zip(*found, strict=True)
@@ -375,27 +344,45 @@ def beside(targets: DataFrame, queries: DataFrame, data: DataFrame, judge, schem
     return rows.repartition(n, "part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(run, schema)
 
 
-def bound_judge(part: int, members: list[tuple[int, bytes]]):
-    """Whether a query may link with a member: by the matrix's row of the part, the union of its members."""
-    read = [read_row(x) for _, x in members]
-    width = min((len(r) for _, r in read), default=8)
-    union = np.zeros(width, np.uint8)
-    for _, r in read:
-        union |= folded(r, width)
-    least = min((n for n, _ in read), default=0)
-    alone = read[0][1] if len(read) == 1 else None
-    one = members[0][0] if len(members) == 1 else None
+def unions_of(members: DataFrame, sets: Sets) -> DataFrame:
+    """The token-group matrix, stored: for each part of members (part, node) the least size of a member, the union of the members' bit rows, and the member if it is the only one."""
 
-    def may(node: int, payload: bytes) -> list[tuple[int, int]]:
-        if not read or node == one:
-            return []
-        n, row = read_row(payload)
-        need = -(-LEAST * (n + max(least, -(-LEAST * n // MOST))) // (LEAST + MOST))
-        if n - surely_missing(row, union if alone is None else alone) < need:
-            return []
-        return [] if alone is not None and least - surely_missing(alone, row) < need else [(part, node)]
+    def union(table: pa.Table) -> pa.Table:
+        read = [read_row(x.as_py()) for x in table.column("bits")]
+        row = read[0][1]
+        for _, r in read[1:]:
+            width = min(len(row), len(r))
+            row = folded(row, width) | folded(r, width)
+        own = set(table.column("node").to_pylist())
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "least": pa.array([min(n for n, _ in read)], pa.int64()), "bits": pa.array([row.tobytes()], pa.binary()), "alone": pa.array([own.pop() if len(own) == 1 else None], pa.int64())})
+
+    rows = sets.beside(members, "bits").select("part", "node", "bits")
+    return durable(rows.groupBy("part").applyInArrow(union, "part long, least long, bits binary, alone long"))
+
+
+def qualifying(queries: DataFrame, unions: DataFrame, sets: Sets) -> DataFrame:
+    """The queries (part, node) whose overlap with the part's union is no less than a link with a member needs."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_qualify(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return may
+    union = unions.select("part", "least", F.col("bits").alias("union"), "alone")
+    rows = sets.beside(queries.join(union, "part"), "bits").select("part", "node", "least", "union", "alone", "bits")
+    return rows.mapInArrow(judge, "part long, node long")
+
+
+def may_qualify(node: int, least: int, union: bytes, alone: int | None, bits: bytes) -> bool:
+    """Whether a query may link with a member of a part, by the part's union and its least size."""
+    if node == alone:
+        return False
+    n, row = read_row(bits)
+    held = np.frombuffer(union, np.uint8)
+    need = -(-LEAST * (n + max(least, -(-LEAST * n // MOST))) // (LEAST + MOST))
+    if n - surely_missing(row, held) < need:
+        return False
+    return alone is None or least - surely_missing(held, row) >= need
 
 
 def link_judge(part: int, members: list[tuple[int, bytes]]):
@@ -412,81 +399,77 @@ def link_judge(part: int, members: list[tuple[int, bytes]]):
     return links
 
 
-def verified(docs: DataFrame, summary: DataFrame, targets: DataFrame, queries: DataFrame) -> DataFrame:
-    """Links (a, b) of the queries (part, node) with members of their parts: the bound first, then only groups that qualify are opened."""
-    nodes = targets.select("node").unionByName(queries.select("node")).distinct()
-    rows = summary.where("bits is not null").join(nodes, "node", "left_semi").select("node", F.col("bits").alias("payload"))
-    open_ = durable(beside(targets, queries, rows, bound_judge, "part long, node long").distinct())
-    members = targets.join(open_.select("part").distinct(), "part", "left_semi")
-    needed = members.select("node").unionByName(open_.select("node")).distinct()
-    return durable(beside(members, open_, token_sets(docs, summary, needed), link_judge, "a long, b long"))
+def verified(sets: Sets, members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Links (a, b) of the queries (part, node) with members (part, node): the matrix first, then only parts that qualify are opened."""
+    asked = members.join(queries.select("part").distinct(), "part", "left_semi")
+    open_ = durable(qualifying(queries, unions_of(asked, sets), sets))
+    chosen = durable(asked.join(open_.select("part").distinct(), "part", "left_semi"))
+    return durable(beside(chosen, open_, sets, link_judge, "a long, b long"))
+
+
+def query_judge(token: int, parts: list[tuple[int, bytes]]):
+    """The parts of other, larger components (by size, then name) that a node may link with through this token."""
+    part = np.array([p for p, _ in parts], np.int64)
+    component, n, least, most, left = np.array([list(map(int, x.split(b","))) for _, x in parts], np.int64).T if parts else np.empty((5, 0), np.int64)
+
+    def asks(node: int, payload: bytes) -> list[tuple[int, int]]:
+        own, own_n, size, own_left = map(int, payload.split(b","))
+        later = (n > own_n) | ((n == own_n) & (component > own))
+        fits = (LEAST * least <= MOST * size) & (LEAST * size <= MOST * most)
+        need = -(-LEAST * (size + np.maximum(least, -(-LEAST * size // MOST))) // (LEAST + MOST))
+        return [(node, p) for p in part[later & fits & (np.minimum(left, own_left) >= need)].tolist()]
+
+    return asks
 
 
-def group_queries(shared: DataFrame, sizes: DataFrame, buckets: int) -> DataFrame:
+def group_queries(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     """(node, part): nodes that share a wide shingle with a part of a larger group and may link with a member.
 
     shared: token, node, size, place of widely shared shingles; sizes: node, component, n (of the component), part.
+    The nodes of a token are dealt to tasks in bounded numbers, each beside what the token's parts say of themselves.
     """
-    labelled = shared.join(sizes, "node", "left").select("token", "node", "size", "place", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("part", "node").alias("part"))
-    labelled = durable(labelled)
-    mixed_ = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    wide = labelled.join(mixed_, "token", "left_semi")
-
-    def run(table: pa.Table) -> pa.Table:
-        names = ("token", "node", "size", "place", "component", "n", "part")
-        token, node, size, place, component, n, part = (table.column(c).to_numpy().astype(np.int64) for c in names)
-        order = np.lexsort([component, n, token])
-        token, node, size, place, component, n, part = (x[order] for x in (token, node, size, place, component, n, part))
-        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        found = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            # components lie in order of size: a node queries those after its own
-            run_of = np.cumsum(np.concatenate([[0], (component[a + 1 : b] != component[a : b - 1]).astype(np.int64)]))
-            after = a + np.searchsorted(run_of, run_of, side="right")
-            for i, s in zip(range(a, b), after, strict=True):
-                if s < b:
-                    ok = may_link(size[i], place[i], size[s:b], place[s:b])
-                    if ok.any():
-                        parts = np.unique(part[s:b][ok])
-                        found.append(np.stack([np.full(len(parts), node[i]), parts]))
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"node": pa.array(both[0], pa.int64()), "part": pa.array(both[1], pa.int64())})
-
-    grouped = wide.groupBy(F.pmod("token", F.lit(buckets)).alias("bucket"))
-    return grouped.applyInArrow(run, "node long, part long").distinct()
+    left = (F.col("size") - F.col("place")).cast("long")
+    labelled = durable(shared.join(sizes, "node", "left").select("token", "node", F.col("size").cast("long").alias("size"), left.alias("left"), F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.coalesce("part", "node").alias("part")))
+    several = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    wide = durable(labelled.join(several, "token", "left_semi"))
+    says = wide.groupBy("token", "part").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("left").alias("left"))
+    targets = says.select(F.col("token").alias("part"), F.col("part").alias("node"), numbers("component", "n", "least", "most", "left").alias("payload"))
+    queries = wide.select(F.col("token").alias("part"), "node", numbers("component", "n", "size", "left").alias("payload"))
+    return dealt(targets, queries, query_judge, "node long, part long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = durable(docs.mapInArrow(summarise, "kind int, a long, b long, c long, bits binary"))
-    summary = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"), "bits")
-    counted = rows.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = counted.orderBy(F.desc("n"), "a").limit(MOST_FREQUENT).toPandas().sort_values("a")
-    tokens, copies = frequent["a"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
+    rows = durable(docs.mapInArrow(summarise, SUMMARY), **TABLE_OPTIONS)
+    summary = rows.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    counted = rows.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    frequent = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas().sort_values("token")
+    tokens, copies = frequent["token"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast((tokens, np.log2(np.maximum(copies, 2)).astype(np.int8), copies))
-    total = summary.agg(F.sum(F.col("n_shingles") / 5 + 1)).first()[0] or 0
+    sets = Sets(rows)
+    total = sets.rows.agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0
     buckets = max(8, ceil(total / BUCKET))
 
-    made = durable(docs.select("text").mapInArrow(post(shared, buckets), POSTINGS).groupBy("bucket").applyInArrow(candidates(shared), CANDIDATES))
+    made = durable(sets.rows.select("node", "tokens").mapInArrow(post(shared, buckets), POSTINGS).groupBy("bucket").applyInArrow(candidates(shared), CANDIDATES))
     pairs = durable(made.where("kind = 0").select(F.col("a").alias("part"), F.col("b").alias("node")).distinct())
     wide = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "place")
-    links = verified(docs, summary, pairs.select("part", F.col("part").alias("node")).distinct(), pairs)
+    links = verified(sets, pairs.select("part", F.col("part").alias("node")).distinct(), pairs)
     groups = connected_components(links)
 
-    n = groups.groupBy("component").agg(F.count("*").alias("n"))
+    n = durable(groups.groupBy("component").agg(F.count("*").alias("n")))
     part = F.when(F.col("n") > PART, F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)))).otherwise(F.col("component"))
     sizes = durable(groups.join(n, "component").select("node", "component", "n", part.alias("part")))
-    queries = durable(group_queries(wide, sizes, buckets))
+    queries = durable(group_queries(wide, sizes))
     if not queries.isEmpty():
-        members = sizes.select("node", "part").unionByName(queries.select(F.col("part").alias("node"), "part").distinct().join(sizes.select("node"), "node", "left_anti"))
-        members = members.join(queries.select("part").distinct(), "part", "left_semi")
-        more = verified(docs, summary, members, queries)
+        alone = queries.select(F.col("part").alias("node"), "part").distinct().join(sizes.select("part"), "part", "left_anti")
+        more = verified(sets, sizes.select("part", "node").unionByName(alone.select("part", "node")), queries)
         if not more.isEmpty():
             groups = connected_components(links.unionByName(more))
-    summary = summary.drop("bits")
-    labelled = summary.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = labelled.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(firsts, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # the least id of each node, then of each component; joined only where a component has several nodes
+    by_node = durable(summary.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")))
+    least = durable(groups.join(by_node, "node").groupBy("component").agg(F.min("least").alias("of_all")))
+    of_node = durable(groups.join(least, "component").select("node", "of_all").unionByName(by_node.join(groups, "node", "left_anti").select("node", F.col("least").alias("of_all"))))
+    out = summary.join(of_node, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("of_all")).otherwise(F.col("doc_id")).alias("component_id"))

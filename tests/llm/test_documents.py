@@ -485,10 +485,45 @@ def test_bound_is_safe():
         for share in (0.0, 0.5, 0.8, 0.89, 0.95, 1.0):
             a = np.unique(r.integers(-(2**62), 2**62, n))
             b = np.unique(np.concatenate([a[: int(len(a) * share)], r.integers(-(2**62), 2**62, n - int(n * share))]))
-            may = ngram_join.bound_judge(1, [(1, ngram_join.bit_row(a))])(2, ngram_join.bit_row(b))
+            (_, row), (_, other) = ngram_join.read_row(ngram_join.bit_row(a)), ngram_join.read_row(ngram_join.bit_row(np.arange(5)))
+            may = ngram_join.may_qualify(2, len(a), row.tobytes(), 1, ngram_join.bit_row(b))
             assert may or not ngram_join.linked(a, b)
-            wide = ngram_join.bound_judge(1, [(1, ngram_join.bit_row(a)), (3, ngram_join.bit_row(np.arange(5)))])(2, ngram_join.bit_row(b))
-            assert wide or not ngram_join.linked(a, b)
+            width = min(len(row), len(other))
+            union = (ngram_join.folded(row, width) | ngram_join.folded(other, width)).tobytes()
+            assert ngram_join.may_qualify(2, min(len(a), 5), union, None, ngram_join.bit_row(b)) or not ngram_join.linked(a, b)
+
+
+def test_token_queries_are_whole():
+    """A node asks every part of a later component that holds a text it may link with."""
+    import numpy as np
+
+    r = random.Random(3)
+    nodes = [(i, r.randrange(1, 60)) for i in range(120)]
+    member = {i: (i // 7, r.randrange(0, size)) for i, size in nodes}  # part, place of the token
+    size = dict(nodes)
+    parts = {}
+    for i, (p, place) in member.items():
+        parts.setdefault(p, []).append((size[i], size[i] - place))
+    component = {p: p // 3 for p in parts}
+    n = {c: sum(len(parts[p]) for p in parts if component[p] == c) for c in set(component.values())}
+    says = [(p, f"{component[p]},{n[component[p]]},{min(s for s, _ in x)},{max(s for s, _ in x)},{max(k for _, k in x)}".encode()) for p, x in parts.items()]
+    asks = ngram_join.query_judge(5, says)
+    for i, (p, place) in member.items():
+        got = {q for _, q in asks(i, f"{component[p]},{n[component[p]]},{size[i]},{size[i] - place}".encode())}
+        for j, (q, other) in member.items():
+            later = (n[component[q]], component[q]) > (n[component[p]], component[p])
+            if later and ngram_join.may_link(np.int64(size[i]), np.int64(place), np.array([size[j]]), np.array([other]))[0]:
+                assert q in got
+        assert all(component[q] != component[p] for q in got)
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id link as any other; a component of such rows alone has none."""
+    base, other = words(100, 31), words(100, 32)
+    rows = [(None, " ".join(base)), (5, " ".join(base)), (9, " ".join(near(base, 1, 1))), (None, " ".join(near(base, 2, 2))), (None, " ".join(other)), (None, " ".join(near(other, 1, 3))), (None, None), (7, "")]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, component string, n long")
+    got = sorted(((r.doc_id or 0), r.component_id or 0) for r in ngram_join.near_duplicates(table).collect())
+    assert got == [(0, 0), (0, 0), (0, 0), (0, 5), (0, 5), (5, 5), (7, 7), (9, 5)]
 
 
 def test_components(spark):
@@ -501,13 +536,13 @@ def test_components(spark):
 
 
 def test_components_of_long_chains(spark):
-    """A chain of 1,000 nodes in random order of labels is one component; a guard that is met raises."""
+    """A chain of 2,000 nodes in random order of labels is one component; a guard that is met raises."""
     from spindrift.llm.components import connected_components
 
-    labels = random.Random(6).sample(range(10**6), 1000)
+    labels = random.Random(6).sample(range(10**6), 2000)
     edges = spark.createDataFrame(list(zip(labels, labels[1:], strict=False)), "a long, b long")
     got = connected_components(edges).collect()
-    assert len(got) == 1000 and {r.component for r in got} == {min(labels)}
+    assert len(got) == 2000 and {r.component for r in got} == {min(labels)}
     with pytest.raises(RuntimeError):
         connected_components(edges, 3)
 
