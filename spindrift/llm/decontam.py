@@ -13,20 +13,22 @@ Defined results: null and empty texts match nothing, nor do null or empty items;
 under least_chars match without edits and as whole words only; one row for every document and item that match, with the
 fewest edits and the first place that has them; repeated items match each on their
 own; an empty table on either side gives an empty result; only the columns named are
-read. The benchmark is held by the workers in parts of at most part_chars characters,
+read, so clashing names cannot matter; repeated documents give repeated rows. The
+benchmark is read and held in parts of about part_chars characters, one after the other,
 and the documents are read once for each part.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import map_texts
+from spindrift.llm.common import durable, map_texts
 
 ERROR_RATE, LEAST_CHARS, PART_CHARS = 0.06, 24, 8_000_000
 _gaps = re.compile(r"[\W_]+").sub
@@ -127,23 +129,26 @@ def windows(starts: list[int], errors: int, size: int, end: int) -> list[tuple[i
     return out
 
 
-def benchmark_parts(benchmark: DataFrame, part_chars: int) -> list[list[tuple[int, str]]]:
-    """The items, in parts of bounded size; each is read on its own."""
+def benchmark_parts(benchmark: DataFrame, part_chars: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in parts of bounded size, each read when it is asked for, and whether it is the last one."""
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, 2 * total // part_chars)
-    return [[(r.item_id, r.text) for r in sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toLocalIterator()] for k in range(n)] if n > 1 else [[(r.item_id, r.text) for r in sized.collect()]]
+    for k in range(n):
+        own = sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else sized
+        yield [(r.item_id, r.text) for r in own.toLocalIterator()], k == n - 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
     """One row for every document and test item whose text the document holds with at most error_rate edits a character."""
-    spark, results = docs.sparkSession, []
-    for part in benchmark_parts(benchmark, part_chars):
-        shared = spark.sparkContext.broadcast((part, error_rate, least_chars))
-        results.append(map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), searcher(shared), FOUND))
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
+    docs, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    for part, is_last in benchmark_parts(benchmark, part_chars):
+        shared = docs.sparkSession.sparkContext.broadcast((part, error_rate, least_chars))
+        found = map_texts(docs, searcher(shared), FOUND)
+        if not is_last:  # a part is let go of before the next one is read
+            found = durable(found)
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -164,10 +169,14 @@ def searcher(shared):
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
     """docs without the rows whose text holds a test item, all columns kept; nothing is joined or shuffled."""
-    spark, at = docs.sparkSession, docs.columns.index("text")
+    at = docs.columns.index("text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for part in benchmark_parts(benchmark, part_chars):
-        docs = map_texts(docs, keeper(spark.sparkContext.broadcast((part, error_rate, least_chars)), at), schema)
+    for part, is_last in benchmark_parts(benchmark, part_chars):
+        shared = docs.sparkSession.sparkContext.broadcast((part, error_rate, least_chars))
+        docs = map_texts(docs, keeper(shared, at), schema)
+        if not is_last:
+            docs = durable(docs)
+            shared.destroy()
     return docs
 
 
