@@ -1,17 +1,19 @@
 """Secret scans with a recursive decoding worklist.
 
 The whole text is searched as it is (the base spans). Then layers are unwrapped: URL
-escapes and Unicode escapes of a layer as a whole, base64 runs one by one and joined
-over the lines they are wrapped at, and compressed bytes that base64 held. Every new layer is searched and goes back on the
-worklist; a layer that was seen before at the same place of this text is not taken
-again, so the work ends, and each copy of a layer is reported. Each character of a
-layer knows the part of the source text it comes from, so what a layer shows is
-reported as a span of the source.
+escapes and Unicode escapes of a layer as a whole (an escape whose own mark is escaped, any
+number of times over, in one step), base64 runs one by one, in parts between slashes, and
+joined over the lines they are wrapped at, and compressed bytes that base64 held. Every new
+layer is searched and goes back on the worklist; a layer that was seen before at the same
+place of this text is not taken again, so the work ends, and each copy of a layer is
+reported. Each character of a layer knows the part of the source text it comes from, so
+what a layer shows is reported as a span of the source.
 
 Defined results: a null text counts as empty and has no spans; texts of any length are
 searched whole, and so are compressed layers of any size and with any number of members,
-in parts that end at line ends, up to where a stream is broken; repeated rows give repeated results; an empty table gives an empty table; columns other
-than the id and the text are dropped, so clashing names cannot matter.
+in parts that end at line ends, up to where a stream is broken; repeated rows give repeated
+results; an empty table gives an empty table; columns other than the id and the text are
+dropped, so clashing names cannot matter. Redaction keeps every row and column.
 """
 
 from __future__ import annotations
@@ -39,8 +41,10 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = re.compile(r"passw|secret|token|api_?key")
-URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
+#: %2541, %252541 and so on are one escape of the same character as %41; likewise \\u005cu0041 and \\x5cx41.
+URL_ESCAPES = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+UNICODE_ESCAPES = re.compile(r"(?:\\u(?:005[cC]u)*[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x(?:5[cC]x)*[0-9A-Fa-f]{2}")
+MARKS_OF_MARKS = (re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})"), re.compile(r"\\u(?:005[cC]u)+(?=[0-9A-Fa-f]{4})"), re.compile(r"\\x(?:5[cC]x)+(?=[0-9A-Fa-f]{2})"))
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
 CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 NEXT_LINE = re.compile(r"\r?\n([A-Za-z0-9+/_-]+={0,2})(?![A-Za-z0-9+/_=-])", re.ASCII)
@@ -62,10 +66,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def unescape_url(run: str) -> str:
-    return unquote_to_bytes(run).decode("utf-8", "replace")
+    return unquote_to_bytes(MARKS_OF_MARKS[0].sub("%", run)).decode("utf-8", "replace")
 
 
 def unescape_unicode(run: str) -> str:
+    run = MARKS_OF_MARKS[2].sub(r"\\x", MARKS_OF_MARKS[1].sub(r"\\u", run))
     codes = [int(x or y or z or w, 16) for x, y, z, w in re.findall(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})", run)]
     text = "".join(chr(c) if c < 0x110000 else "�" for c in codes)
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
@@ -221,10 +226,16 @@ def layer_key(text: str, place: Place) -> bytes:
 
 
 def base64_runs(layer: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, run) of base64 runs as they are, and of those that lines of equal length make together, without and with a shorter line at their end."""
+    """(start, end, run) of base64 runs as they are, of their parts between slashes, and of those that lines of equal length make together, without and with a shorter line at their end."""
     wrapped = 0
     for m in BASE64.finditer(layer):
         yield m.start(), m.end(), m[0]
+        if "/" in m[0]:
+            at = m.start()
+            for part in m[0].split("/"):
+                if 16 <= len(part) < len(m[0]):
+                    yield at, at + len(part), part
+                at += len(part) + 1
         if m.start() < wrapped or m[0][-1] == "=":
             continue
         lines, end = [m[0]], m.end()
