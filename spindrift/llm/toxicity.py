@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import codes
 from spindrift.llm.common import durable, map_texts, remainder
 
-PER_CLASS, SAMPLE_CHARS, NEIGHBOURS, BLOCK, FIRST_OPEN, WIDE, BATCH = 2000, 32_000_000, 10, 128, 64, 16, 64
+PER_CLASS, SAMPLE_CHARS, NEIGHBOURS, BLOCK, FIRST_OPEN, WIDE, BATCH = 2000, 32_000_000, 10, 128, 64, 12, 64
 HEADS = (4, 5, 6)
 
 
@@ -151,6 +151,11 @@ class Index:
         if not len(self.ids):
             return
         self.rates = np.array([self.class_counts[c] / n_all for c in (0, 1)]) / (n / n.sum())
+
+    def open(self) -> Index:
+        """The index with its lists; they are made where texts are scored, and once."""
+        if hasattr(self, "lookup") or not len(self.ids):
+            return self
         self.lookup = Lookup(self.vocabulary)
         size, example = len(self.vocabulary), self.examples.astype(np.int64)
         term, counts = np.repeat(np.arange(size), self.lengths), np.frombuffer(zlib.decompress(self.counts), np.int32)
@@ -170,6 +175,7 @@ class Index:
         self.cell_block = block[starts]
         self.cell_most = np.maximum.reduceat(self.posting_weight, starts) if len(starts) else np.empty(0)
         self.posting_at = np.append(starts, len(term))
+        return self
 
     @property
     def parts(self) -> tuple:
@@ -237,7 +243,7 @@ class Index:
         """Score and evidence of every text."""
         if not len(self.ids):
             return [(self.prior, [])] * len(texts)
-        vectors = term_counts(texts, self.lookup)
+        vectors = term_counts(texts, self.open().lookup)
         keys = [(t.tobytes(), c.tobytes()) for t, c in vectors]
         unlike = dict(zip(keys, vectors, strict=True))
         found = {}
@@ -361,7 +367,7 @@ _held: list[tuple[tuple, Index]] = []
 def held_index(parts: tuple) -> Index:
     """The index of these parts, made once a worker."""
     if not _held or _held[0][0] is not parts:
-        _held[:] = [(parts, Index(*parts))]
+        _held[:] = [(parts, Index(*parts).open())]
     return _held[0][1]
 
 

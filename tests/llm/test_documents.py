@@ -178,6 +178,20 @@ def test_secret_layers_over_lines():
     assert (0, 194, "assign") in secrets.all_spans(text)[1]
 
 
+def test_secret_layers_under_many_escapes():
+    """Escapes of escapes take time in proportion to their length; parts of addresses are opened."""
+    import time
+
+    began = time.time()
+    text = "token%" + "25" * 200_000 + "3Dabcdef99 \\" + "u005c" * 100_000 + "u0070assword: hunter22 \\" + "x5c" * 100_000 + "x70asswd: hunter33"
+    found = [(e - s, k) for s, e, k in secrets.all_spans(text)[1] if k == "assign"]
+    assert sorted(found) == sorted([(400_016, "assign"), (500_023, "assign"), (300_019, "assign")]) and time.time() - began < 20
+    once = base64.b64encode(b"token=abcdef123456").decode()
+    text = f"see https://host/a/{once}/b?x=1"
+    assert [text[s:e] for s, e, _ in secrets.all_spans(text)[1]] == [once]
+    assert secrets.unescape_url("%252541%25") == "A%" and secrets.unescape_unicode("\\u005cu0041") == "A" and secrets.unescape_unicode("\\x5cx5cx41") == "A"
+
+
 def test_redact_keeps_rows(docs):
     clean = secrets.redact_texts(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()
@@ -267,6 +281,44 @@ def test_contamination_by_short_items():
     assert matcher.search("who men, 421, whom me, who mx") == []
 
 
+def test_contamination_against_every_pair(spark):
+    """Pieces and Myers find just the items that the plain table of edits finds, with the least edits."""
+
+    def least(item: str, text: str) -> int:
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        return min(row)
+
+    r = random.Random(21)
+    items = [" ".join(words(r.randrange(5, 14), 500 + i)) for i in range(12)]
+
+    def edited(text: str, edits: int) -> str:
+        out = list(text)
+        for _ in range(edits):
+            at = r.randrange(len(out))
+            out[at : at + 1] = r.choice([[], ["q"], [out[at], "z"]])
+        return "".join(out)
+
+    texts = [" ".join(words(8, 700 + i)) + " " + edited(r.choice(items), r.randrange(6)) + " " + " ".join(words(6, 800 + i)) for i in range(60)]
+    expected = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            if (n := least(decontam.plain(item), decontam.plain(text))) <= int(len(decontam.plain(item)) * decontam.ERROR_RATE):
+                expected.add((d, i, n))
+    docs = spark.createDataFrame([(d, t, 5, "x") for d, t in enumerate(texts)], "doc_id long, text string, item_id long, edits string")
+    bench = spark.createDataFrame([(i, t, "y") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    found = {(x.doc_id, x.item_id, x.edits) for x in decontam.contamination(docs, bench).collect()}
+    assert found == expected and 20 < len(found) < 60
+    parts = {(x.doc_id, x.item_id, x.edits) for x in decontam.contamination(docs, bench, part_chars=300).collect()}
+    assert parts == expected
+    left = decontam.without_hits(docs, bench, part_chars=300)
+    assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == set(range(60)) - {d for d, _, _ in expected}
+
+
 def test_myers_is_exact():
     def least(item: str, text: str) -> int:
         row = [0] * (len(text) + 1)
@@ -318,7 +370,7 @@ def test_nearest_is_exact():
     texts += texts[:5]
     made = toxicity.term_counts(texts)
     rows = pd.DataFrame({"doc_id": range(len(texts)), "toxic": [i % 5 == 0 for i in range(len(texts))], "text": [hash(t) for t in texts], "terms": [t for t, _ in made], "counts": [c for _, c in made]})
-    index = toxicity.build(rows, {0: 4000, 1: 1000})
+    index = toxicity.build(rows, {0: 4000, 1: 1000}).open()
     assert index.labels.sum() == 705 and len(index.ids) <= 700 and 0 < len(index.wide) < len(index.vocabulary)
     plain = {}
     for i, (terms, counts) in enumerate(made):
