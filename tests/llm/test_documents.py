@@ -215,6 +215,48 @@ def test_license_templates():
     assert labels("license by the version of all rights") == set()
 
 
+def test_license_notices():
+    index = licenses.LicenceIndex()
+    labels = lambda t: {x["label"] for x in index.scan(t)["found"]}
+    assert labels("Distributed under the Mozilla Public License 2.0.") == {"mpl-2.0"}
+    assert labels("// SPDX-License-Identifier: BSD-3-Clause\nint main") == {"bsd-3"}
+    assert labels("SPDX-License-Identifier: GPL-3.0-or-later") == {"gpl-3"}
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy") == {"mit"}
+    assert labels("Neither the name of X nor Y may be used to endorse or promote products derived from this software without specific prior written permission.") == {"bsd-3"}
+    assert labels("by the cc and by; license mit; public general license; reserved rights all") == set()
+
+
+def test_licenses_against_every_place(spark):
+    """Every place of every key phrase is found, and nothing else; words and idf as counted plainly."""
+    from math import log
+
+    r = random.Random(11)
+    vocabulary = sorted({w for _, _, t in licenses.TEMPLATES for w in licenses.words_of(t)})
+    texts = [None, ""]
+    for k in range(150):
+        out = []
+        for _ in range(r.randrange(1, 6)):
+            words_ = licenses.words_of(r.choice(licenses.TEMPLATES)[2])
+            a = r.randrange(len(words_))
+            out += [r.choice(vocabulary) for _ in range(r.randrange(8))] + words_[max(0, a - 20) : a + r.randrange(1, 40)]
+        texts.append(r.choice([" ", ", ", "\n- "]).join(out).title() if k % 2 else " ".join(out))
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words long, base string")
+    idf = licenses.corpus_idf(docs)
+    assert all(abs(idf[w] - log(1 + len(texts) / (1 + sum(w in licenses.words_of(t or "") for t in texts)))) < 1e-12 for w in vocabulary)
+    got = {x.doc_id: x for x in licenses.scan_licenses(docs).collect()}
+    for i, text in enumerate(texts):
+        words_ = licenses.words_of(text or "")
+        ends = {}
+        for label, keys in [(label, keys) for label, keys, _ in licenses.TEMPLATES] + [(label, (p,)) for p, label in licenses.BASE.items()]:
+            for key in keys:
+                k = key.split()
+                for at in range(len(words_)):
+                    if words_[at : at + len(k)] == k:
+                        ends[label, at] = max(ends.get((label, at), 0), at + len(k))
+        assert {(f.label, f.start): f.end for f in got[i].found} == ends and all(0.5 <= f.score <= 1 for f in got[i].found)
+        assert (got[i].n_words, len(got[i].base)) == brute.base_licenses(text)[:2]
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs.unionByName(docs), 8).collect()
     texts = dict(pairs(docs))
