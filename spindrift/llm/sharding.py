@@ -6,13 +6,15 @@ counts are summed, and each splitter's interval shrinks to the pair of probes ar
 its target, until the bytes below it meet the tolerance or the interval is one key.
 Then every row is sent once, to its bucket; a shard is a run of buckets.
 
-The key is the upper 40 bits of the text's hash and 24 bits of the row's hash, so equal
-texts lie together and only a splitter that must cut a group of them does so.
+The key is the upper 40 bits of the text's hash and 24 bits of a hash of the row, so equal
+texts lie together and only a splitter that must cut a group of them does so. The row's
+hash takes its place in the table as well as its id, so repeated rows have keys of their own.
 
 Defined results: a null text has size 1 and the checksum of the empty text; texts of
-any length count whole; equal texts and ties are ordered by id; repeated rows (one id and text) share a key, a run of
-which goes to one bucket (so shards are uneven only if one such run is larger than the
-tolerance); an empty table gives an empty table; only the columns named are read.
+any length count whole; rows of one key are ordered by id; repeated rows are rows of their
+own; an empty table gives an empty table; only the columns named are read, so clashing
+names cannot matter. Buckets are alike in bytes and ROW_BYTES for each row, so what one
+task sorts is bounded however small its rows are.
 What the driver holds is a few numbers for each probe, bounded by buckets * probes.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import durable
 
-GROUP_BITS = 24
+GROUP_BITS, ROW_BYTES = 24, 64
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -87,12 +89,12 @@ def shard_rows(df: DataFrame, shards: int, key: Column, size: Column, order: lis
     than bucket_bytes each; a bucket is what one task sorts. df must be cheap to keep: it is written once.
     """
     keyed = durable(df.withColumns({"key": key, "size": size.cast("long")}))
-    total = keyed.agg(F.sum("size")).first()[0] or 0
-    each = max(least_buckets, ceil(total / shards / bucket_bytes))
-    targets = np.array([total * (s * each + b) // (shards * each) for s in range(shards) for b in range(each)][1:], np.int64)
-    # the cuts between shards are held to the tolerance; a shard's own buckets only have to be alike
-    cuts = splitters(keyed, targets[each - 1 :: each], max(1, int(total / shards * tolerance))) if total else np.full(shards - 1, LOW, np.int64)
-    inner = splitters(keyed, targets, max(1, total // (shards * each) // 4)) if total and each > 1 else cuts
+    total, weight = (int(x or 0) for x in keyed.agg(F.sum("size"), F.sum(F.col("size") + ROW_BYTES)).first())
+    n = shards * max(least_buckets, ceil(weight / shards / bucket_bytes))
+    # the cuts between shards are held to the tolerance; buckets only have to be alike
+    cuts = splitters(keyed, np.array([total * s // shards for s in range(1, shards)], np.int64), max(1, int(total / shards * tolerance))) if total else np.full(shards - 1, LOW, np.int64)
+    weighed = keyed.select("key", (F.col("size") + ROW_BYTES).alias("size"))
+    inner = splitters(weighed, np.array([weight * b // n for b in range(1, n)], np.int64), max(1, weight // n // 4)) if total else cuts
     bounds = np.unique(np.concatenate([cuts, inner]))
     _, rows = counts_below(keyed, bounds)
     shard_of = np.searchsorted(np.sort(cuts), np.concatenate([[LOW], bounds]), side="right")
@@ -115,5 +117,5 @@ def shard_rows(df: DataFrame, shards: int, key: Column, size: Column, order: lis
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document; write the texts by joining them on doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), F.octet_length(text).alias("octets"), F.xxhash64(text).alias("text_hash"))
-    return shard_rows(rows, shards, group_key(F.col("text_hash"), F.col("doc_id")), F.col("octets") + 1, ["doc_id"]).drop("octets", "text_hash")
+    rows = docs.select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), F.octet_length(text).alias("octets"), F.xxhash64(text).alias("text_hash"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("row_hash"))
+    return shard_rows(rows, shards, group_key(F.col("text_hash"), F.col("row_hash")), F.col("octets") + 1, ["doc_id"]).drop("octets", "text_hash", "row_hash")
