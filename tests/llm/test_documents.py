@@ -498,6 +498,9 @@ def test_top_k(spark):
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(table, lambda ids: ids % 50 == 0).collect())
     assert got == sorted(brute.top_k(rows))
     assert topk.top_k(table.where("false"), lambda ids: ids % 50 == 0).count() == 0
+    named = table.withColumns({"query_id": F.lit("x"), "score": F.lit(1), "block": F.lit(2)}).repartition(5)
+    waves = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(named, lambda ids: ids % 50 == 0, wave_bytes=1500).collect())
+    assert waves == got
 
 
 def test_chat(spark):
