@@ -48,7 +48,7 @@ WORDS, LEAST, MOST = 5, 80, 100  # LEAST / MOST is the similarity
 #: Frequent shingles: counted where LOCAL copies lie in one part of COUNTED shingles, kept from FREQUENT on, MOST_FREQUENT at most.
 LOCAL, COUNTED, FREQUENT, MOST_FREQUENT = 3, 2_000_000, 32, 500_000
 #: Nodes of a shingle that give all pairs; members of a part of a group; postings of a bucket; nodes of a list before it is split; queries of a part in one task.
-SMALL, PART, BUCKET, SPLIT, QUERIES = 6, 64, 1_000_000, 200_000, 2000
+SMALL, PART, BUCKET, SPLIT, QUERIES = 6, 64, 1_000_000, 200_000, 500
 #: Sets are hashes: nothing in them repeats. Small row groups keep few of them in a writer's memory.
 TABLE_OPTIONS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(32 << 20)}
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -289,9 +289,11 @@ class Sets:
         self.rows = rows.where("place is not null")
         self.places = durable(self.rows.groupBy("node").agg(F.min("place").alias("place")))
 
-    def beside(self, asked: DataFrame, column: str) -> DataFrame:
-        """asked (with node), and that column of its set; what is not asked for is not dealt out where few are."""
-        return asked.join(self.places, "node").join(self.rows.select("place", column), "place").drop("place")
+    def beside(self, asked: DataFrame, *columns: str) -> DataFrame:
+        """asked (with node), and those columns of its set; sets that are not asked for are left out before any is shuffled."""
+        asked = durable(asked.join(self.places, "node"))
+        needed = durable(asked.select("place").distinct())
+        return asked.join(self.rows.select("place", *columns).join(needed, "place", "left_semi"), "place").drop("place")
 
 
 def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -344,8 +346,12 @@ def dealt(targets: DataFrame, queries: DataFrame, judge, schema: str) -> DataFra
     return rows.repartition(n, "part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(run, schema)
 
 
-def unions_of(members: DataFrame, sets: Sets) -> DataFrame:
-    """The token-group matrix, stored: for each part of members (part, node) the least size of a member, the union of the members' bit rows, and the member if it is the only one."""
+def unions_of(members: DataFrame, sets: Sets, single: bool) -> DataFrame:
+    """The token-group matrix, stored: for each part of members (part, node) the least size of a member, the union of the members' bit rows, and the member if it is the only one.
+
+    single: whether every part is known to have one member.
+    """
+    rows = sets.beside(members, "n", "bits")
 
     def union(table: pa.Table) -> pa.Table:
         read = [read_row(x.as_py()) for x in table.column("bits")]
@@ -353,11 +359,14 @@ def unions_of(members: DataFrame, sets: Sets) -> DataFrame:
         for _, r in read[1:]:
             width = min(len(row), len(r))
             row = folded(row, width) | folded(r, width)
-        own = set(table.column("node").to_pylist())
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "least": pa.array([min(n for n, _ in read)], pa.int64()), "bits": pa.array([row.tobytes()], pa.binary()), "alone": pa.array([own.pop() if len(own) == 1 else None], pa.int64())})
+        return pa.table({"part": table.column("part").slice(0, 1), "least": pa.array([min(n for n, _ in read)], pa.int64()), "bits": pa.array([row.tobytes()], pa.binary()), "alone": pa.array([None], pa.int64())})
 
-    rows = sets.beside(members, "bits").select("part", "node", "bits")
-    return durable(rows.groupBy("part").applyInArrow(union, "part long, least long, bits binary, alone long"))
+    of_one = lambda df: df.select("part", F.col("n").alias("least"), F.expr("substring(bits, 5)").alias("bits"), F.col("node").alias("alone"))
+    if single:
+        return durable(of_one(rows))
+    counted = durable(rows.join(members.groupBy("part").agg(F.count("*").alias("members")), "part"))
+    several = counted.where("members > 1").select("part", "bits").groupBy("part").applyInArrow(union, "part long, least long, bits binary, alone long")
+    return durable(of_one(counted.where("members = 1")).unionByName(several))
 
 
 def qualifying(queries: DataFrame, unions: DataFrame, sets: Sets) -> DataFrame:
@@ -399,10 +408,10 @@ def link_judge(part: int, members: list[tuple[int, bytes]]):
     return links
 
 
-def verified(sets: Sets, members: DataFrame, queries: DataFrame) -> DataFrame:
+def verified(sets: Sets, members: DataFrame, queries: DataFrame, single: bool = False) -> DataFrame:
     """Links (a, b) of the queries (part, node) with members (part, node): the matrix first, then only parts that qualify are opened."""
     asked = members.join(queries.select("part").distinct(), "part", "left_semi")
-    open_ = durable(qualifying(queries, unions_of(asked, sets), sets))
+    open_ = durable(qualifying(queries, unions_of(asked, sets, single), sets))
     chosen = durable(asked.join(open_.select("part").distinct(), "part", "left_semi"))
     return durable(beside(chosen, open_, sets, link_judge, "a long, b long"))
 
@@ -455,7 +464,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made = durable(sets.rows.select("node", "tokens").mapInArrow(post(shared, buckets), POSTINGS).groupBy("bucket").applyInArrow(candidates(shared), CANDIDATES))
     pairs = durable(made.where("kind = 0").select(F.col("a").alias("part"), F.col("b").alias("node")).distinct())
     wide = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "place")
-    links = verified(sets, pairs.select("part", F.col("part").alias("node")).distinct(), pairs)
+    links = verified(sets, pairs.select("part", F.col("part").alias("node")).distinct(), pairs, single=True)
     groups = connected_components(links)
 
     n = durable(groups.groupBy("component").agg(F.count("*").alias("n")))
