@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -218,30 +220,57 @@ OPENERS, CLOSERS, QUOTES = "([{（［｛【「『〈《", ")]}）］｝】」』
 DOTS, ENDERS = ".．", "!?;。！？；｡"
 
 
+class Dot(NamedTuple):
+    """A dot with what stands around it: the character before, all that follows, what follows after white space, and the word and letters it ends."""
+
+    before: str
+    rest: str
+    after: str
+    word: str
+    initials: bool
+    within: bool
+
+
+def latin(c: str) -> bool:
+    return c.isascii() and c.isalpha()
+
+
+def opens_sentence(c: str) -> bool:
+    """A Latin capital, or a character of a script without capitals."""
+    return bool(re.match(r"[A-Z㐀-鿿぀-ヿㇰ-ㇿｦ-ﾝ々]", c))
+
+
+def closes_all(rest: str) -> bool:
+    """Whether nothing but closing marks follows, up to a closing bracket or the end."""
+    return bool(re.match(f"[{re.escape(QUOTES + DOTS + ENDERS)}…]*([{re.escape(CLOSERS)}]|$)", rest))
+
+
+#: What decides whether a dot ends a sentence: (whether the rule holds, its verdict); the first rule that holds decides.
+DOT_RULES: tuple[tuple[Callable[[Dot], bool], bool | None], ...] = (
+    (lambda d: not d.before, False),
+    (lambda d: not d.rest, True),
+    (lambda d: d.within and not closes_all(d.rest), False),
+    (lambda d: d.before.isdigit() and d.rest[0].isdigit(), False),
+    (lambda d: d.rest[0] in DOTS, False),
+    (lambda d: latin(d.before) and latin(d.rest[0]), False),
+    (lambda d: d.rest[0] in CLOSERS + QUOTES, True),
+    (lambda d: not d.rest[0].isspace(), None),
+    (lambda d: not d.after, True),
+    (lambda d: d.word in NEVER_LAST, False),
+    (lambda d: d.word in SOMETIMES_LAST and latin(d.after) and d.after.islower(), False),
+    (lambda d: d.initials and d.after.isascii() and d.after.isalnum(), False),
+    (lambda d: d.after in OPENERS + QUOTES, True),
+    (lambda d: True, None),
+)
+
+
 def dot_ends(text: str, i: int, depth: int) -> bool:
-    """Whether the dot at i ends a sentence, by what stands before and after it."""
-    if not i:
-        return False
-    before, rest = text[i - 1], text[i + 1 :]
-    if not rest:
-        return True
-    if depth and not re.match(f"[{re.escape(QUOTES + DOTS + ENDERS)}…]*([{re.escape(CLOSERS)}]|$)", rest):
-        return False
-    if (before.isdigit() and rest[0].isdigit()) or rest[0] in DOTS or (re.match("[A-Za-z]", before) and re.match("[A-Za-z]", rest[0])):
-        return False
-    if rest[0] in CLOSERS + QUOTES:
-        return True
-    if not rest[0].isspace():
-        return bool(re.match(r"[A-Z㐀-鿿぀-ヿㇰ-ㇿｦ-ﾝ々]", rest[0]))
-    after, head = rest.lstrip()[:1], text[max(0, i - 32) : i]
-    if not after:
-        return True
-    word = (re.search(r"([A-Za-z][A-Za-z0-9'-]{0,20})$", head) or ["", ""])[1].casefold()
-    if word in NEVER_LAST or (word in SOMETIMES_LAST and re.match("[a-z]", after)):
-        return False
-    if re.search(r"(?:\b[A-Za-z]\.)+[A-Za-z]$", head) and re.match("[A-Za-z0-9]", after):
-        return False
-    return after in OPENERS + QUOTES or bool(re.match(r"[A-Z㐀-鿿぀-ヿㇰ-ㇿｦ-ﾝ々]", after))
+    """Whether the dot at i ends a sentence; where no rule decides, whether what follows can begin one."""
+    rest, head = text[i + 1 :], text[max(0, i - 32) : i]
+    word = re.search(r"[A-Za-z][A-Za-z0-9'-]{0,20}$", head)
+    dot = Dot(text[i - 1 : i] if i else "", rest, rest.lstrip()[:1], word[0].casefold() if word else "", bool(re.search(r"(?:\b[A-Za-z]\.)+[A-Za-z]$", head)), depth > 0)
+    verdict = next(v for holds, v in DOT_RULES if holds(dot))
+    return opens_sentence(dot.after if rest[0].isspace() else rest[0]) if verdict is None else verdict
 
 
 def split_sentences(text: str) -> list[str]:
@@ -254,7 +283,7 @@ def split_sentences(text: str) -> list[str]:
         if c in DOTS:
             ends = dot_ends(text, i, depth)
         else:
-            ends = c in ENDERS and (not depth or bool(re.match(f"[{re.escape(QUOTES + DOTS + ENDERS)}…]*([{re.escape(CLOSERS)}]|$)", text[i + 1 :])))
+            ends = c in ENDERS and (not depth or closes_all(text[i + 1 :]))
         if ends:
             i += 1
             while i < len(text) and text[i] in DOTS + ENDERS + "…" + CLOSERS + QUOTES:
