@@ -293,7 +293,8 @@ class Sets:
         """asked (with node), and those columns of its set; sets that are not asked for are left out before any is shuffled."""
         asked = durable(asked.join(self.places, "node"))
         needed = durable(asked.select("place").distinct())
-        return asked.join(self.rows.select("place", *columns).join(needed, "place", "left_semi"), "place").drop("place")
+        # one plan at every size: asked is never the side that is copied to all tasks
+        return asked.hint("merge").join(self.rows.select("place", *columns).join(needed, "place", "left_semi"), "place").drop("place")
 
 
 def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
