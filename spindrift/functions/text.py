@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 WORD = r"([A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*)"
 CJK_RUN = r"([㐀-鿿぀-ヿㇰ-ㇿ々ーｦ-ﾝ]{2,})"
+#: What markdown_line_text takes out of a line, in this order, and what it leaves.
+LINE_RULES = ((r"!\[([^\]]*)\]\([^)]*\)", 1), (r"\[([^\]]*)\]\([^)]*\)", 1), (r"<https?://[^>\s]+>|(?<![\w/])https?://[^\s)>\]]+", 0), (r"^\s{0,3}(#{1,6}\s+|>\s?|[-*+]\s+|\d+[.)]\s+)", 0), (r"\*\*|__|~~|`", 0))
+LINE_MARKS = tuple((re.compile(p, re.ASCII), r"\1" if group else "") for p, group in LINE_RULES)
 CITATION = r"(?i)\[\s*citation\s*:\s*(\d+)\s*\]"
 
 
@@ -82,6 +85,31 @@ def table_row(c: Column | str) -> Column:
     return F.when((F.size(cells) == 0) | rule, "").otherwise(F.array_join(cells, " | "))
 
 
+def plain_row(row: str) -> str:
+    """table_row of a Python text."""
+    cells = [" ".join(c.split()) for c in row.strip("|").split("|")]
+    cells = [c for c in cells if c]
+    return "" if all(re.fullmatch(r":?-{2,}:?", c) for c in cells) else " | ".join(cells)
+
+
+def plain_line(line: str) -> str:
+    """markdown_line_text of a Python text."""
+    for pattern, by in LINE_MARKS:
+        line = pattern.sub(by, line)
+    return " ".join(line.split())
+
+
+def plain_tokens(text: str) -> set[str]:
+    """tokenize of a Python text, without the order."""
+    text = " ".join(text.lower().split())
+    return set(re.findall(WORD, text)) | set(re.findall(CJK_RUN, text))
+
+
+def folded(text: str) -> str:
+    """fold of a Python text."""
+    return text.lower().replace("ß", "ss").replace("ς", "σ")
+
+
 def effective_query(query, title, url) -> Column:
     """The query, else the title, else the URL."""
     found = [F.nullif(clean_whitespace(x), F.lit("")) for x in (query, title, url)]
@@ -180,18 +208,21 @@ def is_table_line(c: Column | str) -> Column:
     return F.trim(col(c)).rlike(r"^\|.*\|$")
 
 
+def without_marks(c: Column | str, rules: tuple) -> Column:
+    text = F.coalesce(col(c), F.lit(""))
+    for pattern, group in rules:
+        text = F.regexp_replace(text, pattern, "$1" if group else "")
+    return text
+
+
 def strip_links(c: Column | str) -> Column:
     """Markdown links as their text, images as their alternative text, bare addresses gone (outside code)."""
-    text = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"!\[([^\]]*)\]\([^)]*\)", "$1")
-    text = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    text = F.regexp_replace(text, r"<https?://[^>\s]+>|(?<![\w/])https?://[^\s)>\]]+", "")
-    return text
+    return without_marks(c, LINE_RULES[:3])
 
 
 def markdown_line_text(c: Column | str) -> Column:
     """A line without markdown's marks: prefixes, emphasis, links, inline code ticks."""
-    line = F.regexp_replace(strip_links(c), r"^\s{0,3}(#{1,6}\s+|>\s?|[-*+]\s+|\d+[.)]\s+)", "")
-    return clean_whitespace(F.regexp_replace(line, r"\*\*|__|~~|`", ""))
+    return clean_whitespace(without_marks(c, LINE_RULES))
 
 
 def sentence_end(c: Column | str) -> Column:

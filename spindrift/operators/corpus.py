@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators.merge import first_of
+from spindrift.operators.numbering import numbered
 
 
 def merge_corpus(target: DataFrame, found: DataFrame, next_id: int) -> tuple[DataFrame, DataFrame]:
@@ -16,10 +17,10 @@ def merge_corpus(target: DataFrame, found: DataFrame, next_id: int) -> tuple[Dat
     """
     known = target.groupBy("canonical_url").agg(F.min("source_id").alias("corpus_id"))
     fresh = first_of(found.join(known, "canonical_url", "left_anti"), ["canonical_url"], ["source_id"])
-    numbered = fresh.withColumn("new_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source_id")) - 1 + next_id)
-    ids = known.unionByName(numbered.select("canonical_url", F.col("new_id").alias("corpus_id")))
+    added = numbered(fresh, [], [F.col("source_id")], "nth").withColumn("new_id", F.col("nth") - 1 + next_id).drop("nth")
+    ids = known.unionByName(added.select("canonical_url", F.col("new_id").alias("corpus_id")))
     remap = found.select("source_id", "canonical_url").join(ids, "canonical_url").select("source_id", "corpus_id")
-    return numbered.withColumn("source_id", F.col("new_id")).drop("new_id"), remap
+    return added.withColumn("source_id", F.col("new_id")).drop("new_id"), remap
 
 
 def ids_by_address(sources: DataFrame) -> DataFrame:
@@ -33,14 +34,13 @@ def pick_by_ids(sources: DataFrame, asked: DataFrame, ids: str = "ids") -> DataF
 
 def pair_in_order(left: DataFrame, right: DataFrame, key: str, left_order: list[str], right_order: list[str]) -> DataFrame:
     """The k-th row of a key on the left beside the k-th on the right; rows without a partner stay on the left."""
-    numbered = lambda df, order: df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return numbered(left, left_order).join(numbered(right, right_order), [key, "nth"], "left").drop("nth")
+    nth = lambda df, order: df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return nth(left, left_order).join(nth(right, right_order), [key, "nth"], "left").drop("nth")
 
 
 def canonical_first(sources: DataFrame) -> DataFrame:
     """The best source of each address by (score, round, id) descending."""
-    w = Window.partitionBy("canonical_url").orderBy(F.desc("score"), F.desc("round_index"), F.desc("source_id"))
-    return sources.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return first_of(sources.withColumn("_rank", F.struct(-F.col("score"), -F.col("round_index"), -F.col("source_id"))), ["canonical_url"], ["_rank"]).drop("_rank")
 
 
 def rerank_order(sources: DataFrame) -> DataFrame:

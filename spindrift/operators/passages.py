@@ -1,33 +1,56 @@
-"""Passages of markdown pages: made line by line, scored with their headings, kept within a budget."""
+"""Passages of markdown pages: made in one pass over a page, scored with their headings, kept within a budget."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import scores as S
 from spindrift.functions import text as T
-from spindrift.operators.merge import first_of
-from spindrift.operators.ranking import rank_batches
+from spindrift.operators.cuts import durable
+from spindrift.operators.ranking import batch_scores
+
+FENCE_LINE = re.compile(r"\s*(```|~~~)", re.ASCII)
+HEADING_LINE = re.compile(r"\s{0,3}#{1,6}\s+\S", re.ASCII)
+
+
+def page_passages(markdown: str, least_tokens: int) -> Iterator[tuple[str, str]]:
+    """(heading, text) of each passage of a page, repeats dropped; the heading and the code fence are the state of the pass."""
+    heading, code, seen = "", False, set()
+    for raw in re.split("\r?\n", markdown):
+        if FENCE_LINE.match(raw):
+            code = not code
+        elif not code and HEADING_LINE.match(raw):
+            heading = T.plain_line(raw)
+        elif not code and raw.strip(" "):
+            row = raw.strip(" ")
+            is_row = len(row) > 1 and row[0] == row[-1] == "|"
+            for text in [T.plain_row(row)] if is_row else T.split_sentences(T.plain_line(raw)):
+                key = T.folded(" ".join(text.split()))
+                if text and key not in seen and (is_row or len(T.plain_tokens(text)) > least_tokens):
+                    seen.add(key)
+                    yield heading, text
 
 
 def passages(pages: DataFrame, key: str, markdown: str = "markdown", least_tokens: int = 4) -> DataFrame:
     """key, order, heading and text: table rows and sentences of more than least_tokens tokens outside code, repeats on a page dropped.
 
-    The heading carries forward and code fences toggle by windows over a page's lines.
+    Nothing is shuffled: a page is one pass in an Arrow batch.
     """
-    lines = pages.select(key, F.posexplode(F.split(F.coalesce(markdown, F.lit("")), "\r?\n")).alias("line", "raw"))
-    w = Window.partitionBy(key).orderBy("line")
-    fence = T.is_fence("raw")
-    marked = lines.withColumn("fences", F.sum(fence.cast("int")).over(w)).where(~fence & (F.col("fences") % 2 == 0))
-    heading = F.when(T.is_heading("raw"), T.markdown_line_text("raw"))
-    headed = marked.withColumn("heading", F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit(""))).where(~T.is_heading("raw") & (F.trim("raw") != ""))
-    row = T.is_table_line("raw")
-    parts = headed.withColumn("parts", F.when(row, F.array(T.table_row("raw"))).otherwise(T.sentences(T.markdown_line_text("raw"))))
-    said = parts.select(key, "line", "heading", row.alias("is_table"), F.posexplode("parts").alias("part", "text")).where("text <> ''")
-    kept = said.where(F.col("is_table") | (F.size(T.tokenize("text")) > least_tokens)).withColumn("same", T.dedupe_key("text"))
-    one = first_of(kept, [key, "same"], ["line", "part"])
-    return one.withColumn("order", F.row_number().over(Window.partitionBy(key).orderBy("line", "part")) - 1).select(key, "order", "heading", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [list(page_passages(t, least_tokens)) if t else [] for t in batch.column(1).to_pylist()]
+            at = [i for i, found in enumerate(made) for _ in found]
+            order = [n for found in made for n in range(len(found))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(order, pa.int32()), pa.array([h for found in made for h, _ in found], pa.string()), pa.array([t for found in made for _, t in found], pa.string())], names=[key, "order", "heading", "text"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, markdown).mapInArrow(run, f"`{key}` {kind}, order int, heading string, text string")
 
 
 def rank_passages(made: DataFrame, queries: DataFrame, key: str, alpha: float = 0.35, least_score: float = 0.2, max_chars: int | None = 2000) -> DataFrame:
@@ -35,10 +58,11 @@ def rank_passages(made: DataFrame, queries: DataFrame, key: str, alpha: float =
 
     A page's passages and distinct headings are one batch; a heading's score lifts the passages under it.
     """
+    made = durable(made)
     heads = made.where("heading <> ''").groupBy(key, F.col("heading").alias("text")).agg(F.min("order").alias("at"))
     batch = made.select(key, F.struct(F.lit(0).alias("kind"), F.col("order").alias("at")).alias("item"), "text").unionByName(heads.select(key, F.struct(F.lit(1).alias("kind"), "at").alias("item"), "text"))
-    scored = rank_batches(batch, queries, [key], "item")
-    titles = scored.where("item.kind = 1").select(key, F.col("text").alias("heading"), F.col("score").alias("title_score"))
+    scored = durable(batch_scores(batch, queries, [key], "item"))
+    titles = scored.where("item.kind = 1").select(key, F.col("item.at").alias("at"), F.col("score").alias("title_score")).join(heads.withColumnRenamed("text", "heading"), [key, "at"]).select(key, "heading", "title_score")
     own = scored.where("item.kind = 0").select(key, F.col("item.at").alias("order"), "score")
     joined = made.join(own, [key, "order"]).join(titles, [key, "heading"], "left")
     boosted = joined.withColumn("score", F.round(S.title_boost(F.col("score"), F.coalesce("title_score", F.lit(0.0)), alpha), 9)).where(F.col("score") >= least_score)
