@@ -56,6 +56,12 @@ def earliest(dates: Column) -> Column:
     return F.coalesce(F.array_min(valid)["text"], F.lit(""))
 
 
+def earliest_of(c: Column | str) -> Column:
+    """earliest as an aggregate over rows: nothing is gathered."""
+    key = F.struct(instant(c).alias("at"), F.when(is_date_only(c), -1).otherwise(-2).alias("precision"), normalized(c).alias("text"))
+    return F.coalesce(F.min(F.when(instant(c).isNotNull(), key))["text"], F.lit(""))
+
+
 def relative_range(start: Column | str, end: Column | str, now: Column) -> Column:
     """Smallest of day, week, month, year before now that holds both bounds (no end: now); '' if none does or there is no start."""
     a, b = instant(start), F.coalesce(instant(end), now)

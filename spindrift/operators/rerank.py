@@ -66,3 +66,15 @@ def finalize(candidates: DataFrame, limit: int, by_score: bool = True) -> DataFr
 
 def rank_stats(candidates: DataFrame) -> DataFrame:
     return candidates.agg(F.sum("page_score").alias("page_sum"), F.sum("context_score").alias("context_sum"), F.count("*").alias("n"))
+
+
+def route_stats(events: DataFrame, by: list[str], order: list[Column], success: float = 0.60, latency: float = 700.0, rate: float = S.LEARNING_RATE) -> DataFrame:
+    """Moving averages of ok and ms over the events of a route in their order, by their closed form: the k-th last value weighs rate * (1 - rate)^k.
+
+    Values beyond the last few hundred weigh nothing that a double holds, so the sums are partial aggregates.
+    """
+    back = F.row_number().over(Window.partitionBy(*by).orderBy(*[c.desc() for c in order])) - 1
+    weighed = events.withColumn("_w", F.pow(F.lit(1 - rate), back) * rate)
+    out = weighed.groupBy(*by).agg(F.count("*").alias("samples"), F.sum(F.col("ok") * F.col("_w")).alias("ok"), F.sum(F.col("ms") * F.col("_w")).alias("ms"))
+    left = F.pow(F.lit(1 - rate), F.col("samples"))
+    return out.select(*by, "samples", (left * success + F.col("ok")).alias("success"), (left * latency + F.col("ms")).alias("latency"))

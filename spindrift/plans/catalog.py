@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import dates, documents, html, markdown, scores, text, urls
 from spindrift.functions import json as js
 from spindrift.operators import budget, corpus, merge, passages, ranking, rerank
+from spindrift.plans.registry import ORACLES, QUERIES, load, query
 from spindrift.sources import stores
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["ORACLES", "QUERIES"]
 
 #: SQL of the token rule for text that is NFKC already.
 TOKENS = r"list_distinct(list_concat(regexp_extract_all(lower({0}), '[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*'), regexp_extract_all(lower({0}), '[㐀-鿿぀-ヿㇰ-ㇿ々ーｦ-ﾝ]{{2,}}')))"
@@ -70,7 +53,7 @@ def search_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH q AS (SELECT 'src' || item_id AS source, {TOKENS.format("text")} AS terms FROM benchmark WHERE item_id < 20),
+WITH q AS (SELECT 'src' || item_id AS source, {TOKENS.format("text")} AS terms FROM benchmark),
 d AS (SELECT source, doc_id, {TOKENS.format("text")} AS tokens FROM documents),
 x AS (SELECT d.source, doc_id, tokens, coalesce(terms, []) AS terms, list_intersect(coalesce(terms, []), tokens) AS shared FROM d LEFT JOIN q USING (source)),
 t AS (SELECT source, count(*) AS n, avg(len(tokens)) AS mean_length FROM x GROUP BY source),
@@ -83,8 +66,8 @@ SELECT source, doc_id, round(bm25, 6) AS bm25, round(tfidf, 6) AS tfidf FROM s
 """)
 def rank_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each source as one batch against the source's query."""
-    queries = load(spark, sf_dir, "benchmark").where("item_id < 20").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("source"), F.col("text").alias("query"))
-    ranked = ranking.rank_batches(load(spark, sf_dir, "documents").select("source", "doc_id", "text"), queries, ["source"], "doc_id")
+    queries = load(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("source"), F.col("text").alias("query"))
+    ranked = ranking.batch_scores(load(spark, sf_dir, "documents").select("source", "doc_id", "text"), queries, ["source"], "doc_id")
     return rounded(ranked.select("source", "doc_id", "bm25", "tfidf"), "bm25", "tfidf")
 
 
@@ -191,12 +174,31 @@ def union_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.first_of(merge.union_routes(routes), ["canonical_url"], ["route_order", "position"]).select("canonical_url", "url", "job_index", "position")
 
 
-@query()
+@query(f"""
+WITH {HITS}, k AS (SELECT position % 40 AS query_id, position, url, canonical_url, title, snippet, row_number() OVER (PARTITION BY position % 40 ORDER BY position) AS place FROM h),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, canonical_url ORDER BY place) AS nth FROM k) WHERE nth = 1),
+q AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS terms FROM benchmark),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS idx, {TOKENS.format("title || ' ' || title || ' ' || snippet")} AS tokens FROM m),
+x AS (SELECT d.*, coalesce(terms, []) AS terms, list_intersect(coalesce(terms, []), tokens) AS shared FROM d LEFT JOIN q USING (query_id)),
+t AS (SELECT query_id, count(*) AS n, avg(len(tokens)) AS mean_length FROM x GROUP BY query_id),
+f AS (SELECT query_id, term, count(*) AS df FROM (SELECT query_id, unnest(shared) AS term FROM x) GROUP BY ALL),
+b AS (SELECT query_id, idx, sum(greatest(0.25, ln((n + 1.0) / (df + 0.5))) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(tokens) / mean_length))) AS bm25, sum(power(ln((1.0 + n) / (1 + df)) + 1, 2)) AS own
+    FROM (SELECT query_id, idx, tokens, unnest(shared) AS term FROM x) JOIN t USING (query_id) JOIN f USING (query_id, term) GROUP BY ALL),
+w AS (SELECT query_id, sum(power(ln((1.0 + n) / (1 + coalesce(df, 0))) + 1, 2)) AS whole FROM (SELECT query_id, unnest(terms) AS term FROM q) a JOIN t USING (query_id) LEFT JOIN f USING (query_id, term) GROUP BY query_id),
+s AS (SELECT x.query_id, x.idx, x.url, x.place, t.n, round(coalesce(bm25, 0.0), 9) AS bm25, CASE WHEN own > 0 THEN least(1.0, sqrt(own / whole)) ELSE 0.0 END AS tfidf FROM x JOIN t USING (query_id) LEFT JOIN b ON b.query_id = x.query_id AND b.idx = x.idx LEFT JOIN w ON w.query_id = x.query_id),
+p AS (SELECT *, CASE WHEN n = 1 THEN CASE WHEN bm25 > 0 THEN 0.75 ELSE 0 END WHEN max(bm25) OVER g <= 0 THEN 0 WHEN max(bm25) OVER g - min(bm25) OVER g < 1e-9 THEN 1 - (row_number() OVER (PARTITION BY query_id ORDER BY idx) - 1) / (n - 1)
+    ELSE 1 - (rank() OVER (PARTITION BY query_id ORDER BY bm25 DESC) - 1 + (count(*) OVER (PARTITION BY query_id, bm25) - 1) / 2) / (n - 1) END AS percentile, max(tfidf) OVER g AS best FROM s WINDOW g AS (PARTITION BY query_id)),
+y AS (SELECT *, 0.5 * tfidf + 0.5 * percentile * CASE WHEN best > 0 THEN best ELSE 1 END AS lexical, 1.0 / place AS reciprocal FROM p),
+o AS (SELECT *, max(lexical) OVER g AS most_lexical, max(reciprocal) OVER g AS most_reciprocal FROM y WINDOW g AS (PARTITION BY query_id)),
+r AS (SELECT query_id, idx, url, round(0.5 * lexical / CASE WHEN most_lexical > 0 THEN most_lexical ELSE 1 END + 0.5 * reciprocal / most_reciprocal, 9) AS score FROM o),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS rank FROM r)
+SELECT query_id, rank::INTEGER AS rank, url, round(score, 6) AS score FROM z WHERE rank <= 10
+""")
 def blend_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC14, W2, W3, M8, T2: hits of every job by lexical score and reciprocal rank."""
-    hits = page_hits(spark, sf_dir).withColumnsRenamed({"job_index": "query_id"}).withColumn("route_order", F.col("query_id") * 0)
+    """SRC14, W2, W3, M8, T2: hits of forty jobs by lexical score and reciprocal rank."""
+    hits = page_hits(spark, sf_dir).withColumn("query_id", F.col("position") % 40).withColumn("route_order", F.col("query_id") * 0)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
-    queries = load(spark, sf_dir, "benchmark").where("item_id < 4").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = merge.blend_hits(hits.withColumn("position", place), queries, 10)
     return rounded(found.select("query_id", "rank", "url", "score"), "score")
 
@@ -218,7 +220,7 @@ SELECT o_custkey, min(strftime(o_orderdate, '%Y-%m-%d')) AS earliest, count(*) A
 def earliest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earliest of several dates."""
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    return load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(day).alias("d"), F.count("*").alias("n")).select("o_custkey", dates.earliest(F.col("d")).alias("earliest"), "n")
+    return load(spark, sf_dir, "orders").groupBy("o_custkey").agg(dates.earliest_of(day).alias("earliest"), F.count("*").alias("n"))
 
 
 @query(r"""
@@ -249,14 +251,14 @@ def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT l_suppkey AS batch, l_orderkey AS candidate, l_linenumber - 1 AS sub FROM lineitem WHERE l_suppkey <= 20),
+WITH p AS (SELECT l_suppkey AS batch, l_orderkey AS candidate, l_linenumber - 1 AS sub FROM lineitem),
 q AS (SELECT DISTINCT * FROM p), m AS (SELECT *, dense_rank() OVER (PARTITION BY batch ORDER BY candidate) <= 15 AS main_in FROM q),
 t AS (SELECT *, sum(main_in::INTEGER) OVER (PARTITION BY batch ORDER BY sub, candidate ROWS UNBOUNDED PRECEDING) AS turn FROM m)
 SELECT batch, candidate, sub, main_in AND turn <= 15 AS selected FROM t
 """)
 def page_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main pages, then subpages in turn, within a budget."""
-    pages = load(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("batch"), F.col("l_orderkey").alias("candidate"), (F.col("l_linenumber") - 1).alias("sub")).distinct()
+    pages = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("batch"), F.col("l_orderkey").alias("candidate"), (F.col("l_linenumber") - 1).alias("sub")).distinct()
     return budget.page_slots(pages, 15, ["batch"])
 
 
@@ -275,8 +277,8 @@ FROM e GROUP BY user_id
 """)
 def route_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W11, ST5: moving averages of success and latency by user, in the order of time."""
-    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") != "error").cast("double").alias("ok"), F.greatest(F.lit(1.0), F.col("value")).alias("ms")))).alias("x"))
-    return e.select("user_id", F.size("x").cast("long").alias("samples"), F.round(scores.ema(F.col("x.ok"), 0.60), 6).alias("success"), F.round(scores.ema(F.col("x.ms"), 700.0), 6).alias("latency"))
+    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") != "error").cast("double").alias("ok"), F.greatest(F.lit(1.0), F.col("value")).alias("ms"))
+    return rounded(rerank.route_stats(e, ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "samples", "success", "latency"), "success", "latency")
 
 
 @query(rf"""
@@ -310,31 +312,30 @@ def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN left(text, 20) ELSE left(text, 20) || CASE WHEN doc_id % 3 = doc_id % 5 THEN '[citation:' || doc_id % 3 || ']' ELSE '[citation:' || doc_id % 3 || '][citation:' || doc_id % 5 || ']' END || '.' END AS expanded,
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text ELSE text || CASE WHEN doc_id % 3 = doc_id % 5 THEN '[citation:' || doc_id % 3 || ']' ELSE '[citation:' || doc_id % 3 || '][citation:' || doc_id % 5 || ']' END || '.' END AS expanded,
     CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = doc_id % 5 THEN (doc_id % 3)::VARCHAR ELSE (doc_id % 3) || ',' || (doc_id % 5) END AS indexes,
-    CASE WHEN doc_id % 7 = 0 THEN left(text, 20) ELSE left(text, 20) || '.' END AS stripped FROM documents
+    CASE WHEN doc_id % 7 = 0 THEN text ELSE text || '.' END AS stripped FROM documents
 """)
 def citation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compound citations expanded, listed and stripped."""
     mark = F.format_string("[ Citation : %d, %d ].", F.col("doc_id") % 3, F.col("doc_id") % 5)
-    said = F.when(F.col("doc_id") % 7 == 0, F.left("text", F.lit(20))).otherwise(F.concat(F.left("text", F.lit(20)), mark))
+    said = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.concat(F.col("text"), mark))
     d = load(spark, sf_dir, "documents").select("doc_id", said.alias("said"))
     return d.select("doc_id", text.citation_expand("said").alias("expanded"), F.array_join(text.citation_indexes("said").cast("array<string>"), ",").alias("indexes"), text.citation_strip("said").alias("stripped"))
 
 
 @query("""
-WITH s AS (SELECT item_id AS source_index, (item_id % 6) AS key, text FROM benchmark WHERE item_id < 20),
-a AS (SELECT conv_id AS answer_id, unnest([conv_id % 20, conv_id % 7, conv_id % 20, conv_id % 31]) AS source_index, unnest([0, 1, 2, 3]) AS at_ FROM (SELECT DISTINCT conv_id FROM conversations)),
+WITH s AS (SELECT item_id AS source_index, (item_id % 6) AS key, text FROM benchmark),
+a AS (SELECT conv_id AS answer_id, unnest([conv_id % 20, conv_id % 7, conv_id % 20, conv_id % 3 - 1]) AS source_index, unnest([0, 1, 2, 3]) AS at_ FROM (SELECT DISTINCT conv_id FROM conversations)),
 j AS (SELECT answer_id, at_, source_index, key, row_number() OVER (PARTITION BY answer_id, key ORDER BY at_) AS n FROM a JOIN s USING (source_index))
 SELECT answer_id, at_::INTEGER AS "at", source_index, key FROM j WHERE n = 1
 """)
 def citation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited sources by index, unknown ones dropped, each key once."""
-    sources = load(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("source_index"), (F.col("item_id") % 6).alias("key"))
+    sources = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_index"), (F.col("item_id") % 6).alias("key"))
     c = F.col("conv_id")
-    answers = load(spark, sf_dir, "conversations").select("conv_id").distinct().select(c.alias("answer_id"), F.array(c % 20, c % 7, c % 20, c % 31).alias("indexes"))
-    keyed = sources.select(F.lit(1).alias("one"), "*").drop("one")
-    every = answers.select("answer_id", F.posexplode("indexes").alias("at", "source_index")).join(F.broadcast(keyed), "source_index")
+    answers = load(spark, sf_dir, "conversations").select("conv_id").distinct().select(c.alias("answer_id"), F.array(c % 20, c % 7, c % 20, c % 3 - 1).alias("indexes"))
+    every = answers.select("answer_id", F.posexplode("indexes").alias("at", "source_index")).join(sources, "source_index")
     return merge.first_of(every, ["answer_id", "key"], ["at"]).select("answer_id", "at", "source_index", "key")
 
 
@@ -364,7 +365,7 @@ def pair_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT source AS url_key, doc_id AS ord, 'u' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(text, 10) END AS content, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS abstract FROM documents),
+WITH r AS (SELECT source AS url_key, doc_id AS ord, 'u' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS content, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS abstract FROM documents),
 d AS (SELECT url_key, abstract, min(ord) AS ord FROM r WHERE abstract <> '' GROUP BY ALL)
 SELECT url_key, min(ord) AS first_order, arg_min(url, ord) AS url, coalesce(arg_min(title, ord) FILTER (title <> ''), '') AS title, coalesce(arg_min(content, ord) FILTER (content <> ''), '') AS content,
     coalesce((SELECT string_agg(abstract, ',' ORDER BY ord) FROM d WHERE d.url_key = r.url_key), '') AS abstracts FROM r GROUP BY url_key
@@ -373,7 +374,7 @@ def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First non-empty fields and distinct abstracts for each address."""
     d = load(spark, sf_dir, "documents")
     blank = lambda n, c: F.when(F.col("doc_id") % n == 0, "").otherwise(c)
-    rows = d.select(F.col("source").alias("url_key"), F.col("doc_id").alias("order"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), blank(3, F.col("lang")).alias("title"), blank(4, F.left("text", F.lit(10))).alias("content"), blank(5, F.col("lang")).alias("abstract"))
+    rows = d.select(F.col("source").alias("url_key"), F.col("doc_id").alias("order"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), blank(3, F.col("lang")).alias("title"), blank(4, F.col("text")).alias("content"), blank(5, F.col("lang")).alias("abstract"))
     return corpus.page_sources(rows).withColumn("abstracts", F.array_join("abstracts", ","))
 
 
@@ -457,12 +458,12 @@ def url_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH j AS (SELECT item_id AS job_index, left(text, 30) AS said, {TOKENS.format("left(text, 30)")} AS t FROM benchmark)
+WITH j AS (SELECT item_id AS job_index, text AS said, {TOKENS.format("text")} AS t FROM benchmark)
 SELECT min(job_index) AS job_index, array_to_string(list_sort(t), ' ') AS signature FROM j GROUP BY 2
 """)
 def query_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries without repeats by text and by token set."""
-    jobs = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("job_index"), F.left("text", F.lit(30)).alias("query"), F.lit("llm").alias("source"))
+    jobs = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("job_index"), F.col("text").alias("query"), F.lit("llm").alias("source"))
     kept = merge.dedupe_queries(jobs, 1_000_000)
     return kept.select("job_index", F.array_join(F.array_sort(text.tokenize("query")), " ").alias("signature"))
 
@@ -527,11 +528,17 @@ def ranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "passage_id", "rank", "order", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(rf"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS said FROM documents),
+c AS (SELECT doc_id, line, {CLEAN.format("said")} AS said FROM l), k AS (SELECT * FROM c WHERE said <> '' AND (line = 1 OR length(said) >= 16)),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, replace(replace(lower(said), 'ß', 'ss'), 'ς', 'σ') ORDER BY line) AS nth FROM k),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS at_, length(said) AS n_chars FROM f WHERE nth = 1)
+SELECT doc_id AS candidate, at_::INTEGER AS "at", n_chars::INTEGER AS n_chars FROM r WHERE at_ <= 18
+""")
 def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets and abstracts of a candidate without repeats."""
+    """Snippets and abstracts of a candidate without repeats (the cap is the feature)."""
     lines = F.split("text", "\n")
-    c = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate"), F.slice(lines, 1, 1).alias("snippets"), F.slice(lines, 2, 30).alias("abstracts"))
+    c = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate"), F.slice(lines, 1, 1).alias("snippets"), F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 1)).alias("abstracts"))
     return rerank.context_documents(c).select("candidate", "at", F.length("text").alias("n_chars"))
 
 
@@ -570,13 +577,13 @@ def link_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT item_id, trim(regexp_replace(left(text, 20), '\s+', ' ', 'g')) AS title, 'A B; C' AS authors, CASE item_id % 3 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '2020-05-01' ELSE '2020-05-07' END AS published_date FROM benchmark
+SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS title, 'A B; C' AS authors, CASE item_id % 3 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '2020-05-01' ELSE '2020-05-07' END AS published_date FROM benchmark
 """)
 def doi_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC29, D7: title, authors and date of registry records."""
     parts = F.when(F.col("item_id") % 3 == 0, F.array(F.lit(2020))).when(F.col("item_id") % 3 == 1, F.array(F.lit(2020), F.lit(5))).otherwise(F.array(F.lit(2020), F.lit(5), F.lit(7)))
     people = F.array(F.struct(F.lit("A").alias("given"), F.lit("B").alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.lit("C").alias("family")))
-    record = F.to_json(F.struct(F.array(F.regexp_replace(F.left("text", F.lit(20)), r"\s+", " ")).alias("title"), people.alias("author"), F.struct(F.array(parts).alias("date-parts")).alias("issued")))
+    record = F.to_json(F.struct(F.array(F.regexp_replace("text", r"\s+", " ")).alias("title"), people.alias("author"), F.struct(F.array(parts).alias("date-parts")).alias("issued")))
     rows = load(spark, sf_dir, "benchmark").select("item_id", record.alias("record")).select("item_id", documents.doi_record("record").alias("r"))
     return rows.select("item_id", "r.title", "r.authors", "r.published_date")
 
@@ -592,7 +599,7 @@ def final_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, list_sort(list(DISTINCT role)) AS roles, count(*) FILTER (turn > 2) AS late, bool_and(length(text) > 0) AS complete FROM conversations GROUP BY conv_id
 """)
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the rounds of a conversation hold."""
+    """What the turns of a conversation hold: roles, late turns, whether every text says something."""
     c = load(spark, sf_dir, "conversations")
     return c.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count_if(F.col("turn") > 2).alias("late"), F.bool_and(F.length("text") > 0).alias("complete"))
 
@@ -603,7 +610,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY score DES
 SELECT canonical_url, source_id, score, round_index FROM r WHERE n = 1
 """)
 def canonical_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best source of each address."""
+    """The best source of each address."""
     s = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("canonical_url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_id"), F.round("l_discount", 2).alias("score"), F.col("l_linenumber").alias("round_index"))
     return corpus.canonical_first(s)
 
@@ -618,3 +625,6 @@ def max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").select(F.col("event_type").alias("batch"), F.col("user_id").alias("key"), scores.reciprocal_rank(place + 1).alias("s"))
     best = e.groupBy("batch", "key").agg(F.max("s").alias("s"))
     return best.select("batch", "key", F.round(scores.over_max(F.col("s"), ["batch"]), 6).alias("scaled"))
+
+
+from spindrift.plans import catalog_rules, catalog_sources, catalog_steps  # noqa: E402, F401 - they register their queries

@@ -157,12 +157,8 @@ def subpages(links: DataFrame, keywords: list[str], limit: int) -> DataFrame:
     w = Window.partitionBy("page")
     if not keywords:
         return links.withColumn("rank", F.row_number().over(w.orderBy("position"))).where(F.col("rank") <= limit)
-    scored = links
-    for k, word in enumerate(keywords):
-        batch = links.select("page", "position", F.concat_ws(" ", "text", "url").alias("text"))
-        hit = F.array_contains(tokenize("text"), word)
-        own = batch.select("page", "position", hit.cast("int").alias(f"k{k}"))
-        scored = scored.join(own, ["page", "position"])
-    mean = sum((F.col(f"k{k}") for k in range(1, len(keywords))), F.col("k0")) / len(keywords)
+    tokens = tokenize(F.concat_ws(" ", "text", "url"))
+    mean = sum((F.array_contains(F.col("_tokens"), w).cast("int") for w in keywords[1:]), F.array_contains(F.col("_tokens"), keywords[0]).cast("int")) / len(keywords)
+    scored = links.withColumn("_tokens", tokens)
     ranked = scored.withColumn("score", mean).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "position")))
     return ranked.where(F.col("rank") <= limit).select(*links.columns, "score", "rank")
