@@ -33,7 +33,10 @@ def inside(*path: str):
     return wrap
 
 
-DAY = F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))
+def day() -> Column:
+    return F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))
+
+
 DAY_SQL = "'2024-01-0' || (doc_id % 9 + 1)"
 
 
@@ -42,7 +45,7 @@ SELECT doc_id, 'github' AS engine, 'https://github.com/a/' || doc_id AS url, 'a/
 """)
 def github_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC3: repositories."""
-    r = named(html_url=F.concat(F.lit("https://github.com/a/"), "i"), full_name=F.concat(F.lit("a/"), "i"), language=F.col("lang"), description=F.col("said"), created_at=F.concat(DAY, F.lit("T10:00:00Z")))
+    r = named(html_url=F.concat(F.lit("https://github.com/a/"), "i"), full_name=F.concat(F.lit("a/"), "i"), language=F.col("lang"), description=F.col("said"), created_at=F.concat(day(), F.lit("T10:00:00Z")))
     return recorded(spark, sf_dir, "github", r, inside("items"))
 
 
@@ -65,7 +68,7 @@ def openalex_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     authors = F.array(*[named(author=named(display_name=n)) for n in (F.concat(F.lit("A "), i), "B", "C", "D", "E", "F")])
     place = named(landing_page_url=F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://p.example/"), i)), source=named(display_name=F.col("source")))
     index = F.create_map(F.concat(F.lit("w"), i), F.array(F.lit(0), F.lit(2)), F.lit("of"), F.array(F.lit(1)))
-    r = named(id=F.concat(F.lit("https://openalex.org/W"), i), title=F.concat(F.lit("work "), i), primary_location=place, authorships=authors, concepts=F.array(named(display_name=F.col("lang"))), cited_by_count=F.col("doc_id"), publication_date=DAY, abstract_inverted_index=index)
+    r = named(id=F.concat(F.lit("https://openalex.org/W"), i), title=F.concat(F.lit("work "), i), primary_location=place, authorships=authors, concepts=F.array(named(display_name=F.col("lang"))), cited_by_count=F.col("doc_id"), publication_date=day(), abstract_inverted_index=index)
     return recorded(spark, sf_dir, "openalex", r, inside("results"))
 
 
@@ -85,7 +88,7 @@ SELECT doc_id, 'reuters' AS engine, 'https://www.reuters.com/w/' || doc_id AS ur
 """)
 def reuters_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC9: articles."""
-    r = named(canonical_url=F.concat(F.lit("/w/"), "i"), web=F.concat(F.lit("news "), "i"), kicker=named(name=F.col("lang")), description=F.col("said"), display_time=F.concat(DAY, F.lit("T01:02:03Z")))
+    r = named(canonical_url=F.concat(F.lit("/w/"), "i"), web=F.concat(F.lit("news "), "i"), kicker=named(name=F.col("lang")), description=F.col("said"), display_time=F.concat(day(), F.lit("T01:02:03Z")))
     return recorded(spark, sf_dir, "reuters", r, inside("result", "articles"))
 
 
@@ -95,7 +98,7 @@ SELECT doc_id, 'searxng' AS engine, 'https://s.example/' || doc_id AS url, CASE
 def searxng_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC10: meta-search results; the date is the first of several keys that reads as one."""
     i = F.col("doc_id")
-    r = named(url=F.concat(F.lit("https://s.example/"), "i"), title=F.when(i % 2 == 1, F.col("lang")), description=F.col("said"), publishedDate="soon", pubdate=F.when(i % 4 != 0, DAY))
+    r = named(url=F.concat(F.lit("https://s.example/"), "i"), title=F.when(i % 2 == 1, F.col("lang")), description=F.col("said"), publishedDate="soon", pubdate=F.when(i % 4 != 0, day()))
     return recorded(spark, sf_dir, "searxng", r, inside("results"))
 
 
@@ -106,7 +109,7 @@ def semantic_scholar_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC11: papers."""
     i = F.col("i")
     author = lambda n: F.array(named(name=n))
-    r = named(title=named(text=F.concat(F.lit("paper "), i)), primaryPaperLink=named(url=F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://one.example/"), i))), links=F.array(F.concat(F.lit("https://two.example/"), i)), paperAbstract=named(text="an <b>abstract</b>"), authors=F.array(author(F.concat(F.lit("N"), i)), author(F.lit("M"))), journal=named(name=F.col("source")), fieldsOfStudy=F.array("lang"), pubDate=DAY)
+    r = named(title=named(text=F.concat(F.lit("paper "), i)), primaryPaperLink=named(url=F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://one.example/"), i))), links=F.array(F.concat(F.lit("https://two.example/"), i)), paperAbstract=named(text="an <b>abstract</b>"), authors=F.array(author(F.concat(F.lit("N"), i)), author(F.lit("M"))), journal=named(name=F.col("source")), fieldsOfStudy=F.array("lang"), pubDate=day())
     return recorded(spark, sf_dir, "semantic_scholar", r, inside("results"))
 
 
@@ -139,7 +142,7 @@ def arxiv_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC1: entries of Atom feeds."""
     i = F.col("doc_id").cast("string")
     authors = "".join(f"<author><name>A{n}</name></author>" for n in range(1, 7))
-    entry = F.concat(F.lit("<feed><entry><id>http://arxiv.org/abs/"), i, F.lit("</id><title> T  &amp; "), i, F.lit("</title><summary>\n said "), F.col("lang"), F.lit("\n</summary><published>"), DAY, F.lit(f"T00:00:00Z</published>{authors}</entry><entry><id>x</id><title></title></entry></feed>"))
+    entry = F.concat(F.lit("<feed><entry><id>http://arxiv.org/abs/"), i, F.lit("</id><title> T  &amp; "), i, F.lit("</title><summary>\n said "), F.col("lang"), F.lit("\n</summary><published>"), day(), F.lit(f"T00:00:00Z</published>{authors}</entry><entry><id>x</id><title></title></entry></feed>"))
     feeds = load(spark, sf_dir, "documents").select("doc_id", entry.alias("payload"))
     return payloads.atom_hits(feeds, ["doc_id"]).select("doc_id", "engine", "url", "title", "snippet", "published_date", "pre_fetched_author")
 
