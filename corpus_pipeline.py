@@ -2,6 +2,14 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results, for every stage: other columns of docs are dropped, so clashing names cannot
+matter; an empty table gives an empty table; texts of any length count whole; null and empty
+texts stay documents (they score as the share of toxic labels, are near nothing, hold no test
+item and no secret, and are encoded as the end id alone); rows without an id stay unless their
+text is toxic or holds a test item; ties of a group go to the smallest id; repeated rows (one id
+and text) are one document after the near-duplicate stage, and rows of one id with unlike texts
+are told apart by their texts only.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontam, ngram_join, secrets, spm, toxicity
-from spindrift.llm.common import ensure_checkpoint_dir, table
+from spindrift.llm.common import durable, ensure_checkpoint_dir, table
 from spindrift.llm.queries import piece_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,10 +34,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id; documents without words all stay."""
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
+    """Of each component of near-duplicates the document with the smallest id, once; documents without words all stay."""
+    docs = docs.select(*COLUMNS)
+    found = durable(ngram_join.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null"))
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return ngram_join.rows_without(docs.select(*COLUMNS), copies)
+    kept = ngram_join.rows_without(docs, copies)
+    again = durable(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    return ngram_join.rows_without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
