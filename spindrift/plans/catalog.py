@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions import dates, documents, html, markdown, scores, text, urls
+from spindrift.functions import dates, documents, dom, html, markdown, scores, text, urls
 from spindrift.functions import json as js
 from spindrift.operators import budget, corpus, merge, passages, ranking, rerank
 from spindrift.plans.registry import ORACLES, QUERIES, load, query
@@ -298,6 +298,20 @@ def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "p.title", "p.description", "p.lang", F.length("p.markdown").alias("markdown_chars"), F.size("p.links").alias("n_links"), F.size("p.images").alias("n_images"))
 
 
+PLAIN = r"regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&copy;', '©', 'g'), '&middot;', '·', 'g')"
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS inner_, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS foot FROM pages),
+b AS (SELECT page_id, foot, inner_, list_filter(list_transform(regexp_split_to_array(inner_, '</?p>|</?h1>'), lambda x: {CLEAN.format("replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")}), lambda x: x <> '') AS parts FROM a)
+SELECT page_id, 'semantic' AS engine, '# ' || array_to_string(parts, chr(10) || chr(10)) AS markdown, len(regexp_extract_all(inner_, '<p>'))::INTEGER AS paragraphs, {CLEAN.format(PLAIN.format("foot"))} AS footer, ['footer', 'navigation'] AS zones FROM b
+""")
+def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC24, H1-H4, H7-H9, M14, M15: the content of every page as markdown, and the zones beside it."""
+    found = load(spark, sf_dir, "pages").select("page_id", dom.content("html", "url").alias("c"))
+    return found.select("page_id", "c.engine", "c.markdown", F.col("c.counts")["paragraphs"].alias("paragraphs"), F.col("c.sections")["footer"].alias("footer"), F.sort_array(F.map_keys("c.sections")).alias("zones"))
+
+
 @query()
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content kind, signals, quality scores and blocking rules."""
