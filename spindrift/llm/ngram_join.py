@@ -307,23 +307,19 @@ def numbers(*names: str) -> Column:
     return F.concat_ws(",", *[F.col(n).cast("string") for n in names]).cast("binary")
 
 
-def beside(targets: DataFrame, queries: DataFrame, sets: Sets, judge, schema: str) -> DataFrame:
-    """dealt, with the tokens of the targets and queries (part, node)."""
-    both = targets.select("part", "node", F.lit(0).alias("kind")).unionByName(queries.select("part", "node", F.lit(1).alias("kind")))
-    rows = sets.beside(both, "tokens").withColumnRenamed("tokens", "payload")
-    return dealt(rows.where("kind = 0"), rows.where("kind = 1"), judge, schema)
-
-
-def dealt(targets: DataFrame, queries: DataFrame, judge, schema: str) -> DataFrame:
-    """What judge finds for every query beside the targets of its part, both (part, node, payload).
+def beside(targets: DataFrame, queries: DataFrame, judge, schema: str, sets: Sets | None = None) -> DataFrame:
+    """What judge finds for every query beside the targets of its part, both (part, node, payload), or (part, node) with the tokens of sets as payload.
 
     A part's targets come first in its task, then its queries one after the other; a part with many queries is
     dealt to several tasks. judge takes the targets [(node, payload)] and gives a function of a query.
     """
     many = durable(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")))
+    own = ["node"] if sets else ["node", "payload"]
     copies = targets.join(many, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     spread = queries.join(many, "part").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    rows = copies.select("part", "salt", F.lit(0).alias("kind"), "node", "payload").unionByName(spread.select("part", "salt", F.lit(1).alias("kind"), "node", "payload"))
+    rows = copies.select("part", "salt", F.lit(0).alias("kind"), *own).unionByName(spread.select("part", "salt", F.lit(1).alias("kind"), *own))
+    if sets:  # payloads come last, once it is known where they are needed
+        rows = sets.beside(rows, "tokens").select("part", "salt", "kind", "node", F.col("tokens").alias("payload"))
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -379,7 +375,8 @@ def qualifying(queries: DataFrame, unions: DataFrame, sets: Sets) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     union = unions.select("part", "least", F.col("bits").alias("union"), "alone")
-    rows = sets.beside(queries.join(union, "part"), "bits").select("part", "node", "least", "union", "alone", "bits")
+    asked = sets.beside(queries, "bits")
+    rows = asked.join(union.hint("merge"), "part").select("part", "node", "least", "union", "alone", "bits")
     return rows.mapInArrow(judge, "part long, node long")
 
 
@@ -414,7 +411,7 @@ def verified(sets: Sets, members: DataFrame, queries: DataFrame, single: bool =
     asked = members.join(queries.select("part").distinct(), "part", "left_semi")
     open_ = durable(qualifying(queries, unions_of(asked, sets, single), sets))
     chosen = durable(asked.join(open_.select("part").distinct(), "part", "left_semi"))
-    return durable(beside(chosen, open_, sets, link_judge, "a long, b long"))
+    return durable(beside(chosen, open_, link_judge, "a long, b long", sets))
 
 
 def query_judge(token: int, parts: list[tuple[int, bytes]]):
@@ -445,7 +442,7 @@ def group_queries(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     says = wide.groupBy("token", "part").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("left").alias("left"))
     targets = says.select(F.col("token").alias("part"), F.col("part").alias("node"), numbers("component", "n", "least", "most", "left").alias("payload"))
     queries = wide.select(F.col("token").alias("part"), "node", numbers("component", "n", "size", "left").alias("payload"))
-    return dealt(targets, queries, query_judge, "node long, part long").distinct()
+    return beside(targets, queries, query_judge, "node long, part long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
