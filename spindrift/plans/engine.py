@@ -7,21 +7,23 @@ extractive: the best passages with their sources.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions import html, urls
+from spindrift.functions import dom, html, urls
 from spindrift.functions.dates import in_range
 from spindrift.functions.text import tokenize
-from spindrift.operators import budget, corpus, merge, passages, ranking, rerank
+from spindrift.operators import budget, merge, passages, ranking, rerank
 from spindrift.operators.cuts import durable
 from spindrift.plans import defaults as D
 from spindrift.plans.requests import AnswerRequest, FetchRequest, ResearchRequest, SearchRequest
 
 Model = Callable[[str, dict], dict]
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -36,7 +38,7 @@ class Engine:
     """pages: url, html, and published_date if there is one (a table of any size; nothing of it is collected)."""
 
     def __init__(self, spark: SparkSession, pages: DataFrame, overrides: Overrides | None = None) -> None:
-        self.spark, self.overrides = spark, overrides or Overrides()
+        self.spark, self.overrides, self.failures = spark, overrides or Overrides(), []
         if "published_date" not in pages.columns:
             pages = pages.withColumn("published_date", F.lit(""))
         self.pages = pages.select(urls.canonical_url("url").alias("canonical_url"), "url", "html", "published_date")
@@ -47,7 +49,9 @@ class Engine:
             return default
         try:
             return self.overrides.model(task, inputs) or default
-        except Exception:  # noqa: BLE001 - a failed model leaves the plain plan
+        except Exception as e:  # noqa: BLE001 - a failed model leaves the plain plan, and a trace
+            self.failures.append((task, f"{type(e).__name__}: {e}"))
+            log.warning("the model failed at %s: %s", task, e)
             return default
 
     def documents(self) -> DataFrame:
@@ -93,11 +97,11 @@ class Engine:
         """url_index, url, status, error_tag, title, markdown, links and abstracts of each requested address."""
         asked = self.spark.createDataFrame(list(enumerate(request.urls)), "url_index int, url string").withColumn("canonical_url", urls.canonical_url("url"))
         there = self.pages.join(F.broadcast(asked.select("canonical_url").distinct()), "canonical_url")  # the request bounds it
-        one = merge.first_of(there, ["canonical_url"], ["url"]).withColumn("p", html.page("html", "url"))
-        read = asked.join(one.select("canonical_url", "p"), "canonical_url", "left")
-        short = F.length(F.coalesce("p.text", F.lit(""))) < D.MIN_TEXT_CHARS
+        one = merge.first_of(there, ["canonical_url"], ["url"]).withColumns({"p": html.page("html", "url"), "c": dom.content("html", "url")})
+        read = asked.join(one.select("canonical_url", "p", "c"), "canonical_url", "left")
+        short = F.length(F.coalesce("c.text", F.lit(""))) < D.MIN_TEXT_CHARS
         status = read.withColumn("error_tag", F.when(F.col("p").isNull(), "SOURCE_NOT_AVAILABLE").when(short, "CONTENT_TOO_SHORT").otherwise("")).withColumn("status", F.when(F.col("error_tag") == "", "success").otherwise("error"))
-        out = status.select("url_index", "url", "status", "error_tag", "p.title", F.left("p.markdown", F.lit(D.MARKDOWN_CHARS)).alias("markdown"), F.slice("p.links", 1, D.MAX_LINKS).alias("links"))
+        out = status.select("url_index", "url", "status", "error_tag", "p.title", F.left("c.markdown", F.lit(D.MARKDOWN_CHARS)).alias("markdown"), F.slice("p.links", 1, D.MAX_LINKS).alias("links"))
         if not request.abstracts:
             return out
         good = out.where("status = 'success'")
@@ -121,32 +125,18 @@ class Engine:
         text = written.get("text") or " ".join(f"{r.text} [citation:{numbers[r.url]}]" for r in rows)
         return {"answer": text, "citations": [{"index": n, "url": u, "title": next(r.title for r in rows if r.url == u)} for u, n in numbers.items()]}
 
-    def research(self, request: ResearchRequest) -> DataFrame:
-        """The sources that bounded rounds of searches gathered for each question card, numbered in the order they came."""
-        profile = D.RESEARCH[request.mode]
-        cards = self.ask("theme", {"themes": request.themes, "cards": profile.cards}, {"cards": [{"question": request.themes, "priority": 1}]})["cards"][: profile.cards]
-        table = self.spark.createDataFrame([(i, c["question"], int(c.get("priority", 1)), i) for i, c in enumerate(cards)], "question_id int, question string, priority int, order int")
-        quota = {r.question_id: r.allocation for r in budget.allocate(table, profile.searches, 1).collect()}  # at most `cards` rows
-        known, next_id = None, 1
-        for i, card in enumerate(cards):
-            question = card["question"]
-            for round_index in range(min(profile.rounds, int(quota[i]))):
-                found = self.search(SearchRequest(question, "auto", profile.results)).select("canonical_url", "url", "title", F.col("final_score").alias("score"), F.lit(round_index).alias("round_index"), F.lit(i).alias("question_id"), F.col("rank").alias("source_id"))
-                if known is None:
-                    fresh = found.withColumn("source_id", F.col("source_id").cast("long"))
-                else:
-                    fresh, _ = corpus.merge_corpus(known, found.withColumn("source_id", F.col("source_id").cast("long")), next_id)
-                rows = fresh.collect()  # at most `results` rows a round
-                if not rows:
-                    break
-                batch = self.spark.createDataFrame(rows, fresh.schema)
-                known = batch if known is None else known.unionByName(batch)
-                next_id += len(rows)
-                nxt = self.ask("next", {"question": question, "round": round_index}, {"queries": []})["queries"]
-                if not nxt:
-                    break
-                question = nxt[0]
-        return known if known is not None else self.spark.createDataFrame([], "canonical_url string, url string, title string, score double, round_index int, question_id int, source_id long")
+    def research(self, request: ResearchRequest) -> dict:
+        """A report of sections with numbered sources, from bounded rounds for each question of the themes."""
+        from spindrift.plans.research import Research
+
+        return Research(self, D.RESEARCH[request.mode]).run(request.themes)
+
+    def overview(self, request: FetchRequest) -> DataFrame:
+        """url_index and overview of each page: the model's, else its best passages joined."""
+        got = self.fetch(request)
+        rows = got.select("url_index", "title", F.transform(F.coalesce("abstracts", F.array().cast("array<struct<passage_id:string,text:string,score:double>>")), lambda a: a["text"]).alias("texts")).collect()  # as many as the request names
+        said = [(r.url_index, self.ask("overview", {"query": request.query, "title": r.title, "texts": r.texts}, {"text": " ".join(r.texts)[: D.OVERVIEW_CHARS]})["text"]) for r in rows]
+        return self.spark.createDataFrame(said, "url_index int, overview string")
 
 
 def subpages(links: DataFrame, keywords: list[str], limit: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,8 +76,38 @@ def test_verbs(spark, sf, engine):
     assert [r.status for r in got][1] == "error" and got[1].error_tag == "SOURCE_NOT_AVAILABLE"
     answer = engine.answer(AnswerRequest(title))
     assert all(f"[citation:{c['index']}]" in answer["answer"] for c in answer["citations"])
-    sources = engine.research(ResearchRequest(title, "fast"))
-    assert sources.count() == sources.select("canonical_url").distinct().count()
+    made = engine.research(ResearchRequest(title, "fast"))
+    numbers = [s["index"] for s in made["sources"]]
+    assert numbers == list(range(1, len(numbers) + 1)) and len({s["url"] for s in made["sources"]}) == len(numbers) > 0
+    assert made["content"].startswith("## ") and all(int(n) in numbers for n in re.findall(r"\[citation:(\d+)]", made["content"]))
+    assert made["stop_reason"] in ("all_tracks_completed", "budget_exhausted") and made["tracks"][0]["stop_reason"]
+
+
+def test_research_with_a_model(spark, sf):
+    """Two cards, a second query of the review, sections of the model; failures of the model are told."""
+    title = spark.read.parquet(f"{sf}/pages.parquet").select(F.regexp_extract("html", "<title>(.*?)</title>", 1)).first()[0]
+
+    def model(task: str, inputs: dict) -> dict:
+        if task == "theme":
+            return {"cards": [{"question": title, "priority": 2}, {"question": title.split()[0], "priority": 1}]}
+        if task == "review":
+            return {"queries": [] if inputs["findings"] else [title.split()[-1]], "summary": "found | Found | more"}
+        if task == "sections":
+            return {"sections": [{"title": "All", "question_ids": [1, 0]}]}
+        if task == "report":
+            return {"text": inputs["so_far"] + f"<{len(inputs['sources'])}>"}
+        raise ValueError(task)
+
+    engine = Engine(spark, spark.read.parquet(f"{sf}/pages.parquet"), Overrides(model))
+    made = engine.research(ResearchRequest("themes", "fast"))
+    assert [p["title"] for p in made["structured"]] == ["All"] and "<" in made["content"] and len(made["tracks"]) == 2
+    assert any(t["rounds"] > 1 for t in made["tracks"]) and ("expand", "ValueError: expand") in engine.failures
+
+
+def test_overview(spark, sf, engine):
+    url = spark.read.parquet(f"{sf}/pages.parquet").first().url
+    got = engine.overview(FetchRequest([url, "https://nowhere.example/x"], query="the")).orderBy("url_index").collect()
+    assert len(got) == 2 and got[1].overview == "" and len(got[0].overview) <= 900
 
 
 def test_model_seam(spark, sf):
