@@ -44,6 +44,8 @@ from spindrift.llm.common import durable, map_texts, remainder
 
 PER_CLASS, SAMPLE_CHARS, NEIGHBOURS, BLOCK, FIRST_OPEN, WIDE, BATCH = 2000, 32_000_000, 10, 128, 64, 12, 64
 HEADS = (4, 5, 6)
+#: Postings that one pass holds, and characters of the texts that are scored at once.
+PASS, GROUP_CHARS = 400_000, 500_000
 
 
 def term_hashes(begins: list[tuple[int, int]], text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +67,7 @@ class Lookup:
 
     def __init__(self, vocabulary: np.ndarray) -> None:
         self.vocabulary = vocabulary
-        bits = max(4, min(22, len(vocabulary).bit_length() + 2))
+        bits = max(4, min(22, len(vocabulary).bit_length() + 1))
         self.shift = np.uint64(64 - bits)
         counts = np.bincount((vocabulary >> self.shift).astype(np.int64), minlength=1 << bits)
         self.start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -109,23 +111,15 @@ def term_counts(texts: list[str | None], lookup: Lookup | None = None) -> list[t
     return [(kept[a:b], count[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def relevance(term: np.ndarray, example: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """For each term idf times the certainty of its link with the label."""
-    n = labels.sum(0)
-    held = np.stack([np.bincount(term, labels[example, c], minlength=size) for c in (0, 1)])
+def relevance(held: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each term idf times the certainty of its link with the label. held: of each class the labels of the examples that hold the term."""
+    n, size = labels.sum(0), held.shape[1]
     p, q = (held[1] + 0.5) / (n[1] + 1), (held[0] + 0.5) / (n[0] + 1)
     mean = (held.sum(0) + 1) / (n.sum() + 2)
     z = (p - q) ** 2 / (mean * (1 - mean) * (1 / n[0] + 1 / n[1]))
     return (np.log((n.sum() + 1) / (held.sum(0) + 1)) + 1) * z / (z + 2 * np.log(max(size, 2)))
 
 
-def unit_values(term: np.ndarray, example: np.ndarray, counts: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """The weight of every (term, example) in the example's unit vector."""
-    value = (1 + np.log(counts)) * weight[term]
-    norm = np.sqrt(np.bincount(example, value * value, minlength=n))
-    return value / np.where(norm, norm, 1)[example]
-
-
 @dataclass
 class Index:
     """Examples in blocks; cells (term, block) with the largest weight; postings (example, weight) of each cell.
@@ -139,6 +133,7 @@ class Index:
     lengths: np.ndarray
     examples: np.ndarray
     counts: bytes
+    count_kind: str
     ids: np.ndarray
     labels: np.ndarray
     class_counts: dict[int, int]
@@ -156,30 +151,58 @@ class Index:
         """The index with its lists; they are made where texts are scored, and once."""
         if hasattr(self, "lookup") or not len(self.ids):
             return self
-        self.lookup = Lookup(self.vocabulary)
-        size, example = len(self.vocabulary), self.examples.astype(np.int64)
-        term, counts = np.repeat(np.arange(size), self.lengths), np.frombuffer(zlib.decompress(self.counts), np.int32)
-        self.weight = relevance(term, example, self.labels, size)
-        value = unit_values(term, example, counts, self.weight, len(self.ids))
-        many = self.lengths.astype(np.int64) * WIDE >= len(self.ids)
+        size, n = len(self.vocabulary), len(self.ids)
+        lengths = self.lengths.astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(lengths)])
+        counts = np.frombuffer(zlib.decompress(self.counts), self.count_kind)
+        # all passes go over a bounded number of postings at once
+        cuts = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], PASS), side="right") - 1, size))
+        parts = list(zip(cuts, cuts[1:], strict=False))
+
+        def postings(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return np.repeat(np.arange(a, b), lengths[a:b]), self.examples[at[a] : at[b]].astype(np.int64), 1 + np.log(counts[at[a] : at[b]].astype(np.float64))
+
+        held = np.zeros((2, size))
+        for a, b in parts:
+            term, example, _ = postings(a, b)
+            for c in (0, 1):
+                held[c, a:b] = np.bincount(term - a, self.labels[example, c], minlength=b - a)
+        self.weight = relevance(held, self.labels)
+        norm = np.zeros(n)
+        for a, b in parts:
+            term, example, tf = postings(a, b)
+            norm += np.bincount(example, (tf * self.weight[term]) ** 2, minlength=n)
+        norm = np.where(norm, np.sqrt(norm), 1)
+        many = lengths * WIDE >= n
         self.wide_row = np.where(many, np.cumsum(many) - 1, -1)
-        self.wide = np.zeros((int(many.sum()), len(self.ids)))
-        in_wide = many[term]
-        self.wide[self.wide_row[term[in_wide]], example[in_wide]] = value[in_wide]
-        term, self.posting_example, self.posting_weight = term[~in_wide], example[~in_wide], value[~in_wide]
-        block = self.posting_example // BLOCK
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        starts = np.flatnonzero(new)
-        self.cell_at = np.searchsorted(term[starts], np.arange(size + 1))
-        self.cell_block = block[starts]
-        self.cell_most = np.maximum.reduceat(self.posting_weight, starts) if len(starts) else np.empty(0)
-        self.posting_at = np.append(starts, len(term))
+        self.wide = np.zeros((int(many.sum()), n))
+        self.posting_example, self.posting_weight = np.empty(int(lengths[~many].sum()), np.int32), np.empty(int(lengths[~many].sum()))
+        self.cell_at, done, cells = np.zeros(size + 1, np.int32), 0, []
+        for a, b in parts:
+            term, example, tf = postings(a, b)
+            value = tf * self.weight[term] / norm[example]
+            in_wide = many[term]
+            self.wide[self.wide_row[term[in_wide]], example[in_wide]] = value[in_wide]
+            term, example, value = term[~in_wide], example[~in_wide], value[~in_wide]
+            self.posting_example[done : done + len(term)], self.posting_weight[done : done + len(term)] = example, value
+            block = example // BLOCK
+            new = np.ones(len(term), bool)
+            new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+            starts = np.flatnonzero(new)
+            if len(starts):
+                self.cell_at[a + 1 : b + 1] = np.bincount(term[starts] - a, minlength=b - a)
+                cells.append((block[starts].astype(np.int32), np.maximum.reduceat(value, starts), (starts + done).astype(np.int32)))
+            done += len(term)
+        np.cumsum(self.cell_at, out=self.cell_at)
+        self.cell_block = np.concatenate([np.empty(0, np.int32), *(c[0] for c in cells)])
+        self.cell_most = np.concatenate([np.empty(0), *(c[1] for c in cells)])
+        self.posting_at = np.append(np.concatenate([np.empty(0, np.int32), *(c[2] for c in cells)]), np.int32(done))
+        self.lookup = Lookup(self.vocabulary)
         return self
 
     @property
     def parts(self) -> tuple:
-        return self.vocabulary, self.lengths, self.examples, self.counts, self.ids, self.labels, self.class_counts
+        return self.vocabulary, self.lengths, self.examples, self.counts, self.count_kind, self.ids, self.labels, self.class_counts
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each vector (terms, counts) places and cosines of the k nearest examples and of all that tie with the last of them, nearest first; those with cosine 0 are none."""
@@ -243,13 +266,30 @@ class Index:
         """Score and evidence of every text."""
         if not len(self.ids):
             return [(self.prior, [])] * len(texts)
-        vectors = term_counts(texts, self.open().lookup)
-        keys = [(t.tobytes(), c.tobytes()) for t, c in vectors]
-        unlike = dict(zip(keys, vectors, strict=True))
-        found = {}
-        for key, (places, cosines) in zip(unlike, self.nearest(list(unlike.values()), k), strict=True):
-            found[key] = self.calibrated(self.votes(places, cosines)), self.ids[places].tolist()
-        return [found[key] for key in keys]
+        self.open()
+        out: list[tuple[float, list[int]]] = []
+        for some in groups_of(texts):
+            vectors = term_counts(some, self.lookup)
+            keys = [(t.tobytes(), c.tobytes()) for t, c in vectors]
+            unlike = dict(zip(keys, vectors, strict=True))
+            found = {}
+            for key, (places, cosines) in zip(unlike, self.nearest(list(unlike.values()), k), strict=True):
+                found[key] = self.calibrated(self.votes(places, cosines)), self.ids[places].tolist()
+            out += [found[key] for key in keys]
+        return out
+
+
+def groups_of(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in groups of about GROUP_CHARS characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +333,7 @@ def blocks_of(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int)
 
 def build(rows: pd.DataFrame, class_counts: dict[int, int]) -> Index:
     """The index of examples: rows of doc_id, toxic, text (a hash), terms and counts (arrays)."""
-    blank = Index(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), b"", np.empty(0, np.int64), np.empty((0, 2), np.int64), class_counts)
+    blank = Index(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), b"", "u1", np.empty(0, np.int64), np.empty((0, 2), np.int64), class_counts)
     toxic = rows["toxic"].to_numpy(np.int64)
     _, first, group = np.unique(rows["text"].to_numpy(np.int64), return_index=True, return_inverse=True)
     labels = np.stack([np.bincount(group, toxic == c, minlength=len(first)) for c in (0, 1)], 1).astype(np.int64)
@@ -303,15 +343,18 @@ def build(rows: pd.DataFrame, class_counts: dict[int, int]) -> Index:
     ids = pd.Series(rows["doc_id"].to_numpy(np.int64)).groupby(group).min().to_numpy()
     example, counts = np.repeat(np.arange(len(first)), [len(t) for t in terms]), np.concatenate([rows["counts"].iloc[i] for i in first])
     vocabulary, term = np.unique(np.concatenate(terms), return_inverse=True)
-    value = unit_values(term, example, counts, relevance(term, example, labels, len(vocabulary)), len(first))
+    held = np.stack([np.bincount(term, labels[example, c], minlength=len(vocabulary)) for c in (0, 1)])
+    value = (1 + np.log(counts)) * relevance(held, labels)[term]
+    norm = np.sqrt(np.bincount(example, value * value, minlength=len(first)))
+    value /= np.where(norm, norm, 1)[example]
     order = blocks_of(example, term, value, len(first))
     place = np.empty(len(first), np.int64)
     place[order] = np.arange(len(first))
     example = place[example]
     by = np.lexsort([example, term])
     lengths = np.bincount(term, minlength=len(vocabulary))
-    small = np.min_scalar_type(len(first))
-    return Index(vocabulary, lengths.astype(small), example[by].astype(small), zlib.compress(counts[by].astype(np.int32).tobytes(), 1), ids[order], labels[order], class_counts)
+    small, few = np.min_scalar_type(len(first)), np.min_scalar_type(int(counts.max()))
+    return Index(vocabulary, lengths.astype(small), example[by].astype(small), zlib.compress(counts[by].astype(few).tobytes(), 1), few.str, ids[order], labels[order], class_counts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS, k: int = NEIGHBOURS) -> Index:
