@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +12,7 @@ from spindrift.llm.common import remainder, table
 
 
 def piece_model() -> str:
-    """Path of the public SentencePiece model, on every machine; SPINDRIFT_PIECE_MODEL names another one."""
-    if path := os.environ.get("SPINDRIFT_PIECE_MODEL"):
-        return path
+    """Path of the public SentencePiece model, on every machine."""
     import public_tokenizers
 
     return str(public_tokenizers.path("piece_bpe_32k.model"))

@@ -11,7 +11,8 @@ never follows another one within a piece, and where a space mark follows anythin
 else. This keeps the table short and lets repeated segments be looked up.
 
 Defined results: a null text counts as empty; an empty text gives the end id alone;
-texts of any length are encoded whole; characters outside the vocabulary become their
+texts of any length are encoded whole; a model without an end id adds none, and one that
+normalises its text is refused; characters outside the vocabulary become their
 UTF-8 byte pieces; repeated rows give repeated results; an empty table gives an empty
 table; other columns of the input are dropped, so clashing names cannot matter.
 """
@@ -19,6 +20,7 @@ table; other columns of the input are dropped, so clashing names cannot matter.
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 from itertools import chain
 
 import ahocorasick
@@ -33,7 +35,8 @@ from spindrift.llm.common import map_texts
 MARK = "▁"
 #: Remembered segments and pairs a worker; beyond that the memory starts anew.
 SEGMENTS, PAIRS = 250_000, 300_000
-END_ID = 2
+#: Characters from which a segment is not remembered.
+LONG = 100
 NEVER = 1 << 30
 #: Fixed value: how the unknown id reads.
 UNKNOWN = " ⁇ "
@@ -45,6 +48,10 @@ class PrefixTable:
     def __init__(self, path: str) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        probe = "ﬁ Ａ  b\u00a0\u0301 \t\u2028x "
+        if model.normalize(probe) != MARK + probe.replace(" ", MARK):
+            raise ValueError("the model normalises its text; only models that leave it as it is can be read")
+        self.end_id = model.eos_id()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.special = {i for i in range(n) if model.is_control(i) or model.is_unused(i)}
         unknown = {i for i in range(n) if model.is_unknown(i)}
@@ -145,24 +152,22 @@ class PrefixTable:
             at -= length[last[at]]
         return ids[::-1]
 
-    def encode(self, text: str, end_id: int | None = END_ID) -> np.ndarray:
-        """Ids of the whole text."""
+    def encode(self, text: str, end: bool = True) -> np.ndarray:
+        """Ids of the whole text, with the model's end id where it has one."""
         ids: np.ndarray = np.empty(0, np.int32)
         if text:
             segments = self.segments(MARK + text.replace(" ", MARK))
-            known = self.known
-            for segment in set(segments).difference(known):
-                if len(known) >= SEGMENTS and len(segment) < 100:
-                    known.clear()
-                    return self.encode(text, end_id) if len(set(segments)) < SEGMENTS // 2 else self.encode_once(segments, end_id)
-                known[segment] = tuple(self.encode_segment(segment))
+            new = set(segments).difference(self.known)
+            if len(self.known) + len(new) > SEGMENTS:
+                self.known.clear()
+                new = set(segments)
+            own: dict[str, tuple[int, ...]] = {}  # long segments, and all of a text that has more than are remembered
+            keep = len(new) <= SEGMENTS
+            for segment in new:
+                (self.known if keep and len(segment) < LONG else own)[segment] = tuple(self.encode_segment(segment))
+            known = ChainMap(own, self.known) if own else self.known
             ids = np.fromiter(chain.from_iterable(map(known.__getitem__, segments)), np.int32)
-        return ids if end_id is None else np.append(ids, np.int32(end_id))
-
-    def encode_once(self, segments: list[str], end_id: int | None) -> np.ndarray:
-        """For a text with more segments than are remembered."""
-        ids = np.fromiter(chain.from_iterable(map(self.encode_segment, segments)), np.int32)
-        return ids if end_id is None else np.append(ids, np.int32(end_id))
+        return np.append(ids, np.int32(self.end_id)) if end and self.end_id >= 0 else ids
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: special ids say nothing, runs of byte pieces are read as UTF-8, the leading space goes."""
@@ -237,12 +242,12 @@ def table_of(path: str) -> PrefixTable:
     return _tables[path]
 
 
-def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
+def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
     """id_col and ids array<int> of every whole text. model: path of the model file on every machine."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = table_of(model).encode
-        found = [encode(t or "", end_id) for t in batch.column(1).to_pylist()]
+        found = [encode(t or "", end) for t in batch.column(1).to_pylist()]
         offsets = np.zeros(len(found) + 1, np.int32)
         np.cumsum([len(x) for x in found], out=offsets[1:])
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()))

@@ -301,6 +301,20 @@ def test_sentencepiece_random():
         assert table.decode(some) == library.decode(some)
 
 
+def test_sentencepiece_memory(monkeypatch):
+    """Whatever is remembered or let go, the ids are the library's; long segments are not kept."""
+    import sentencepiece
+
+    model = piece_model()
+    library, table, r = sentencepiece.SentencePieceProcessor(model_file=model), spm.PrefixTable(model), random.Random(7)
+    monkeypatch.setattr(spm, "SEGMENTS", 50)
+    for n in (10, 40, 30, 200, 5, 60):
+        text = " ".join("".join(r.choice("abcdeü") for _ in range(r.choice((2, 5, 300)))) for _ in range(n))
+        assert table.encode(text).tolist() == library.encode(text, add_eos=True)
+        assert len(table.known) <= 50 and all(len(x) < spm.LONG for x in table.known)
+    assert table.encode("", end=False).tolist() == [] and table.encode("a", end=False).tolist() == library.encode("a")
+
+
 def test_contamination(spark, docs, empty):
     item = " ".join(words(30, 77))
     broken = item.replace("w", "v", 2)
