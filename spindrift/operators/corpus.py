@@ -50,8 +50,10 @@ def rerank_order(sources: DataFrame) -> DataFrame:
 def page_sources(rows: DataFrame) -> DataFrame:
     """One source for each url_key of rows (url_key, order, url, title, content, abstract): first non-empty values, distinct abstracts in order."""
     filled = lambda c: F.min_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("order")))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("order", "abstract"))), lambda x: x["abstract"])
-    return rows.groupBy("url_key").agg(F.min("order").alias("first_order"), F.min_by("url", "order").alias("url"), F.coalesce(filled("title"), F.lit("")).alias("title"), F.coalesce(filled("content"), F.lit("")).alias("content"), F.array_distinct(F.filter(listed, lambda a: a != "")).alias("abstracts"))
+    once = rows.where("abstract <> ''").groupBy("url_key", "abstract").agg(F.min("order").alias("order"))  # repeats go before anything is gathered
+    listed = once.groupBy("url_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "abstract"))), lambda x: x["abstract"]).alias("abstracts"))
+    fields = rows.groupBy("url_key").agg(F.min("order").alias("first_order"), F.min_by("url", "order").alias("url"), F.coalesce(filled("title"), F.lit("")).alias("title"), F.coalesce(filled("content"), F.lit("")).alias("content"))
+    return fields.join(listed, "url_key", "left").withColumn("abstracts", F.coalesce("abstracts", F.array().cast("array<string>")))
 
 
 def citations(sources: DataFrame, answers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import dates, documents, dom, html, markdown, scores, text, urls
 from spindrift.functions import json as js
 from spindrift.operators import budget, corpus, merge, passages, ranking, rerank
+from spindrift.operators.numbering import numbered
 from spindrift.plans.registry import ORACLES, QUERIES, load, query
 from spindrift.sources import stores
 
@@ -293,7 +294,7 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC24, H1-H9, T6, U9: metadata, markdown, links and images of every page."""
+    """Metadata, links and images of every page."""
     found = load(spark, sf_dir, "pages").select("page_id", html.page("html", "url").alias("p"))
     return found.select("page_id", "p.title", "p.description", "p.lang", F.length("p.markdown").alias("markdown_chars"), F.size("p.links").alias("n_links"), F.size("p.images").alias("n_images"))
 
@@ -584,10 +585,8 @@ def link_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, page_id = F.col("page_id") % 5, F.col("page_id").cast("string")
     url = F.when(n == 0, F.concat(F.lit("https://arxiv.org/abs/"), page_id)).when(n == 1, F.concat(F.lit("https://www.mdpi.com/"), page_id)).otherwise(F.col("url"))
     classed = load(spark, sf_dir, "pages").select("page_id", url.alias("url"), documents.link_class(url).alias("class"))
-    sizes = classed.groupBy("class").agg(F.count("*").alias("n"))
-    before = sizes.select("class", F.coalesce(F.sum("n").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("class").orderBy("page_id"))
-    return classed.withColumn("within", within).join(F.broadcast(before), "class").select("page_id", "url", "class", (F.col("within") + F.col("before")).cast("int").alias("place"))
+    placed = numbered(classed, [], [F.col("class"), F.col("page_id")], "place")
+    return placed.select("page_id", "url", "class", F.col("place").cast("int").alias("place"))
 
 
 @query(r"""
