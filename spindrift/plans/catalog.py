@@ -601,11 +601,18 @@ def doi_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", "r.title", "r.authors", "r.published_date")
 
 
-@query()
+@query(rf"""
+WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS inner_ FROM pages),
+p AS (SELECT page_id, unnest(list_filter(list_transform(regexp_split_to_array(inner_, '</?p>|</?h1>'), lambda x: {CLEAN.format("replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")}), lambda x: x <> '')) AS said, generate_subscripts(list_filter(list_transform(regexp_split_to_array(inner_, '</?p>|</?h1>'), lambda x: {CLEAN.format("replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")}), lambda x: x <> ''), 1) AS at_ FROM a),
+q AS (SELECT *, regexp_matches(lower(said), 'privacy policy|cookie policy|terms of service|all rights reserved|sign up|subscribe|advertisement|sponsored content|related posts') AS noise, row_number() OVER (PARTITION BY page_id, at_ = 1, lower(said) ORDER BY at_) AS nth FROM p)
+SELECT page_id, string_agg(CASE WHEN at_ = 1 THEN '# ' || said ELSE said END, chr(10) || chr(10) ORDER BY at_) FILTER (NOT noise AND (at_ = 1 OR nth = 1 OR length(said) <= 10)) AS markdown,
+    string_agg({CLEAN.format("replace(said, '|', ' ')")}, chr(10) ORDER BY at_) AS plain,
+    string_agg({CLEAN.format("replace(replace(replace(replace(replace(said, chr(92) || '*', '*'), chr(92) || '_', '_'), '**', ''), '__', ''), '|', ' ')")}, chr(10) ORDER BY at_) AS abstract FROM q GROUP BY page_id
+""")
 def final_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished markdown and plain texts of every page."""
-    read = load(spark, sf_dir, "pages").select("page_id", html.page("html", "url")["markdown"].alias("m"))
-    return read.select("page_id", F.length(markdown.finalize("m")).alias("markdown_chars"), F.length(markdown.markdown_text("m")).alias("text_chars"), F.length(markdown.abstract_text("m")).alias("abstract_chars"))
+    """Finished markdown and plain texts of every page, with and without emphasis."""
+    read = load(spark, sf_dir, "pages").select("page_id", dom.content("html", "url")["markdown"].alias("m"))
+    return read.select("page_id", markdown.finalize(markdown.strip_links("m")).alias("markdown"), markdown.markdown_text("m").alias("plain"), markdown.abstract_text("m").alias("abstract"))
 
 
 @query("""
