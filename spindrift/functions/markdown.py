@@ -56,11 +56,12 @@ def classified(line: str) -> Line:
         return Line("fence", line, text)
     if len(cells) > 1 and all(len(c.strip().strip(":")) >= 3 and set(c.strip().strip(":")) == {"-"} for c in cells):
         return Line("divider", line, text)
+    mark = marked(text)
     if text.count("|") >= 2:
-        return Line("table", line, text)
+        return Line("table", line, text[mark[1] :] if mark else text)
     if only <= {"=", "-"} and len(text) >= 2 and " " not in text or len(only) == 1 and only <= {"-", "*", "_"} and sum(map(text.count, only)) >= 3:
         return Line("rule", line, text)
-    if mark := marked(text):
+    if mark:
         return Line(mark[0], line, text[mark[1] :])
     label = closing(text, 0, "[", "]") if text[0] == "[" else -1
     if label > 1 and text[label + 1 : label + 2] == ":" and text[label + 2 : label + 3].isspace() and text[label + 3 :].strip():
