@@ -313,7 +313,18 @@ def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "c.engine", "c.markdown", F.col("c.counts")["paragraphs"].alias("paragraphs"), F.col("c.sections")["footer"].alias("footer"), F.sort_array(F.map_keys("c.sections")).alias("zones"))
 
 
-@query()
+ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+
+
+@query(rf"""
+WITH v AS (SELECT page_id, html, {CLEAN.format(ENTITIES.format("regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"))} AS said,
+    {CLEAN.format(ENTITIES.format("array_to_string(regexp_extract_all(html, '(?s)<a [^>]*>(.*?)</a>', 1), ' ')"))} AS linked FROM pages),
+f AS (SELECT page_id, octet_length(encode(html)) AS size, length(said) AS chars, length(linked) / greatest(1, length(said)) AS links, len(regexp_extract_all(said, '[,.!?;:。！？；]')) / greatest(1, length(said)) AS marks,
+    len(regexp_extract_all(html, '<script')) / len(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>', '<s>', 'g'), '<[a-zA-Z]')) AS scripts,
+    regexp_matches(html, 'id="(app|root|__next)"') AS spa, contains(html, '__NEXT_DATA__') AS nextjs, regexp_matches(lower(said), 'cloudflare|just a moment|verify you are human|access denied|please enable javascript|security check|checking your browser') AS blocked FROM v)
+SELECT page_id, 'html' AS kind, chars::INTEGER AS text_chars, spa, nextjs, blocked, round(least(1, chars / 2500 * 0.72 + (1 - least(1, links)) * 0.16 + least(1, marks * 90) * 0.07 + (1 - least(1, scripts)) * 0.05), 6) AS content_score,
+    round(least(1, greatest(0, size - 32) / (1200 - 32)) * 0.22 + least(1, greatest(0, chars - 220) / (1800 - 220)) * 0.48 + 0.15 + greatest(0, 1 - scripts * 2) * 0.15, 6) AS quality FROM f
+""")
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content kind, signals, quality scores and blocking rules."""
     s = load(spark, sf_dir, "pages").select("page_id", "url", "html", html.signals("html").alias("s"))
