@@ -18,6 +18,8 @@ __all__ = ["ORACLES", "QUERIES"]
 TOKENS = r"list_distinct(list_concat(regexp_extract_all(lower({0}), '[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*'), regexp_extract_all(lower({0}), '[㐀-鿿぀-ヿㇰ-ㇿ々ーｦ-ﾝ]{{2,}}')))"
 CLEAN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
+#: SQL that reads the entities of a text.
+ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
 TITLE = CLEAN.format(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)")
 
 SEARCH = f"""
@@ -292,11 +294,15 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", html.title_native("html").alias("title"), F.size(hrefs).alias("n_links"), F.coalesce(F.get(hrefs, F.lit(0)), F.lit("")).alias("first_link"))
 
 
-@query()
+@query(rf"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)">.*?</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1)) AS said FROM pages),
+n AS (SELECT page_id, count(DISTINCT href || chr(0) || said) AS n FROM l GROUP BY page_id)
+SELECT pages.page_id, {ENTITIES.format(TITLE)} AS title, '' AS description, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, coalesce(n, 0)::INTEGER AS n_links, 0 AS n_images, regexp_extract(url, '^https?://[^/]+', 0) || regexp_extract(html, '<a href="([^"]*)"', 1) AS first_link FROM pages LEFT JOIN n ON n.page_id = pages.page_id
+""")
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata, links and images of every page."""
     found = load(spark, sf_dir, "pages").select("page_id", html.page("html", "url").alias("p"))
-    return found.select("page_id", "p.title", "p.description", "p.lang", F.length("p.markdown").alias("markdown_chars"), F.size("p.links").alias("n_links"), F.size("p.images").alias("n_images"))
+    return found.select("page_id", "p.title", "p.description", "p.lang", F.size("p.links").alias("n_links"), F.size("p.images").alias("n_images"), F.get("p.links", F.lit(0))["url"].alias("first_link"))
 
 
 PLAIN = r"regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&copy;', '©', 'g'), '&middot;', '·', 'g')"
@@ -313,9 +319,6 @@ def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "c.engine", "c.markdown", F.col("c.counts")["paragraphs"].alias("paragraphs"), F.col("c.sections")["footer"].alias("footer"), F.sort_array(F.map_keys("c.sections")).alias("zones"))
 
 
-ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
-
-
 @query(rf"""
 WITH v AS (SELECT page_id, html, {CLEAN.format(ENTITIES.format("regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"))} AS said,
     {CLEAN.format(ENTITIES.format("array_to_string(regexp_extract_all(html, '(?s)<a [^>]*>(.*?)</a>', 1), ' ')"))} AS linked FROM pages),
