@@ -291,7 +291,7 @@ class Sets:
 
     def beside(self, asked: DataFrame, *columns: str) -> DataFrame:
         """asked (with node), and those columns of its set; sets that are not asked for are left out before any is shuffled."""
-        asked = durable(asked.join(self.places, "node"))
+        asked = durable(asked.join(self.places.hint("merge"), "node"))
         needed = durable(asked.select("place").distinct())
         # one plan at every size: asked is never the side that is copied to all tasks
         return asked.hint("merge").join(self.rows.select("place", *columns).join(needed, "place", "left_semi"), "place").drop("place")
@@ -315,8 +315,8 @@ def beside(targets: DataFrame, queries: DataFrame, judge, schema: str, sets: Set
     """
     many = durable(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")))
     own = ["node"] if sets else ["node", "payload"]
-    copies = targets.join(many, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    spread = queries.join(many, "part").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    copies = targets.join(many.hint("merge"), "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    spread = queries.join(many.hint("merge"), "part").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     rows = copies.select("part", "salt", F.lit(0).alias("kind"), *own).unionByName(spread.select("part", "salt", F.lit(1).alias("kind"), *own))
     if sets:  # payloads come last, once it is known where they are needed
         rows = sets.beside(rows, "tokens").select("part", "salt", "kind", "node", F.col("tokens").alias("payload"))
@@ -436,9 +436,9 @@ def group_queries(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     The nodes of a token are dealt to tasks in bounded numbers, each beside what the token's parts say of themselves.
     """
     left = (F.col("size") - F.col("place")).cast("long")
-    labelled = durable(shared.join(sizes, "node", "left").select("token", "node", F.col("size").cast("long").alias("size"), left.alias("left"), F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.coalesce("part", "node").alias("part")))
+    labelled = durable(shared.join(sizes.hint("merge"), "node", "left").select("token", "node", F.col("size").cast("long").alias("size"), left.alias("left"), F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.coalesce("part", "node").alias("part")))
     several = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    wide = durable(labelled.join(several, "token", "left_semi"))
+    wide = durable(labelled.join(several.hint("merge"), "token", "left_semi"))
     says = wide.groupBy("token", "part").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("left").alias("left"))
     targets = says.select(F.col("token").alias("part"), F.col("part").alias("node"), numbers("component", "n", "least", "most", "left").alias("payload"))
     queries = wide.select(F.col("token").alias("part"), "node", numbers("component", "n", "size", "left").alias("payload"))
