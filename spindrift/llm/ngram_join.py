@@ -46,9 +46,9 @@ from spindrift.llm.components import connected_components
 
 WORDS, LEAST, MOST = 5, 80, 100  # LEAST / MOST is the similarity
 #: Frequent shingles: counted where LOCAL copies lie in one part of COUNTED shingles, kept from FREQUENT on, MOST_FREQUENT at most.
-LOCAL, COUNTED, FREQUENT, MOST_FREQUENT = 3, 2_000_000, 32, 500_000
+LOCAL, COUNTED, FREQUENT, MOST_FREQUENT = 3, 1_000_000, 32, 500_000
 #: Nodes of a shingle that give all pairs; members of a part of a group; postings of a bucket; nodes of a list before it is split; queries of a part in one task.
-SMALL, PART, BUCKET, SPLIT, QUERIES = 6, 64, 1_000_000, 200_000, 500
+SMALL, PART, BUCKET, SPLIT, QUERIES = 6, 64, 600_000, 200_000, 500
 #: Sets are hashes: nothing in them repeats. Small row groups keep few of them in a writer's memory.
 TABLE_OPTIONS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -58,7 +58,7 @@ class Hashes(dict):
     """64-bit hash of each word met."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
