@@ -265,7 +265,17 @@ def page_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.page_slots(pages, 15, ["batch"])
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE l AS (SELECT doc_id % 50 AS question, doc_id AS source, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS said FROM documents),
+k AS (SELECT *, replace(replace(lower({CLEAN.format("said")}), 'ß', 'ss'), 'ς', 'σ') AS same FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY source, line) AS i FROM k WHERE same <> ''),
+r AS (SELECT DISTINCT question, 0::BIGINT AS i, 0::BIGINT AS used, (-1)::BIGINT AS closed, []::VARCHAR[] AS seen, (-1)::BIGINT AS source, ''::VARCHAR AS said, false AS takes FROM n
+    UNION ALL SELECT x.question, x.i, CASE WHEN x.takes THEN x.used + length(x.said) ELSE x.used END, CASE WHEN x.closes THEN x.source ELSE x.closed END, CASE WHEN x.takes THEN list_append(x.seen, x.same) ELSE x.seen END, x.source, x.said, x.takes
+    FROM (SELECT *, NOT skip AND NOT closes AS takes FROM (SELECT *, NOT skip AND over_ AND (NOT cut OR said = '') AS closes FROM (
+        SELECT n.question, n.i, r.used, r.closed, r.seen, n.source, n.same, r.used >= 4000 OR r.closed = n.source OR list_contains(r.seen, n.same) AS skip, length(n.said) > 4000 - r.used AS over_, length(n.said) > 4000 - r.used AND r.used = 0 AS cut,
+            CASE WHEN length(n.said) > 4000 - r.used AND r.used = 0 THEN {CLEAN.format("left(n.said, 4000)")} ELSE n.said END AS said FROM r JOIN n ON n.question = r.question AND n.i = r.i + 1))) x),
+t AS (SELECT *, max(used) OVER (PARTITION BY question) AS used_chars FROM r)
+SELECT question, used_chars::INTEGER AS used_chars, (row_number() OVER (PARTITION BY question ORDER BY i) - 1)::INTEGER AS "at", source, length(said)::INTEGER AS n_chars FROM t WHERE takes
+""")
 def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abstracts of each question's sources within a budget of characters."""
     docs = load(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("question"), F.col("doc_id").alias("source"), F.split("text", "\n").alias("abstracts"))
