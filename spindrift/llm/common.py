@@ -41,6 +41,25 @@ def durable(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+_kept: list[tuple[object, object]] = []
+
+
+def one_a_worker(key: object, make: Callable[[], object]) -> object:
+    """What make gives, kept by a worker while the same key asks for it; whatever was kept before goes first.
+
+    Workers outlive stages, so an operator's tables must not stay when the next operator runs.
+    """
+    if not _kept or not (_kept[0][0] is key or isinstance(key, str) and _kept[0][0] == key):
+        _kept.clear()
+        _kept.append((key, make()))
+    return _kept[0][1]
+
+
+def let_go() -> None:
+    """Drops what a worker keeps."""
+    _kept.clear()
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.codes import mixed
-from spindrift.llm.common import durable, text_slices
+from spindrift.llm.common import durable, let_go, text_slices
 from spindrift.llm.components import connected_components
 
 WORDS, LEAST, MOST = 5, 80, 100  # LEAST / MOST is the similarity
@@ -144,6 +144,7 @@ SUMMARY = "kind int, doc_id long, token long, n long, node long, place long, bit
 
 def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SUMMARY of a part of the documents; place is a number that no other row has."""
+    let_go()
     held, size, seen, made = [], 0, set(), TaskContext.get().partitionId() << 33
 
     def rows(kind: int, doc_id, token, n, node, place, bits, tokens) -> pa.RecordBatch:
@@ -183,6 +184,7 @@ def post(shared, buckets: int):
     """Postings of the prefixes, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _hashes.clear()
         frequent, classes, copies = shared.value
         split = frequent[copies > SPLIT]
         held, signs, sizes, total = [], [], [], 0

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from spindrift.llm.common import map_texts
+from spindrift.llm.common import map_texts, one_a_worker
 
 MARK = "▁"
 #: Remembered segments and pairs a worker; beyond that the memory starts anew.
@@ -232,14 +232,9 @@ def lenient_rest(data: bytes) -> str:
     return "".join(out)
 
 
-_tables: dict[str, PrefixTable] = {}
-
-
 def table_of(path: str) -> PrefixTable:
     """The table of a model file, built once a worker."""
-    if path not in _tables:
-        _tables[path] = PrefixTable(path)
-    return _tables[path]
+    return one_a_worker(path, lambda: PrefixTable(path))
 
 
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import codes
-from spindrift.llm.common import durable, map_texts, remainder
+from spindrift.llm.common import durable, map_texts, one_a_worker, remainder
 
 PER_CLASS, SAMPLE_CHARS, NEIGHBOURS, BLOCK, FIRST_OPEN, WIDE, BATCH = 2000, 32_000_000, 10, 128, 64, 12, 64
 HEADS = (4, 5, 6)
@@ -404,14 +404,9 @@ def calibrate(taught: DataFrame, rows: pd.DataFrame, index: Index, k: int) -> tu
     return isotonic(np.round(got["share"].to_numpy(), 9), toxic.astype(float), index.rates[toxic])
 
 
-_held: list[tuple[tuple, Index]] = []
-
-
 def held_index(parts: tuple) -> Index:
     """The index of these parts, made once a worker."""
-    if not _held or _held[0][0] is not parts:
-        _held[:] = [(parts, Index(*parts).open())]
-    return _held[0][1]
+    return one_a_worker(parts, lambda: Index(*parts).open())
 
 
 def scorer(docs: DataFrame, index: Index, k: int):
