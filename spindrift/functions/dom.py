@@ -68,7 +68,7 @@ class Node:
         return f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".lower()
 
     def has_class(self, name: str) -> bool:
-        return name in self.attrs.get("class", "").lower().split()
+        return name.lower() in self.attrs.get("class", "").lower().split()
 
 
 class Builder(HTMLParser):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.plans.registry import load, query
-from spindrift.sources import payloads
+from spindrift.sources import payloads, result_pages
 
 HEAD = r"trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'))"
 
@@ -156,3 +156,56 @@ def paged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC: what a paging reader takes: pages up to the first short one."""
     pages = load(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 6).alias("page"), "o_orderkey")
     return payloads.pages_until(pages, ["o_custkey"], 2).groupBy("o_custkey").agg(F.count("*").alias("hits"), F.max("page").alias("last_page"))
+
+
+def shown(spark: SparkSession, sf_dir: str, service: str, block) -> DataFrame:
+    """One result page for each source, with a block for each of its documents, read as hits of the service."""
+    d = load(spark, sf_dir, "documents").withColumn("i", F.col("doc_id").cast("string"))
+    pages = d.select((F.col("doc_id") % 50).alias("page"), F.struct("doc_id", F.concat(*block).alias("b")).alias("x")).groupBy("page").agg(F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "")).alias("html"))
+    return result_pages.result_hits(pages, service, ["page"]).select("page", "engine", "position", "url", "title", "snippet")
+
+
+SHOWN = "(row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id))::INTEGER"
+
+
+@query(f"""
+SELECT doc_id % 50 AS page, 'duckduckgo' AS engine, {SHOWN} AS position, 'https://e.example/' || doc_id || '?a=1' AS url, 'Doc ' || doc_id || ' of ' || source AS title, 'said in ' || lang AS snippet FROM documents
+""")
+def duckduckgo_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC2, L9: blocks of a result page behind redirect links."""
+    L = F.lit
+    return shown(spark, sf_dir, "duckduckgo", (L('<div class="result web"><h2><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fe.example%2F'), "i", L('%3Fa%3D1&rut=x">Doc <b>'), "i", L("</b> of "), "source", L('</a></h2><a class="result__snippet">said  in '), "lang", L('</a></div><div class="result"><a class="result__a" href="/settings">inside</a></div>')))
+
+
+@query(f"""
+SELECT doc_id % 50 AS page, 'google' AS engine, {SHOWN} AS position, CASE WHEN doc_id % 2 = 0 THEN 'https://e.example/a b/' || doc_id ELSE 'https://f.example/' || doc_id END AS url, 'Doc ' || doc_id AS title, 'said in ' || lang AS snippet FROM documents
+""")
+def google_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4, L9: blocks of a result page, links plain or behind a redirect."""
+    L = F.lit
+    href = F.when(F.col("doc_id") % 2 == 0, F.concat(L("/url?q=https://e.example/a%20b/"), "i", L("&sa=U&ved=1"))).otherwise(F.concat(L("https://f.example/"), "i"))
+    return shown(spark, sf_dir, "google", (L('<div class="g"><a href="'), href, L('"><h3>Doc '), "i", L('</h3></a><div class="VwiC3b"><script>x()</script>said <em>in</em> '), "lang", L("</div></div>")))
+
+
+@query(f"""
+SELECT doc_id % 50 AS page, 'google_news' AS engine, {SHOWN} AS position, 'https://n.example/' || doc_id AS url, 'News ' || doc_id AS title, source || ' / ' || lang || ' ago' AS snippet FROM documents
+""")
+def google_news_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5: news whose addresses stand in base64 in their links."""
+    L = F.lit
+    raw = F.concat(F.unhex(L("08132222")), F.encode(F.concat(L("https://n.example/"), "i"), "UTF-8"), F.unhex(L("D20100")))
+    token = F.translate(F.regexp_replace(F.base64(raw), r"[=\s]", ""), "+/", "-_")
+    block = (L('<div class="xrnccd"><article><a href="./articles/'), token, L('?hl=en"></a><h3>News '), "i", L('</h3><a data-n-tid="9" href="/p">'), "source", L("</a><time>"), "lang", L(" ago</time></article></div>"))
+    return shown(spark, sf_dir, "google_news", (*block, *block))
+
+
+@query("""
+SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'doi' WHEN 1 THEN 'reddit' WHEN 2 THEN 'pdf' WHEN 3 THEN 'github' WHEN 4 THEN 'paper' WHEN 5 THEN 'markdown' ELSE 'html' END AS extractor FROM pages
+""")
+def extractors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC18, SRC19, SRC30, F14: which extractor reads a page."""
+    i, n = F.col("page_id").cast("string"), F.col("page_id") % 7
+    url = F.when(n == 0, F.concat(F.lit("https://doi.org/10.1/"), i)).when(n == 1, F.concat(F.lit("https://old.reddit.com/r/a/comments/"), i)).when(n == 3, F.concat(F.lit("https://GitHub.com/a/b"), i)).otherwise(F.col("url"))
+    kind = F.when(n == 2, "pdf").when(n == 5, "markdown").otherwise("html")
+    page = F.when(n == 4, F.concat(F.lit('<meta name="citation_title" content="x">'), "html")).otherwise(F.col("html"))
+    return load(spark, sf_dir, "pages").select("page_id", result_pages.extractor_of(url, F.lit("text/html"), kind, page).alias("extractor"))
