@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,28 @@ def durable(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def same_plan_at_every_size(spark: SparkSession) -> Iterator[None]:
+    """Within it no join is turned into a broadcast by the size of its input, only by a hint; the session's settings come back after it."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        yield
+    finally:
+        for n, value in before.items():
+            if value is None:
+                spark.conf.unset(n)
+            else:
+                spark.conf.set(n, value)
+
+
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Has the driver's collector run, so that Spark removes the shuffle files that no plan needs any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 _kept: list[tuple[object, object]] = []
 
 

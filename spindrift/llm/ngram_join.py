@@ -41,13 +41,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.codes import mixed
-from spindrift.llm.common import durable, let_go, text_slices
+from spindrift.llm.common import drop_old_shuffles, durable, let_go, same_plan_at_every_size, text_slices
 from spindrift.llm.components import connected_components
 
 WORDS, LEAST, MOST = 5, 80, 100  # LEAST / MOST is the similarity
 #: Frequent shingles: counted where LOCAL copies lie in one part of COUNTED shingles, kept from FREQUENT on, MOST_FREQUENT at most.
 LOCAL, COUNTED, FREQUENT, MOST_FREQUENT = 3, 1_000_000, 32, 500_000
 #: Nodes of a shingle that give all pairs; members of a part of a group; postings of a bucket; nodes of a list before it is split; queries of a part in one task.
+#: Numbers of rows that a filter ships to every task; beyond that it is a join.
+MOST_SHIPPED = 4_000_000
 SMALL, PART, BUCKET, SPLIT, QUERIES = 6, 64, 600_000, 200_000, 500
 #: Sets are hashes: nothing in them repeats. Small row groups keep few of them in a writer's memory.
 TABLE_OPTIONS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
@@ -177,6 +179,16 @@ def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from frequent()
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers in the fewest bytes that hold them all, after a byte that says how many."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1)
+
+
 POSTINGS = "bucket int, tokens binary, nodes binary, places binary, signs binary, sizes binary"
 
 
@@ -209,7 +221,7 @@ def post(shared, buckets: int):
             for b in np.flatnonzero(np.diff(cuts)):
                 some = order[cuts[b] : cuts[b + 1]]
                 own, at = np.unique(nodes[some], return_inverse=True)
-                out.append({"bucket": int(b), "tokens": tokens[some].tobytes(), "nodes": at.astype(np.uint32).tobytes(), "places": places[some].astype(np.uint32).tobytes(), "signs": sign[own].tobytes(), "sizes": size[own].astype(np.uint32).tobytes()})
+                out.append({"bucket": int(b), "tokens": tokens[some].tobytes(), "nodes": packed(at), "places": packed(places[some]), "signs": sign[own].tobytes(), "sizes": packed(size[own])})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("tokens", "nodes", "places", "signs", "sizes"))]))
 
         for batch in batches:
@@ -243,10 +255,11 @@ def candidates(shared):
 
 def bucket_candidates(table: pa.Table, split: np.ndarray) -> pa.Table:
     """One bucket's pairs and widely shared postings; of the lists named in split it may hold a piece only."""
-    col = lambda name, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
-    tokens, places = np.concatenate(col("tokens", np.int64)), np.concatenate(col("places", np.uint32)).astype(np.int64)
+    col = lambda name: [np.frombuffer(x.as_py(), np.int64) for x in table.column(name)]
+    small = lambda name: [unpacked(x.as_py()) for x in table.column(name)]
+    tokens, places = np.concatenate(col("tokens")), np.concatenate(small("places")).astype(np.int64)
     signs, sizes, nodes = [], [], []
-    for own, size, at in zip(col("signs", np.int64), col("sizes", np.uint32), col("nodes", np.uint32), strict=True):
+    for own, size, at in zip(col("signs"), small("sizes"), small("nodes"), strict=True):
         signs.append(own[at])
         sizes.append(size[at].astype(np.int64))
         nodes.append(at)
@@ -293,10 +306,10 @@ class Sets:
 
     def beside(self, asked: DataFrame, *columns: str) -> DataFrame:
         """asked (with node), and those columns of its set; sets that are not asked for are left out before any is shuffled."""
-        asked = durable(asked.join(self.places.hint("merge"), "node"))
+        asked = durable(asked.join(self.places, "node"))
         needed = durable(asked.select("place").distinct())
-        # one plan at every size: asked is never the side that is copied to all tasks
-        return asked.hint("merge").join(self.rows.select("place", *columns).join(needed, "place", "left_semi"), "place").drop("place")
+        needed = F.broadcast(needed) if needed.count() <= MOST_SHIPPED else needed
+        return asked.join(self.rows.select("place", *columns).join(needed, "place", "left_semi"), "place").drop("place")
 
 
 def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -317,8 +330,8 @@ def beside(targets: DataFrame, queries: DataFrame, judge, schema: str, sets: Set
     """
     many = durable(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")))
     own = ["node"] if sets else ["node", "payload"]
-    copies = targets.join(many.hint("merge"), "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    spread = queries.join(many.hint("merge"), "part").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    copies = targets.join(many, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    spread = queries.join(many, "part").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     rows = copies.select("part", "salt", F.lit(0).alias("kind"), *own).unionByName(spread.select("part", "salt", F.lit(1).alias("kind"), *own))
     if sets:  # payloads come last, once it is known where they are needed
         rows = sets.beside(rows, "tokens").select("part", "salt", "kind", "node", F.col("tokens").alias("payload"))
@@ -378,7 +391,7 @@ def qualifying(queries: DataFrame, unions: DataFrame, sets: Sets) -> DataFrame:
 
     union = unions.select("part", "least", F.col("bits").alias("union"), "alone")
     asked = sets.beside(queries, "bits")
-    rows = asked.join(union.hint("merge"), "part").select("part", "node", "least", "union", "alone", "bits")
+    rows = asked.join(union, "part").select("part", "node", "least", "union", "alone", "bits")
     return rows.mapInArrow(judge, "part long, node long")
 
 
@@ -438,9 +451,9 @@ def group_queries(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     The nodes of a token are dealt to tasks in bounded numbers, each beside what the token's parts say of themselves.
     """
     left = (F.col("size") - F.col("place")).cast("long")
-    labelled = durable(shared.join(sizes.hint("merge"), "node", "left").select("token", "node", F.col("size").cast("long").alias("size"), left.alias("left"), F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.coalesce("part", "node").alias("part")))
+    labelled = durable(shared.join(sizes, "node", "left").select("token", "node", F.col("size").cast("long").alias("size"), left.alias("left"), F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(1)).cast("long").alias("n"), F.coalesce("part", "node").alias("part")))
     several = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    wide = durable(labelled.join(several.hint("merge"), "token", "left_semi"))
+    wide = durable(labelled.join(several, "token", "left_semi"))
     says = wide.groupBy("token", "part").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("left").alias("left"))
     targets = says.select(F.col("token").alias("part"), F.col("part").alias("node"), numbers("component", "n", "least", "most", "left").alias("payload"))
     queries = wide.select(F.col("token").alias("part"), "node", numbers("component", "n", "size", "left").alias("payload"))
@@ -453,6 +466,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = durable(docs.mapInArrow(summarise, SUMMARY), **TABLE_OPTIONS)
     summary = rows.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
+    with same_plan_at_every_size(spark):
+        of_node = least_ids(spark, rows, summary)
+    drop_old_shuffles(spark)
+    out = summary.join(of_node, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("of_all")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def least_ids(spark, rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """For each node the least id of its component (of_all); durable."""
     counted = rows.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas().sort_values("token")
     tokens, copies = frequent["token"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
@@ -464,8 +486,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made = durable(sets.rows.select("node", "tokens").mapInArrow(post(shared, buckets), POSTINGS).groupBy("bucket").applyInArrow(candidates(shared), CANDIDATES))
     pairs = durable(made.where("kind = 0").select(F.col("a").alias("part"), F.col("b").alias("node")).distinct())
     wide = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "place")
+    drop_old_shuffles(spark)
     links = verified(sets, pairs.select("part", F.col("part").alias("node")).distinct(), pairs, single=True)
     groups = connected_components(links)
+    drop_old_shuffles(spark)
 
     n = durable(groups.groupBy("component").agg(F.count("*").alias("n")))
     part = F.when(F.col("n") > PART, F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)))).otherwise(F.col("component"))
@@ -479,6 +503,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the least id of each node, then of each component; joined only where a component has several nodes
     by_node = durable(summary.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")))
     least = durable(groups.join(by_node, "node").groupBy("component").agg(F.min("least").alias("of_all")))
-    of_node = durable(groups.join(least, "component").select("node", "of_all").unionByName(by_node.join(groups, "node", "left_anti").select("node", F.col("least").alias("of_all"))))
-    out = summary.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("of_all")).otherwise(F.col("doc_id")).alias("component_id"))
+    return durable(groups.join(least, "component").select("node", "of_all").unionByName(by_node.join(groups, "node", "left_anti").select("node", F.col("least").alias("of_all"))))

@@ -83,7 +83,7 @@ def test_pieces_of_one_list():
     import numpy as np
     import pyarrow as pa
 
-    row = {"tokens": np.array([5, 5, 9], np.int64).tobytes(), "nodes": np.array([0, 1, 0], np.uint32).tobytes(), "places": np.zeros(3, np.uint32).tobytes(), "signs": np.array([11, 12], np.int64).tobytes(), "sizes": np.array([10, 10], np.uint32).tobytes()}
+    row = {"tokens": np.array([5, 5, 9], np.int64).tobytes(), "nodes": ngram_join.packed(np.array([0, 1, 0])), "places": ngram_join.packed(np.zeros(3, np.int64)), "signs": np.array([11, 12], np.int64).tobytes(), "sizes": ngram_join.packed(np.array([10, 10]))}
     table = pa.Table.from_pylist([row])
     some = ngram_join.bucket_candidates(table, np.array([], np.int64)).to_pylist()
     assert [(x["kind"], x["a"], x["b"]) for x in some] == [(0, 11, 12)]
