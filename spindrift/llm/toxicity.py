@@ -315,8 +315,8 @@ def blocks_of(example: np.ndarray, term: np.ndarray, value: np.ndarray, n: int)
         if b - a <= BLOCK:
             continue
         own = order[a:b]
-        entries = codes.ranges(at[own], at[own + 1] - at[own])
-        row = np.repeat(np.arange(b - a), at[own + 1] - at[own])
+        entries = codes.ranges(at[own], at[own + 1] - at[own]).astype(np.int32)
+        row = np.repeat(np.arange(b - a, dtype=np.int32), at[own + 1] - at[own])
 
         def cosines(i: int, own=own, entries=entries, row=row) -> np.ndarray:
             dense = np.zeros(int(term.max()) + 1)
@@ -341,17 +341,19 @@ def build(rows: pd.DataFrame, class_counts: dict[int, int]) -> Index:
     if not labels.sum(0).all() or not any(map(len, terms)):
         return blank
     ids = pd.Series(rows["doc_id"].to_numpy(np.int64)).groupby(group).min().to_numpy()
-    example, counts = np.repeat(np.arange(len(first)), [len(t) for t in terms]), np.concatenate([rows["counts"].iloc[i] for i in first])
-    vocabulary, term = np.unique(np.concatenate(terms), return_inverse=True)
+    example, counts = np.repeat(np.arange(len(first), dtype=np.int32), [len(t) for t in terms]), np.concatenate([rows["counts"].iloc[i] for i in first])
+    vocabulary = np.unique(np.concatenate(terms))
+    term = np.concatenate([np.searchsorted(vocabulary, t).astype(np.int32) for t in terms])
     held = np.stack([np.bincount(term, labels[example, c], minlength=len(vocabulary)) for c in (0, 1)])
     value = (1 + np.log(counts)) * relevance(held, labels)[term]
     norm = np.sqrt(np.bincount(example, value * value, minlength=len(first)))
     value /= np.where(norm, norm, 1)[example]
     order = blocks_of(example, term, value, len(first))
-    place = np.empty(len(first), np.int64)
+    del value
+    place = np.empty(len(first), np.int32)
     place[order] = np.arange(len(first))
     example = place[example]
-    by = np.lexsort([example, term])
+    by = np.argsort(term.astype(np.int64) * len(first) + example)
     lengths = np.bincount(term, minlength=len(vocabulary))
     small, few = np.min_scalar_type(len(first)), np.min_scalar_type(int(counts.max()))
     return Index(vocabulary, lengths.astype(small), example[by].astype(small), zlib.compress(counts[by].astype(few).tobytes(), 1), few.str, ids[order], labels[order], class_counts)
