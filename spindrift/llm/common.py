@@ -88,11 +88,11 @@ def remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches, cut where their texts are large, so that Python strings of few texts live at once."""
     for batch in batches:
         size = batch.column(text).nbytes if batch.num_rows else 0
-        step = max(1, batch.num_rows * SLICE_CHARS // max(size, 1))
+        step = max(1, batch.num_rows * chars // max(size, 1))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 

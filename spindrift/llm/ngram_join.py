@@ -51,8 +51,8 @@ LOCAL, COUNTED, FREQUENT, MOST_FREQUENT = 3, 1_000_000, 32, 500_000
 #: Numbers of rows that a filter ships to every task; beyond that it is a join.
 MOST_SHIPPED = 4_000_000
 SMALL, PART, BUCKET, SPLIT, QUERIES = 6, 64, 600_000, 200_000, 500
-#: Sets are hashes: nothing in them repeats. Small row groups keep few of them in a writer's memory.
-TABLE_OPTIONS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
+#: Sets are hashes: nothing in them repeats, so they are not compressed (nor held in a codec's buffers). Small row groups keep few of them in a writer's memory.
+TABLE_OPTIONS = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -161,7 +161,7 @@ def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = [None] * int(some.sum())
             yield rows(1, none, tokens[some], n[some], none, none, none, none)
 
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, chars=1_000_000):
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
         signs = [signature(s) for s in sets]
         place, bits, tokens = ([None] * len(sets) for _ in range(3))

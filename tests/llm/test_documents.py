@@ -274,6 +274,10 @@ def test_sharding_balance(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("copy " * 40)).otherwise(F.concat(F.lit("t "), F.repeat(F.col("id").cast("string"), (F.col("id") % 50).cast("int")))).alias("text"))
     sizes = [r["s"] for r in sharding.shard_documents(docs, 8).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sizes) == 8 and max(sizes) / min(sizes) < 1.02
+    # in the order of shards and slots equal texts lie together, whatever the cuts are
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    dealt = [texts[r.doc_id] for r in sharding.shard_documents(docs, 8).orderBy("shard", "slot").collect()]
+    assert sum(a != b for a, b in zip(dealt, dealt[1:], strict=False)) + 1 == len(set(dealt)) and len(dealt) == 6000
 
 
 def test_sentencepiece(docs, empty):
@@ -491,6 +495,38 @@ def test_grams_against_plain_ones(monkeypatch):
         assert counts[-1] == len(grams) == counts[:-1].sum() and (counts[:-1] > 0).sum() <= len(set(grams))
 
 
+def test_language_duels_against_plain_ones():
+    """Families first, then languages within the family, by duels won, then margins, then name."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    languages = {"romance": ["es", "fr", "it"], "of xx": ["xx"], "slavic": ["cs", "pl"]}
+    duels = {"": [("of xx", "romance"), ("of xx", "slavic"), ("romance", "slavic")], "romance": [("es", "fr"), ("es", "it"), ("fr", "it")], "of xx": [], "slavic": [("cs", "pl")]}
+    weights = r.normal(size=(langid.DIMENSIONS + 1, 7))
+    texts = [" ".join(words(20, i)) for i in range(60)] + ["", None, "12"]
+    x, some = langid.features(texts)
+    got = list(langid.Model(languages, duels, weights).predict(texts))
+    flat = [(level, a, b) for level, pairs_ in duels.items() for a, b in pairs_]
+    for n, text in enumerate(texts):
+        if not some[n]:
+            assert got[n] == ("und", 0.0)
+            continue
+        margin = {d: float(x[n] @ weights[:, i]) for i, d in enumerate(flat)}
+
+        def best(level, names):
+            if len(names) == 1:
+                return names[0], 1.0
+            own = {a: [m if a == p else -m for (lv, p, q), m in margin.items() if lv == level and a in (p, q)] for a in names}
+            won = min(names, key=lambda a: (-sum(m > 0 for m in own[a]), -sum(own[a]), a))
+            return won, sum(1 / (1 + math.exp(-2 * m)) for m in own[won]) / (len(names) - 1)
+
+        family, p = best("", sorted(languages))
+        language, q = best(family, languages[family])
+        assert got[n][0] == language and abs(got[n][1] - p * q) < 1e-9
+
+
 def test_language_sample(spark):
     """A language with most rows, repeated rows and an id in two languages: bounded, and the same whatever the layout."""
     rows = [(i, "en", f"text {i}") for i in range(5000)] + [(7, "en", "text 7")] * 50 + [(i, "de", f"wort {i}") for i in range(5000, 5020)] + [(7, "de", "b"), (7, "de", "a"), (None, "de", "x"), (1, None, "x"), (2, "fr", None)]
