@@ -50,7 +50,7 @@ LOCAL, COUNTED, FREQUENT, MOST_FREQUENT = 3, 1_000_000, 32, 500_000
 #: Nodes of a shingle that give all pairs; members of a part of a group; postings of a bucket; nodes of a list before it is split; queries of a part in one task.
 #: Numbers of rows that a filter ships to every task; beyond that it is a join.
 MOST_SHIPPED = 4_000_000
-SMALL, PART, BUCKET, SPLIT, QUERIES = 6, 64, 600_000, 200_000, 500
+SMALL, PART, BUCKET, LEAST_BUCKETS, SPLIT, QUERIES = 6, 64, 600_000, 64, 200_000, 500
 #: Sets are hashes: nothing in them repeats, so they are not compressed (nor held in a codec's buffers). Small row groups keep few of them in a writer's memory.
 TABLE_OPTIONS = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)}
 _odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -481,7 +481,8 @@ def least_ids(spark, rows: DataFrame, summary: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((tokens, np.log2(np.maximum(copies, 2)).astype(np.int8), copies))
     sets = Sets(rows)
     total = sets.rows.agg(F.sum(F.col("n") / 5 + 1)).first()[0] or 0
-    buckets = max(8, ceil(total / BUCKET))
+    # many buckets at any size: what a posting carries of its node then weighs the same
+    buckets = max(LEAST_BUCKETS, ceil(total / BUCKET))
 
     made = durable(sets.rows.select("node", "tokens").mapInArrow(post(shared, buckets), POSTINGS).groupBy("bucket").applyInArrow(candidates(shared), CANDIDATES))
     pairs = durable(made.where("kind = 0").select(F.col("a").alias("part"), F.col("b").alias("node")).distinct())
