@@ -313,8 +313,10 @@ class Sets:
 
 
 def rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone; rows without an id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose doc_id is in gone; rows without an id stay. Texts are shuffled only if more ids go than a filter ships."""
+    gone = durable(gone.select("doc_id").where("doc_id is not null").distinct())
+    gone = F.broadcast(gone) if gone.count() <= MOST_SHIPPED else gone
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def numbers(*names: str) -> Column:
