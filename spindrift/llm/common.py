@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are handed to Python functions in slices of about so many characters.
 SLICE_CHARS = 4_000_000
+#: Bytes, as shuffled, up to which a partition of a join's side is hashed in memory.
+HASHED_SIDE = "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +45,11 @@ def durable(df: DataFrame, **options: str) -> DataFrame:
 
 
 @contextmanager
-def same_plan_at_every_size(spark: SparkSession) -> Iterator[None]:
-    """Within it no join is turned into a broadcast by the size of its input, only by a hint; the session's settings come back after it."""
-    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    before = {n: spark.conf.get(n, None) for n in names}
-    for n in names:
-        spark.conf.set(n, "-1")
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Within it these settings of the session hold; what was there comes back after it."""
+    before = {n: spark.conf.get(n, None) for n in settings}
+    for n, value in settings.items():
+        spark.conf.set(n, value)
     try:
         yield
     finally:
@@ -59,6 +60,22 @@ def same_plan_at_every_size(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(n, value)
 
 
+def same_plan_at_every_size(spark: SparkSession):
+    """Within it no join is turned into a broadcast by the size of its input, only by a hint."""
+    return session_settings(spark, {n: "-1" for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")})
+
+
+def few_pages(spark: SparkSession):
+    """Within it tasks hold few pages of Spark's memory.
+
+    A sort, a map of a partial aggregate and the map before it each take a whole page (32 MB on an executor of
+    1.8 GB) however few rows they get, and many small tasks of several such operators make the heap grow to its end.
+    So joins whose side is small in every partition hash it, without two sorts; larger ones sort as before. Partial
+    aggregates have one map.
+    """
+    return session_settings(spark, {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": HASHED_SIDE, "spark.sql.codegen.aggregate.map.twolevel.enabled": "false"})
+
+
 def drop_old_shuffles(spark: SparkSession) -> None:
     """Has the driver's collector run, so that Spark removes the shuffle files that no plan needs any more."""
     spark.sparkContext._jvm.System.gc()

@@ -29,3 +29,12 @@ def connected_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame
         if new.where("component <> was").isEmpty():
             return labels
     raise RuntimeError(f"components still change after {most_rounds} rounds")
+
+
+def merged_components(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """connected_components of the edges that gave groups and of these edges (a, b) together; only groups that they join are walked again."""
+    of = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    named = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = connected_components(durable(named.distinct()))
+    renamed = groups.join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return durable(renamed.unionByName(merged.join(groups.select("node"), "node", "left_anti")))

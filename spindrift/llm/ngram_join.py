@@ -41,8 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.codes import mixed
-from spindrift.llm.common import drop_old_shuffles, durable, let_go, same_plan_at_every_size, text_slices
-from spindrift.llm.components import connected_components
+from spindrift.llm.common import drop_old_shuffles, durable, few_pages, let_go, same_plan_at_every_size, text_slices
+from spindrift.llm.components import connected_components, merged_components
 
 WORDS, LEAST, MOST = 5, 80, 100  # LEAST / MOST is the similarity
 #: Frequent shingles: counted where LOCAL copies lie in one part of COUNTED shingles, kept from FREQUENT on, MOST_FREQUENT at most.
@@ -468,7 +468,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = durable(docs.mapInArrow(summarise, SUMMARY), **TABLE_OPTIONS)
     summary = rows.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "node")
-    with same_plan_at_every_size(spark):
+    with same_plan_at_every_size(spark), few_pages(spark):
         of_node = least_ids(spark, rows, summary)
     drop_old_shuffles(spark)
     out = summary.join(of_node, "node", "left")
@@ -502,7 +502,7 @@ def least_ids(spark, rows: DataFrame, summary: DataFrame) -> DataFrame:
         alone = queries.select(F.col("part").alias("node"), "part").distinct().join(sizes.select("part"), "part", "left_anti")
         more = verified(sets, sizes.select("part", "node").unionByName(alone.select("part", "node")), queries)
         if not more.isEmpty():
-            groups = connected_components(links.unionByName(more))
+            groups = merged_components(groups, more)
     # the least id of each node, then of each component; joined only where a component has several nodes
     by_node = durable(summary.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")))
     least = durable(groups.join(by_node, "node").groupBy("component").agg(F.min("least").alias("of_all")))

@@ -694,6 +694,36 @@ def test_components_of_long_chains(spark):
         connected_components(edges, 3)
 
 
+def test_merged_components(spark):
+    """Edges that come later join whole groups, and nodes that had none."""
+    from spindrift.llm.components import connected_components, merged_components
+
+    table = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31), (31, 30)]
+    for later in ([(3, 11), (21, 0), (40, 41), (5, 5), (31, 30)], [(30, 9), (9, 20), (2, 50)]):
+        got = {r.node: r.component for r in merged_components(connected_components(table(first)), table(later)).collect()}
+        assert got == {r.node: r.component for r in connected_components(table(first + later)).collect()}
+
+
+def test_near_duplicates_take_few_pages(spark):
+    """Small sides of joins are hashed: no sorts, no partial map of a second page; the session's settings come back."""
+    from spindrift.llm import common, components
+
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.codegen.aggregate.map.twolevel.enabled")
+    before = [spark.conf.get(n, None) for n in names]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40, 2)], "a long, b long")
+    with common.session_settings(spark, {names[0]: "8m"}), common.same_plan_at_every_size(spark), common.few_pages(spark):
+        labels = components.connected_components(edges)
+        joined = labels.join(edges.withColumnRenamed("a", "node").repartition(3), "node")
+        assert joined.count() == 20
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+        assert "ShuffledHashJoin" in final and "SortMergeJoin" not in final
+        assert spark.conf.get(names[2]) == "false"
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
 def test_rows_without(spark):
     docs = spark.createDataFrame([(i if i != 7 else None, str(i)) for i in range(2000)], "doc_id long, text string")
     gone = spark.range(0, 2000, 3).select(F.col("id").alias("doc_id"))
