@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontam, ngram_join, secrets, spm, toxicity
-from spindrift.llm.common import durable, ensure_checkpoint_dir, table
+from spindrift.llm.common import durable, ensure_checkpoint_dir, few_pages, table
 from spindrift.llm.queries import piece_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,10 +36,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id, once; documents without words all stay."""
     docs = docs.select(*COLUMNS)
-    found = durable(ngram_join.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null"))
-    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = ngram_join.rows_without(docs, copies)
-    again = durable(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    with few_pages(spark):
+        found = durable(ngram_join.near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null"))
+        copies = found.where("component_id <> doc_id").select("doc_id").distinct()
+        kept = ngram_join.rows_without(docs, copies)
+        again = durable(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept
     return ngram_join.rows_without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))

@@ -74,3 +74,15 @@ def test_queries_have_their_columns(spark, sf):
     }
     for name, columns in expected.items():
         assert QUERIES[name](spark, sf).columns[: len(columns)] == columns
+
+
+def test_one_of_each_group_takes_few_pages(spark, monkeypatch):
+    """The whole stage asks for few pages of memory, and the session's settings come back."""
+    name, seen = "spark.sql.codegen.aggregate.map.twolevel.enabled", []
+    before = spark.conf.get(name, None)
+    plain = corpus_pipeline.ngram_join.rows_without
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "near_duplicates", lambda docs: docs.select("doc_id", F.lit(1).alias("n_shingles"), F.least("doc_id", F.lit(1)).alias("component_id")))
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "rows_without", lambda *a: seen.append(spark.conf.get(name)) or plain(*a))
+    docs = spark.createDataFrame([(i, "a", "en", "s", 1) for i in (1, 2, 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()] == [1]
+    assert seen == ["false"] and spark.conf.get(name, None) == before
